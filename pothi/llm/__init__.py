@@ -1,0 +1,8 @@
+"""Operators for training-data pipelines. Nothing else in the library imports this package."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions sent to workers go by value, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
