@@ -50,3 +50,12 @@ def language_name(col: Column) -> Column:
         .when(low.rlike("^(hi|hin|hindi)(-.*)?$"), "hi")
         .when(low.rlike("^(mr|mar|marathi)(-.*)?$"), "mr")
     )
+
+
+#: Rows up to which a (narrow) table is broadcast; beyond it the join shuffles.
+BROADCAST_ROWS = 100_000
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """`df` with a broadcast hint if a count shows that it has few rows, else as it is. Give it only cut or cheap frames."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import read
 from .consensus import consensus
+from .repeated_lines import remove_lines, repeated_lines
 from .splitting import split_oversized
 
 
@@ -25,6 +26,20 @@ def p2_annotators(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consensus(read(spark, sf_dir, "second_annotation"))[1]
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_lines(read(spark, sf_dir, "chunks"), read(spark, sf_dir, "manifest"))[1]
+
+
+def p4_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_lines(read(spark, sf_dir, "chunks"), read(spark, sf_dir, "manifest"))[0].drop("share")
+
+
+def p4_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks = read(spark, sf_dir, "chunks")
+    cases = repeated_lines(chunks, read(spark, sf_dir, "manifest"))[1]
+    return remove_lines(chunks.select("chunk_id", "text"), cases).select("chunk_id", "clean").dropDuplicates(["chunk_id"])
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_oversized(read(spark, sf_dir, "chunks")).where(F.col("n_pieces") > 1).select("chunk_id").distinct()
 
@@ -35,12 +50,34 @@ def p7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [p2_found, p2_consensus, p2_annotators, p7_found, p7_pieces]
+    found = [p2_found, p2_consensus, p2_annotators, p4_found, p4_lines, p4_clean, p7_found, p7_pieces]
     return {f.__name__: f for f in found}
 
 
+#: Lines of all chunks with their scheme and key, and those repeated in a scheme.
+_P4 = r"""
+    WITH m AS (SELECT id, arg_max(coalesce(scheme, ''), line_no) AS ms FROM manifest WHERE id IS NOT NULL GROUP BY id),
+    c AS (SELECT DISTINCT chunk_id, document_id, coalesce(scheme, nullif(ms, '')) AS s, text FROM chunks LEFT JOIN m ON id = document_id),
+    t AS (SELECT s, count(DISTINCT document_id) AS docs FROM c WHERE s IS NOT NULL GROUP BY s),
+    a AS (SELECT chunk_id, document_id, s, string_split(text, chr(10)) AS ls FROM c WHERE s IS NOT NULL AND text IS NOT NULL),
+    b AS (SELECT chunk_id, document_id, s, unnest(ls) AS line, unnest(range(len(ls))) AS line_no FROM a),
+    l AS (SELECT *, lower(regexp_replace(line, '[^\p{L}\p{M}]+', '', 'g')) AS k FROM b),
+    g AS (SELECT s, k, count(DISTINCT document_id) AS documents, count(DISTINCT line) AS variants, min(line) AS example
+          FROM l WHERE regexp_matches(k, '\p{L}') GROUP BY s, k),
+    q AS (SELECT g.*, docs FROM g JOIN t USING (s) WHERE documents >= greatest(3, ceil(docs * 0.15::DOUBLE - 1e-9)))
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p4_found": _P4 + "SELECT DISTINCT chunk_id, CAST(line_no AS BIGINT) AS line_no FROM l JOIN q USING (s, k)",
+        "p4_lines": _P4 + "SELECT s AS scheme, k AS line_key, example, CAST(variants AS BIGINT) AS variants, CAST(documents AS BIGINT) AS documents FROM q",
+        "p4_clean": _P4
+        + """, gone AS (SELECT DISTINCT chunk_id, line_no FROM l JOIN q USING (s, k)),
+            kept AS (SELECT b.chunk_id, string_agg(line, chr(10) ORDER BY line_no) AS clean
+                     FROM (SELECT DISTINCT chunk_id, line, line_no FROM b) b ANTI JOIN gone USING (chunk_id, line_no) GROUP BY b.chunk_id)
+            SELECT c.chunk_id, CASE WHEN text IS NOT NULL THEN coalesce(clean, '') END AS clean
+            FROM (SELECT DISTINCT chunk_id, text FROM c) c LEFT JOIN kept USING (chunk_id)""",
         "p7_found": r"""
             SELECT DISTINCT chunk_id FROM chunks
             WHERE length(regexp_replace(text, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) > 1200""",
