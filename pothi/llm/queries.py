@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .common import read
 from .consensus import consensus
 from .repeated_lines import remove_lines, repeated_lines
+from .similar_vectors import most_similar, similar_pairs
 from .splitting import split_oversized
 
 
@@ -40,6 +41,14 @@ def p4_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_lines(chunks.select("chunk_id", "text"), cases).select("chunk_id", "clean").dropDuplicates(["chunk_id"])
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_pairs(most_similar(read(spark, sf_dir, "chunk_vectors")))
+
+
+def p6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return most_similar(read(spark, sf_dir, "chunk_vectors"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_oversized(read(spark, sf_dir, "chunks")).where(F.col("n_pieces") > 1).select("chunk_id").distinct()
 
@@ -50,7 +59,7 @@ def p7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [p2_found, p2_consensus, p2_annotators, p4_found, p4_lines, p4_clean, p7_found, p7_pieces]
+    found = [p2_found, p2_consensus, p2_annotators, p4_found, p4_lines, p4_clean, p6_found, p6_neighbours, p7_found, p7_pieces]
     return {f.__name__: f for f in found}
 
 
