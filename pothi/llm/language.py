@@ -18,10 +18,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import regex
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import current_manifest, language_name
+from .common import current_manifest, cut, language_name, small
+from .repeated_lines import LEAST, SHARE, frequent_keys, with_scheme
 
 LANGUAGES = ("en", "hi", "hinglish", "mr")
 DIM = 2048
@@ -29,15 +31,16 @@ DIM = 2048
 SAMPLE_ROWS = 5_000
 #: Words a passage needs to be told.
 LEAST_WORDS = 4
+SKIP_LINES = 100_000
+#: Longer lines are paragraphs, not repeated lines.
+LINE_LENGTH = 400
 _OTHER = 32
 _LETTERS = 1 + 26 + 128 + _OTHER  # boundary, Latin, the Devanagari block, 32 classes for all other letters
 
 #: Abbreviations whose full stop ends no sentence.
-_ABBREVIATIONS = ("Rs", "RS", "rs", "No", "Sec", "Dr", "रु", "सं", "क्र")
-_ENDS = re.compile("".join(rf"(?<!\b{a})" for a in _ABBREVIATIONS) + r"[.?!।॥]+(?=[\"'”’)\]]*(?:\s|$))[\"'”’)\]]*|\n[^\S\n]*\n|$(?!\n)")
-#: A whole sentence ends so: a word (no number), its mark, closing quotes.
-_TERMINATED = re.compile(r"[^\W\d][)\]\"'”’]*[.?!।॥]+[\"'”’)\]]*$|[ऀ-ॣ][)\]\"'”’]*[.?!।॥]+[\"'”’)\]]*$")
-_WORD = re.compile(r"[^\W\d_]{2,}|[ऀ-ॣ]{2,}")
+_ABBREVIATIONS = frozenset(("Rs", "RS", "rs", "No", "Sec", "Dr", "रु", "सं", "क्र"))
+_CLOSING = "\"'”’)]"
+_ENDS = re.compile("[.?!।॥]+[" + re.escape(_CLOSING) + r"]*(?=\s|\Z)|\n[^\S\n]*\n")
 _NOT_KEY = regex.compile(r"[^\p{L}\p{M}]+")
 
 
@@ -114,24 +117,39 @@ def sentence_spans(text: str) -> list[tuple[int, int]]:
     """(start, end) of the sentences and of the unfinished stretches between paragraph ends."""
     spans, start = [], 0
     for m in _ENDS.finditer(text):
-        if m.end() > start:
-            spans.append((start, m.end()))
-            start = m.end()
+        at, end = m.span()
+        if text[at] == "." and text[max(text.rfind(" ", 0, at), text.rfind("\n", 0, at), start - 1) + 1 : at].lstrip("(") in _ABBREVIATIONS:
+            continue
+        spans.append((start, end))
+        start = end
+    if start < len(text):
+        spans.append((start, len(text)))
     return spans
 
 
-def line_key(line: str) -> str:
-    """The line's letters and marks in lower case, as in repeated_lines.line_key."""
-    return _NOT_KEY.sub("", line).lower()
+def is_whole(piece: str) -> bool:
+    """Whether a stripped stretch ends as a sentence does: with a word (no number) and its mark."""
+    bare = piece.rstrip(_CLOSING)
+    word = bare.rstrip(".?!।॥").rstrip(_CLOSING)
+    return len(word) < len(bare) and bool(word) and (word[-1].isalpha() or "ऀ" <= word[-1] <= "ॣ")
+
+
+def line_hash(line: str) -> int:
+    """The hash of the line's letters and marks in lower case, as repeated_lines has it."""
+    return _signed(xxhash.xxh64_intdigest(_NOT_KEY.sub("", line).lower().encode(), 42))
+
 
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
 
-def without_lines(text: str, skip: frozenset[str]) -> str:
+
+def without_lines(text: str, skip: frozenset[int]) -> str:
     """The text with its table rows and repeated lines blanked (same length)."""
     if not skip and "|" not in text:
         return text
     lines = text.split("\n")
     for i, line in enumerate(lines):
-        if line.count("|") >= 2 and line.lstrip().startswith("|") or skip and line_key(line) in skip:
+        if line and (line.count("|") >= 2 and line.lstrip().startswith("|") or skip and len(line.strip()) <= LINE_LENGTH and line_hash(line) in skip):
             lines[i] = " " * len(line)
     return "\n".join(lines)
 
@@ -156,7 +174,7 @@ def _gather(rows: list[tuple[int, str]], profiles: Profiles, agree: bool) -> lis
     return counts
 
 
-def train(labelled: DataFrame, skip: frozenset[str] = frozenset(), rows: int = SAMPLE_ROWS) -> np.ndarray:
+def train(labelled: DataFrame, skip: frozenset[int] = frozenset(), rows: int = SAMPLE_ROWS) -> np.ndarray:
     """Prototypes (languages x DIM) from columns `label` and `text`, of which at most `rows` rows are used.
 
     Labels may be wrong for some rows: after a first bundling, twice only those sentences are bundled
@@ -195,30 +213,35 @@ def _profiles(prototypes: np.ndarray) -> Profiles:
     return _CACHE[key]
 
 
-def _told(text: str, profiles: Profiles, skip: frozenset[str]) -> Iterator[tuple[int, int, int, float, bool, np.ndarray, int]]:
-    """(start, end, language, confidence, whole sentence, scores, trigrams) of each stretch with enough words."""
+def _told(text: str, profiles: Profiles, skip: frozenset[int]) -> Iterator[tuple[int, int, int, float, bool, int]]:
+    """(start, end, language, confidence, whole sentence, trigrams) of each stretch with enough words.
+
+    The confidence is a softmax over the cosines, sharpened with the passage's length.
+    """
     clean = without_lines(text, skip)
     at, sums = profiles.running(clean)
-    for s, e in sentence_spans(clean):
-        i, j = np.searchsorted(at, (s, e))
-        if j - i < 12:
+    spans = sentence_spans(clean)
+    if not spans or not len(at):
+        return
+    edges = np.searchsorted(at, np.array(spans))
+    n = edges[:, 1] - edges[:, 0]
+    d = sums[edges[:, 1]] - sums[edges[:, 0]]
+    best = d.argmax(1)
+    cos = d / np.sqrt(DIM * np.maximum(n, 1))[:, None]
+    x = np.exp(np.maximum((cos - cos.max(1, keepdims=True)) * (10 + 0.2 * np.minimum(n, 200))[:, None], -50))
+    conf = (1 / x.sum(1)).tolist()
+    for (s, e), k, c, m in zip(spans, best.tolist(), conf, n.tolist()):
+        if m < 12:
             continue
-        d = sums[j] - sums[i]
         piece = clean[s:e].strip()
-        if len(_WORD.findall(piece)) < LEAST_WORDS:
-            continue
-        k = int(d.argmax())
-        yield s, e, k, _confidence(d, j - i), bool(_TERMINATED.search(piece)), d, j - i
-
+        words = 0
+        for w in piece.split():
+            words += len(w) > 1 and w[0].isalpha()
+        if words >= LEAST_WORDS:
+            yield s, e, k, c, is_whole(piece), m
 
-def _confidence(d: np.ndarray, n: int) -> float:
-    """Softmax over the cosines, sharpened with the passage's length in trigrams."""
-    cos = d / np.sqrt(DIM * max(n, 1))
-    x = np.exp(np.clip((cos - cos.max()) * (10 + 0.2 * min(n, 200)), -50, 0))
-    return float(x.max() / x.sum())
 
-
-def passages(df: DataFrame, prototypes: np.ndarray, skip: frozenset[str] = frozenset(), key: str = "chunk_id", text: str = "text") -> DataFrame:
+def passages(df: DataFrame, prototypes: np.ndarray, skip: frozenset[int] = frozenset(), key: str = "chunk_id", text: str = "text") -> DataFrame:
     """One row per run of neighbouring sentences in one language: key, start, end, lang, confidence, sentences (whole ones).
 
     Null, blank or wordless text gives no row; stretches of fewer than LEAST_WORDS words are not told.
@@ -231,7 +254,7 @@ def passages(df: DataFrame, prototypes: np.ndarray, skip: frozenset[str] = froze
             out = []
             for k, t in zip(pdf[key], pdf[text]):
                 last = None
-                for s, e, lang, conf, whole, _, n in _told(t, profiles, skip):
+                for s, e, lang, conf, whole, n in _told(t, profiles, skip):
                     if last and last[2] == lang:
                         last[1], last[3], last[4], last[5] = e, last[3] + conf * n, last[4] + whole, last[5] + n
                     else:
@@ -245,7 +268,7 @@ def passages(df: DataFrame, prototypes: np.ndarray, skip: frozenset[str] = froze
     return df.where(F.col(text).isNotNull()).select(key, text).mapInPandas(run, f"`{key}` {kind}, start int, end int, lang string, confidence double, sentences int")
 
 
-def scores(df: DataFrame, prototypes: np.ndarray, skip: frozenset[str] = frozenset(), keys: tuple[str, ...] = ("chunk_id", "document_id"), text: str = "text") -> DataFrame:
+def scores(df: DataFrame, prototypes: np.ndarray, skip: frozenset[int] = frozenset(), keys: tuple[str, ...] = ("chunk_id", "document_id"), text: str = "text") -> DataFrame:
     """One row per row of df and language told in it: keys, lang, sentences (whole ones), weight (trigrams), confidence."""
     kinds = dict(df.dtypes)
 
@@ -255,7 +278,7 @@ def scores(df: DataFrame, prototypes: np.ndarray, skip: frozenset[str] = frozens
             out = []
             for row in zip(*[pdf[k] for k in keys], pdf[text]):
                 found: dict[int, list] = {}
-                for _, _, lang, conf, whole, _, n in _told(row[-1], profiles, skip):
+                for _, _, lang, conf, whole, n in _told(row[-1], profiles, skip):
                     x = found.setdefault(lang, [0, 0, 0.0])
                     x[0] += whole
                     x[1] += n
@@ -267,7 +290,20 @@ def scores(df: DataFrame, prototypes: np.ndarray, skip: frozenset[str] = frozens
     return df.where(F.col(text).isNotNull()).select(*keys, text).mapInPandas(run, schema)
 
 
-def chunk_prototypes(chunks: DataFrame, manifest: DataFrame, skip: frozenset[str] = frozenset()) -> np.ndarray:
+def furniture(chunks: DataFrame, manifest: DataFrame | None) -> frozenset[int]:
+    """Hashes of the lines that stand so often in a scheme that they are no sentences of the text.
+
+    At most SKIP_LINES of them are sent to the workers; a corpus with more is cleaned by remove_lines first.
+    """
+    base = with_scheme(chunks.select("document_id", "scheme", "text"), manifest).where(F.col("_scheme").isNotNull() & F.col("document_id").isNotNull() & F.col("text").isNotNull())
+    totals = small(cut(base.select("_scheme", "document_id").distinct().groupBy("_scheme").agg(F.count("*").alias("_docs"))))
+    rows = frequent_keys(base, totals, SHARE, LEAST, "text").select("_hash").distinct().limit(SKIP_LINES + 1).collect()
+    if len(rows) > SKIP_LINES:
+        raise ValueError("too many repeated lines to send to the workers: apply remove_lines first")
+    return frozenset(r["_hash"] for r in rows)
+
+
+def chunk_prototypes(chunks: DataFrame, manifest: DataFrame, skip: frozenset[int] = frozenset()) -> np.ndarray:
     """Prototypes from a bounded sample of chunks under their manifest rows' labels."""
     held = current_manifest(manifest.select("id", "line_no", "language")).select(F.col("id").alias("_id"), language_name(F.col("language")).alias("label")).where(F.col("label").isNotNull())
     total = chunks.count()

@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import current_manifest, language_name, read
 from .consensus import consensus
+from .language import chunk_prototypes, documents_of_chunks, furniture, passages, scores
+from .leakage import RUN, leaks
 from .repeated_lines import remove_lines, repeated_lines
 from .similar_vectors import most_similar, similar_pairs
 from .splitting import split_oversized
@@ -41,6 +43,31 @@ def p4_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_lines(chunks.select("chunk_id", "text"), cases).select("chunk_id", "clean").dropDuplicates(["chunk_id"])
 
 
+def _language(spark: SparkSession, sf_dir: str):
+    chunks, manifest = read(spark, sf_dir, "chunks"), read(spark, sf_dir, "manifest")
+    skip = furniture(chunks, manifest)
+    return chunks, manifest, chunk_prototypes(chunks, manifest, skip), skip
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks, manifest, prototypes, skip = _language(spark, sf_dir)
+    told = scores(chunks, prototypes, skip).where(F.col("sentences") > 0)
+    named = current_manifest(manifest.select("id", "line_no", "language")).select(F.col("id").alias("document_id"), language_name(F.col("language")).alias("_named"))
+    other = told.join(named, "document_id", "left").where(F.col("_named").isNull() | (F.col("_named") != F.col("lang")))
+    return other.select("chunk_id", "lang").distinct()
+
+
+def p5_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks, _, prototypes, skip = _language(spark, sf_dir)
+    once = chunks.groupBy("chunk_id").agg(F.max(F.struct("written", "document_id", "text")).alias("r")).select("chunk_id", "r.document_id", "r.text")
+    return documents_of_chunks(scores(once, prototypes, skip))
+
+
+def p5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    chunks, _, prototypes, skip = _language(spark, sf_dir)
+    return passages(chunks, prototypes, skip).dropDuplicates(["chunk_id", "start"])
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_pairs(most_similar(read(spark, sf_dir, "chunk_vectors")))
 
@@ -58,8 +85,17 @@ def p7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.dropDuplicates(["chunk_id", "piece_no"])
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "questions"), edits=0)
+    return found.where(F.col("run") >= RUN).select("doc_id", "question_id").distinct()
+
+
+def p9_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "questions"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [p2_found, p2_consensus, p2_annotators, p4_found, p4_lines, p4_clean, p6_found, p6_neighbours, p7_found, p7_pieces]
+    found = [p2_found, p2_consensus, p2_annotators, p4_found, p4_lines, p4_clean, p5_found, p5_documents, p5_passages, p6_found, p6_neighbours, p7_found, p7_pieces, p9_found, p9_leaks]
     return {f.__name__: f for f in found}
 
 

@@ -55,11 +55,30 @@ def _salted_number(docs: DataFrame) -> DataFrame:
     )
 
 
-def _lines(chunks: DataFrame, text: str) -> DataFrame:
-    """One row per chunk row and line that has a letter."""
-    return chunks.where(F.col(text).isNotNull()).select(
-        "chunk_id", F.col("document_id").alias("_doc"), "_scheme", F.posexplode(F.split(text, "\n", -1)).alias("line_no", "_line")
-    ).withColumn("_key", line_key(F.col("_line"))).where(F.col("_key") != "")
+def text_keys(text: Column) -> Column:
+    """line_key of every line of a text, in one pass over the text."""
+    return F.split(F.lower(F.regexp_replace(text, r"[^\p{L}\p{M}\n]+", "")), "\n", -1)
+
+
+def _lines(chunks: DataFrame, text: str, raw: bool) -> DataFrame:
+    """One row per chunk row and line that has a letter: _hash of its key, and if `raw` the key, the line and its number."""
+    keys = text_keys(F.col(text))
+    if raw:
+        zipped = F.arrays_zip(keys.alias("_key"), F.split(F.col(text), "\n", -1).alias("_line"))
+        rows = chunks.select("chunk_id", F.col("document_id").alias("_doc"), "_scheme", F.posexplode(zipped).alias("line_no", "_l")).select("chunk_id", "_doc", "_scheme", "line_no", "_l._key", "_l._line")
+    else:
+        rows = chunks.select("_scheme", F.explode(keys).alias("_key"))
+    return rows.where((F.col("_key") != "") & F.col("_key").rlike(r"\p{L}")).withColumn("_hash", F.xxhash64("_key"))
+
+
+def frequent_keys(chunks: DataFrame, totals: DataFrame, share: float, least: int, text: str) -> DataFrame:
+    """(_scheme, _hash) of the keys with enough occurrences to be repeated lines: a superset, found with map-side counts."""
+    counted = _lines(chunks, text, raw=False).groupBy("_scheme", "_hash").agg(F.count("*").alias("_n")).where(F.col("_n") >= least)
+    return cut(counted.join(totals, "_scheme").where(F.col("_n") >= _need(share, least)).select("_scheme", "_hash"))
+
+
+def _need(share: float, least: int) -> Column:
+    return F.greatest(F.ceil(F.col("_docs") * F.lit(share) - 1e-9), F.lit(least))
 
 
 def repeated_lines(chunks: DataFrame, manifest: DataFrame | None = None, share: float = SHARE, least: int = LEAST, text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -72,12 +91,9 @@ def repeated_lines(chunks: DataFrame, manifest: DataFrame | None = None, share:
     base = with_scheme(chunks.select("chunk_id", "document_id", "scheme", text), manifest).where(F.col("_scheme").isNotNull() & F.col("document_id").isNotNull())
     docs = cut(_salted_number(base.select("_scheme", F.col("document_id").alias("_doc")).distinct()))
     totals = small(cut(docs.groupBy("_scheme").agg(F.count("*").alias("_docs"))))
-    need = F.greatest(F.ceil(F.col("_docs") * F.lit(share) - 1e-9), F.lit(least))
-    lines = _lines(base, text)
-    # Upper bound: occurrences, counted with map-side combining; the survivors are few.
-    counted = lines.groupBy("_scheme", F.xxhash64("_key").alias("_hash")).agg(F.count("*").alias("_n")).where(F.col("_n") >= least)
-    frequent = cut(counted.join(totals, "_scheme").where(F.col("_n") >= need).select("_scheme", "_hash"))
-    hit = lines.withColumn("_hash", F.xxhash64("_key")).join(small(frequent), ["_scheme", "_hash"])
+    need = _need(share, least)
+    frequent = frequent_keys(base, totals, share, least, text)
+    hit = _lines(base, text, raw=True).join(small(frequent), ["_scheme", "_hash"])
     at = cut(hit.select("chunk_id", "line_no", "_doc", "_scheme", "_key", F.xxhash64("_line").alias("_variant"), "_line"))
     placed = at.join(docs, ["_scheme", "_doc"])
     per_variant = placed.groupBy("_scheme", "_key", "_bucket", "_variant").agg(F.expr("bitmap_construct_agg(_bit)").alias("_bits"), F.min("_line").alias("_line"))
