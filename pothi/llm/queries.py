@@ -11,6 +11,7 @@ from .common import current_manifest, language_name, read
 from .consensus import consensus
 from .language import chunk_prototypes, documents_of_chunks, furniture, passages, scores
 from .leakage import RUN, leaks
+from .packing import containers, pack
 from .repeated_lines import remove_lines, repeated_lines
 from .similar_vectors import most_similar, similar_pairs
 from .splitting import split_oversized
@@ -85,6 +86,14 @@ def p7_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.dropDuplicates(["chunk_id", "piece_no"])
 
 
+def p8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(read(spark, sf_dir, "documents"))
+
+
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return containers(pack(read(spark, sf_dir, "documents")))
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "questions"), edits=0)
     return found.where(F.col("run") >= RUN).select("doc_id", "question_id").distinct()
@@ -95,7 +104,7 @@ def p9_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [p2_found, p2_consensus, p2_annotators, p4_found, p4_lines, p4_clean, p5_found, p5_documents, p5_passages, p6_found, p6_neighbours, p7_found, p7_pieces, p9_found, p9_leaks]
+    found = [p2_found, p2_consensus, p2_annotators, p4_found, p4_lines, p4_clean, p5_found, p5_documents, p5_passages, p6_found, p6_neighbours, p7_found, p7_pieces, p8_packing, p8_containers, p9_found, p9_leaks]
     return {f.__name__: f for f in found}
 
 
