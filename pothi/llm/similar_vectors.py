@@ -1,13 +1,15 @@
-"""The k most similar vectors of every vector: stable projections, a kd-tree, a chi-square stopping test.
-
-Vectors are scaled to length 1 and projected by a Gaussian (2-stable) matrix to M coordinates. For two vectors at
-distance d the squared difference of their projections over any c coordinates is d^2 times a chi-square
-variable with c degrees of freedom. A kd-tree over the projections of a bounded sample cuts each collection into
-cells of about CELL vectors; every vector is indexed in its cell, which has a finer kd-tree of its own.
-
-A query is verified first in its home leaf, then in further leaves, and cells, in the order of projected distance.
-It stops when, for every leaf or cell left, a neighbour closer than the k-th found so far would have been
-projected there with a chance under 1 - CONFIDENCE: box distance^2 > chi-square quantile * d_k^2.
+"""The k most similar vectors of every vector: stable projections, kd-trees, a chi-square stopping test.
+
+Vectors are scaled to length 1, kept as half floats (an error of about 1e-4 in a cosine) and projected by Gaussian (2-stable)
+matrices to M coordinates. For two vectors at distance d the squared difference of their projections over any c coordinates is d^2 times a
+chi-square variable with c degrees of freedom. A kd-tree over the projections of a bounded sample cuts each
+collection into cells of about CELL vectors; every vector is indexed in its cell, which has a finer kd-tree of its own.
+
+A query is verified first in its home leaf, then in further leaves in the order of projected distance, and stops when, for
+every leaf left, a neighbour closer than the k-th found so far would have been projected there with a
+chance under 1 - CONFIDENCE: box distance^2 > chi-square quantile * d_k^2. The same test against the planes of its cell tells
+whether the query is finished; if not, it goes on with the best so far to the cell of the next tree, which has a projection of its own.
+Each tree is one shuffle of the vectors, so the moved bytes are linear in them.
 """
 
 from __future__ import annotations
@@ -22,11 +24,13 @@ from pyspark.sql import functions as F
 
 from .common import small
 
-K, M, CELL, LEAF = 5, 8, 4096, 64
+K, M, CELL, LEAF = 5, 8, 8192, 128
 #: Chance with which a neighbour in an unvisited box would have been seen; the share of misses stays below 1 - CONFIDENCE.
 CONFIDENCE = 0.9
 #: Rows whose projections build the upper tree on the driver, at most, over all collections.
-TREE_SAMPLE = 200_000
+TREE_SAMPLE = 50_000
+#: Trees at least; more where cells are many (see trees_for).
+TREES = 3
 DIMENSIONS = {"setu-embed-s": 64, "setu-embed-m": 48}
 
 def chi_square_quantile(df: int, p: float) -> float:
@@ -42,14 +46,17 @@ def quantiles(confidence: float) -> np.ndarray:
     return np.array([0.0] + [chi_square_quantile(c, confidence) for c in range(1, M + 1)])
 
 
-def projection(dim: int) -> np.ndarray:
-    return np.random.default_rng(97 + dim).standard_normal((dim, M)).astype(np.float32)
+def projection(dim: int, tree: int) -> np.ndarray:
+    return np.random.default_rng(97 + 1000 * tree + dim).standard_normal((dim, M)).astype(np.float32)
+
 
+def trees_for(depth: int, missed: float = 0.05, crossing: float = 0.1) -> int:
+    """Trees after which at most `missed` of the neighbours were never in the query's cell, if each split parts a pair with chance `crossing`.
 
-def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    return np.asarray(column.flatten()).astype(np.float32, copy=False).reshape(-1, dim)
+    0.1 is the chance that a median split parts two vectors with cosine 0.95.
+    """
+    together = (1 - crossing) ** depth
+    return max(TREES, math.ceil(math.log(missed) / math.log(1 - together))) if together < 1 else TREES
 
 
 class Tree:
@@ -77,6 +84,11 @@ class Tree:
         self._grow(points[left], 2 * node, level + 1, lo, up)
         self._grow(points[~left], 2 * node + 1, level + 1, down, hi)
 
+    def room(self, y: np.ndarray, leaf: np.ndarray) -> np.ndarray:
+        """Squared distance of each point to the nearest plane of its cell; inf where there is none."""
+        gap = np.minimum(y - self.lo[leaf], self.hi[leaf] - y).min(1)
+        return gap * gap
+
     def place(self, y: np.ndarray) -> np.ndarray:
         node = np.ones(len(y), np.int64)
         rows = np.arange(len(y))
@@ -111,47 +123,39 @@ def _leaves(y: np.ndarray) -> list[np.ndarray]:
 
 
 class Cell:
-    """A cell's vectors under a kd-tree of their projections."""
+    """A cell's vectors under a kd-tree of their projections y."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray):
-        self.ids, self.x = ids, x
-        self.y = x @ projection(x.shape[1])
+    def __init__(self, ids: np.ndarray, x: np.ndarray, y: np.ndarray):
+        self.ids, self.x, self.y = ids, x, y
         self.leaves = _leaves(self.y) if len(ids) else []
+        self.home = np.zeros(len(ids), np.int64)
+        for i, rows in enumerate(self.leaves):
+            self.home[rows] = i
         self.lo = np.array([self.y[r].min(0) for r in self.leaves]).reshape(-1, M)
         self.hi = np.array([self.y[r].max(0) for r in self.leaves]).reshape(-1, M)
 
-    def search(self, ids: np.ndarray, x: np.ndarray, dk: np.ndarray, k: int, chi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, similarities) of the up to k best of each query; dk: squared distance to beat, inf if none yet."""
-        n = len(ids)
-        best = np.full((n, k), -np.inf, np.float32)
-        who = np.full((n, k), -1, np.int64)
-        if not n or not self.leaves:
-            return who, best
-        y = x @ projection(x.shape[1])
-        home = np.concatenate([_outside(y[i : i + 2048], self.lo, self.hi)[0].argmin(1) for i in range(0, n, 2048)])
-        order = np.argsort(home, kind="stable")
-        for start in range(0, n, 128):
-            q = order[start : start + 128]
-            dist, crossed = _outside(y[q], self.lo, self.hi)
+    def search(self, queries: np.ndarray, who: np.ndarray, best: np.ndarray, k: int, chi: np.ndarray) -> None:
+        """Improve the k best (ids `who`, similarities `best`, descending; -1 and -inf where none) of the rows `queries` in place."""
+        order = queries[np.argsort(self.home[queries], kind="stable")]
+        for start in range(0, len(order), 256):
+            q = order[start : start + 256]
+            dist, crossed = _outside(self.y[q], self.lo, self.hi)
+            quantile = chi[crossed]
             seen = np.zeros(len(self.leaves), bool)
-            first = np.zeros(len(self.leaves), bool)
-            first[home[q]] = True
-            bound = dk[q].copy()
-            while True:
-                todo = first if not seen.any() else ((dist <= chi[crossed] * bound[:, None]).any(0) & ~seen)
-                if not todo.any():
-                    break
+            todo = np.zeros(len(self.leaves), bool)
+            todo[self.home[q]] = True
+            while todo.any():
                 seen |= todo
                 at = np.concatenate([self.leaves[i] for i in np.flatnonzero(todo)])
-                s = x[q] @ self.x[at].T
-                s[ids[q][:, None] == self.ids[at][None, :]] = -np.inf
-                floor = np.maximum(best[q, k - 1], 1 - bound / 2 - 1e-6)
-                i, j = np.nonzero(s > np.where(np.isfinite(floor), floor, -2.0)[:, None])
+                s = self.x[q] @ self.x[at].T
+                i, j = np.nonzero(s > np.maximum(best[q, k - 1], -2.0)[:, None])
+                fresh = self.ids[q[i]] != self.ids[at[j]]
+                i, j = i[fresh], j[fresh]
                 if len(i):
-                    self._merge(q, i, self.ids[at][j], s[i, j], best, who, k)
+                    self._merge(q, i, self.ids[at[j]], s[i, j], best, who, k)
                 kth = best[q, k - 1]
-                bound = np.where(np.isfinite(kth), np.minimum(bound, 2 - 2 * kth), bound)
-        return who, best
+                bound = np.where(np.isfinite(kth), 2 - 2 * kth, np.inf)
+                todo = (dist <= quantile * bound[:, None]).any(0) & ~seen
 
     @staticmethod
     def _merge(q: np.ndarray, i: np.ndarray, ids: np.ndarray, sims: np.ndarray, best: np.ndarray, who: np.ndarray, k: int) -> None:
@@ -159,27 +163,58 @@ class Cell:
         rows = np.concatenate([np.repeat(touched, k), i])
         all_ids = np.concatenate([who[q[touched]].ravel(), ids])
         all_s = np.concatenate([best[q[touched]].ravel(), sims])
+        # One entry per neighbour: a later tree meets those of the earlier ones again.
+        order = np.lexsort((-all_s, all_ids, rows))
+        rows, all_ids, all_s = rows[order], all_ids[order], all_s[order]
+        again = np.concatenate([[False], (rows[1:] == rows[:-1]) & (all_ids[1:] == all_ids[:-1]) & (all_ids[1:] >= 0)])
+        rows, all_ids, all_s = rows[~again], all_ids[~again], all_s[~again]
         order = np.lexsort((all_ids, -all_s, rows))
         rows, all_ids, all_s = rows[order], all_ids[order], all_s[order]
-        starts = np.searchsorted(rows, touched)
-        take = starts[:, None] + np.arange(k)
+        take = np.searchsorted(rows, touched)[:, None] + np.arange(k)
         who[q[touched]], best[q[touched]] = all_ids[take], all_s[take]
 
 
-def valid_vectors(df: DataFrame, dimensions: dict[str, int]) -> DataFrame:
-    """vec_id, run_id, model, vector of the rows that are not void: of the model's size, finite, not all zero.
+def unit_vectors(df: DataFrame, dimensions: dict[str, int]) -> DataFrame:
+    """vec_id, run_id, model, v (half floats of length 1, as bytes) of the rows that are not void.
 
-    A model outside `dimensions` takes no part.
+    Void: null, of another size than the model's, with a null or infinite entry, or all zero. A model outside `dimensions` takes no part.
     """
-    size = F.create_map(*[F.lit(v) for item in dimensions.items() for v in item])
-    squares = F.aggregate("vector", F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double"))
-    return (
-        df.select("vec_id", "run_id", "model", F.col("vector").cast("array<float>").alias("vector"))
-        .where(F.col("vec_id").isNotNull() & F.col("model").isin(*dimensions) & (F.size("vector") == size[F.col("model")]))
-        .withColumn("_sq", squares)
-        .where((F.col("_sq") > 0) & (F.col("_sq") < float("inf")))
-        .select("vec_id", F.coalesce("run_id", F.lit("")).alias("run_id"), "model", "vector")
-    )
+    dims = dict(dimensions)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            col = b.column("vector")
+            models = np.array(b.column("model").to_pylist(), dtype=object)
+            sizes = np.diff(col.offsets.to_numpy())
+            for m, dim in dims.items():
+                rows = np.flatnonzero((models == m) & (sizes == dim) & ~np.asarray(col.is_null()))
+                if not len(rows):
+                    continue
+                x = np.asarray(col.take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, dim)
+                norm = np.sqrt((x * x).sum(1))
+                ok = np.isfinite(norm) & (norm > 0)
+                if not ok.any():
+                    continue
+                rows, x = rows[ok], (x[ok] / norm[ok, None]).astype(np.float16)
+                data = pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(np.arange(0, x.nbytes + 1, 2 * dim, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(x))])
+                take = pa.array(rows)
+                yield pa.RecordBatch.from_arrays([b.column("vec_id").take(take), b.column("run_id").take(take), b.column("model").take(take), data], ["vec_id", "run_id", "model", "v"])
+
+    base = df.where(F.col("vec_id").isNotNull() & F.col("model").isin(*dims) & F.col("vector").isNotNull())
+    return base.select("vec_id", F.coalesce("run_id", F.lit("")).alias("run_id"), "model", F.col("vector").cast("array<float>").alias("vector")).mapInArrow(run, "vec_id long, run_id string, model string, v binary")
+
+
+def _rows(column: pa.ChunkedArray | pa.Array, kind: type) -> np.ndarray:
+    """Equal-sized binary values as a matrix."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+    return data.view(kind).reshape(len(column), -1)
+
+
+def _binary(a: np.ndarray) -> pa.Array:
+    a = np.ascontiguousarray(a)
+    return pa.Array.from_buffers(pa.binary(), len(a), [None, pa.py_buffer(np.arange(len(a) + 1, dtype=np.int32) * np.int32(a.nbytes // max(len(a), 1))), pa.py_buffer(a)])
 
 
 def most_similar(df: DataFrame, k: int = K, dimensions: dict[str, int] | None = None, confidence: float = CONFIDENCE) -> DataFrame:
@@ -192,122 +227,84 @@ def most_similar(df: DataFrame, k: int = K, dimensions: dict[str, int] | None =
     dimensions = dimensions or DIMENSIONS
     spark = df.sparkSession
     chi = quantiles(confidence)
-    valid = valid_vectors(df, dimensions).withColumn("_copy", F.xxhash64("vector"))
+    valid = unit_vectors(df, dimensions).withColumn("_copy", F.xxhash64("v"))
     w = Window.partitionBy("run_id", "model", "_copy").orderBy("vec_id")
     kept = valid.withColumn("_rank", F.dense_rank().over(w)).where(F.col("_rank") <= k + 1)
     kept = kept.dropDuplicates(["run_id", "model", "_copy", "vec_id"])
-    sizes = {(r["run_id"], r["model"]): r["n"] for r in valid.groupBy("run_id", "model").agg(F.count("*").alias("n")).collect()}
+    sizes = {(r["run_id"], r["model"]): r["n"] for r in df.where(F.col("model").isin(*dimensions)).groupBy(F.coalesce("run_id", F.lit("")).alias("run_id"), "model").agg(F.count("*").alias("n")).collect()}
     total = sum(sizes.values())
-    trees: dict[tuple[str, str], tuple[int, Tree]] = {}
-    if total:
-        share = min(1.0, TREE_SAMPLE / total)
-        # Hash of the vector, not of the row: a sample of distinct vectors whichever ids hold them.
-        drawn = valid.where(F.pmod(F.xxhash64(F.lit(5), "_copy"), F.lit(1_000_000)) < int(share * 1_000_000)).limit(2 * TREE_SAMPLE)
-        sample = _projected(drawn, dimensions).toPandas()
-        groups = {g: np.array(p["y"].tolist(), np.float32).reshape(-1, M) for g, p in sample.groupby(["run_id", "model"])}
-        first = 0
-        for g, n in sorted(sizes.items()):
-            t = Tree(groups.get(g, np.zeros((0, M), np.float32)), math.ceil(n / CELL))
-            trees[g] = (first, t)
-            first += 1 << t.depth
-    index = spark.sparkContext.broadcast(trees)  # at most TREE_SAMPLE / 16 cells of 2 * M floats
-    dims = dict(dimensions)
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # Hash of the vector, not of the row: a sample of distinct vectors whichever ids hold them.
+    share = min(1.0, TREE_SAMPLE / max(total, 1))
+    drawn = valid.where(F.pmod(F.xxhash64(F.lit(5), "_copy"), F.lit(1_000_000)) < int(share * 1_000_000)).select("run_id", "model", "v").limit(2 * TREE_SAMPLE).toPandas()
+    groups = {g: np.frombuffer(b"".join(p["v"]), np.float16).astype(np.float32).reshape(len(p), -1) for g, p in drawn.groupby(["run_id", "model"])}
+    names = sorted(groups)
+    depth = max([math.ceil(math.log2(max(1, math.ceil(sizes[g] / CELL)))) for g in names], default=0)
+    forest: list[list[tuple[int, Tree]]] = []
+    for i in range(trees_for(depth)):
+        first, row = 0, []
+        for g in names:
+            row.append((first, Tree(groups[g] @ projection(groups[g].shape[1], i), math.ceil(sizes[g] / CELL))))
+            first += 1 << row[-1][1].depth
+        forest.append(row)
+    index = spark.sparkContext.broadcast((names, forest))  # at most TREE_SAMPLE / 16 cells of 2 * M floats per tree
+
+    def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, forest = index.value
+        at = {g: i for i, g in enumerate(names)}
+        for b in batches:
+            group = np.array([at[g] for g in zip(b.column("run_id").to_pylist(), b.column("model").to_pylist())], np.int32)
+            for g in np.unique(group):
+                rows = pa.array(np.flatnonzero(group == g))
+                part = b.take(rows)
+                x = _rows(part.column("v"), np.float16).astype(np.float32)
+                first, tree = forest[0][g]
+                n = len(part)
+                state = np.zeros((n, k), [("id", np.int64), ("s", np.float32)])
+                state["id"], state["s"] = -1, -np.inf
+                yield pa.RecordBatch.from_arrays([pa.array(first + tree.place(x @ projection(x.shape[1], 0))), pa.array(np.full(n, g, np.int32)), part.column("vec_id"), part.column("v"), _binary(state), pa.array(np.zeros(n, bool))], ["cell", "g", "vec_id", "v", "best", "done"])
+
+    shape = "cell long, g int, vec_id long, v binary, best binary, done boolean"
+    rows = kept.select("run_id", "model", "vec_id", "v").mapInArrow(start, shape)
+
+    def round_(i: int):
+        def visit(t: pa.Table) -> pa.Table:
+            forest = index.value[1]
+            g = t.column("g")[0].as_py()
+            first, tree = forest[i][g]
+            ids, x = t.column("vec_id").to_numpy(), _rows(t.column("v"), np.float16).astype(np.float32)
+            y = x @ projection(x.shape[1], i)
+            state = _rows(t.column("best"), np.uint8).copy().view([("id", np.int64), ("s", np.float32)]).reshape(len(ids), k)
+            who, best = state["id"].copy(), state["s"].copy()
+            done = t.column("done").to_numpy(zero_copy_only=False).astype(bool)
+            Cell(ids, x, y).search(np.flatnonzero(~done), who, best, k, chi)
+            state["id"], state["s"] = who, best
+            bound = np.where(np.isfinite(best[:, k - 1]), 2 - 2 * best[:, k - 1], np.inf)
+            done |= tree.room(y, np.full(len(ids), t.column("cell")[0].as_py() - first)) > chi[1] * bound
+            last = i + 1 == len(forest)
+            cell = ids if last else forest[i + 1][g][0] + forest[i + 1][g][1].place(x @ projection(x.shape[1], i + 1))
+            v = pa.nulls(len(ids), pa.binary()) if last else t.column("v")
+            return pa.table({"cell": pa.array(cell), "g": t.column("g"), "vec_id": t.column("vec_id"), "v": v, "best": _binary(state), "done": pa.array(done)})
+
+        return visit
+
+    for i in range(len(forest)):
+        rows = rows.groupBy("cell").applyInArrow(round_(i), shape)
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not len(b):
                 continue
-            runs, models = b.column("run_id").to_pylist(), b.column("model").to_pylist()
-            cell = np.zeros(len(b), np.int64)
-            group = np.array([f"{m}\0{r}" for r, m in zip(runs, models)])
-            for g in np.unique(group):
-                rows = np.flatnonzero(group == g)
-                m, r = str(g).split("\0", 1)
-                first, tree = index.value[(r, m)]
-                x = _matrix(b.column("vector").take(pa.array(rows)), dims[m])
-                y = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ projection(dims[m])
-                cell[rows] = first + tree.place(y)
-            yield pa.RecordBatch.from_arrays([pa.array(cell), b.column("vec_id"), b.column("vector")], ["cell", "vec_id", "vector"])
-
-    placed = kept.select("run_id", "model", "vec_id", "vector").mapInArrow(place, "cell long, vec_id long, vector array<float>")
-
-    def unit(t: pa.Table) -> np.ndarray:
-        col = t.column("vector").combine_chunks()
-        x = _matrix(col, len(col.flatten()) // len(col))
-        return x / np.linalg.norm(x, axis=1, keepdims=True)
-
-    starts = np.array(sorted(f for f, _ in trees.values()), np.int64)
-    by_start = {f: g for g, (f, _) in trees.items()}
-
-    def table(cells: np.ndarray, ids: np.ndarray, x: np.ndarray | None, dk: np.ndarray | None, who: np.ndarray | None, sims: np.ndarray | None) -> pa.Table:
-        n = len(ids)
-        lists = lambda a, kind: pa.ListArray.from_arrays(np.arange(0, a.size + 1, a.shape[1], dtype=np.int32), pa.array(a.ravel(), kind)) if a is not None and n else pa.nulls(n, pa.list_(kind))
-        return pa.table({"cell": pa.array(cells, pa.int64()), "vec_id": pa.array(ids, pa.int64()), "vector": lists(x, pa.float32()), "dk": pa.array(dk, pa.float32()) if dk is not None else pa.nulls(n, pa.float32()), "who": lists(who, pa.int64()), "sims": lists(sims, pa.float32())})
-
-    def at_home(t: pa.Table) -> pa.Table:
-        """Rows to pass on: what was found (cell < 0) and the queries to further cells."""
-        cell = t.column("cell")[0].as_py()
-        ids, x = t.column("vec_id").to_numpy(), unit(t)
-        who, sims = Cell(ids, x).search(ids, x, np.full(len(ids), np.inf, np.float32), k, chi)
-        out = [table(-1 - ids % 4096, ids, None, None, who, sims)]
-        first = int(starts[np.searchsorted(starts, cell, side="right") - 1])
-        tree = index.value[by_start[first]][1]
-        dk = np.where(np.isfinite(sims[:, k - 1]), 2 - 2 * sims[:, k - 1], np.inf).astype(np.float32)
-        if tree.depth:
-            y = x @ projection(x.shape[1])
-            for i in range(0, len(ids), 1024):
-                dist, crossed = _outside(y[i : i + 1024], tree.lo, tree.hi)
-                q, c = np.nonzero(dist <= chi[crossed] * dk[i : i + 1024, None])
-                away = c + first != cell
-                q, c = q[away] + i, c[away] + first
-                if len(q):
-                    out.append(table(c, ids[q], x[q], dk[q], None, None))
-        return pa.concat_tables(out)
-
-    shape = "cell long, vec_id long, vector array<float>, dk float, who array<long>, sims array<float>"
-    found = placed.groupBy("cell").applyInArrow(at_home, shape)
-
-    def away(t: pa.Table) -> pa.Table:
-        if t.column("cell")[0].as_py() < 0:
-            return t.select(["vec_id", "who", "sims"])
-        data = t.column("dk").is_null().to_numpy()
-        d, q = t.filter(pa.array(data)), t.filter(pa.array(~data))
-        if not len(d) or not len(q):
-            return table(np.zeros(0), np.zeros(0), None, None, None, None).select(["vec_id", "who", "sims"])
-        ids = q.column("vec_id").to_numpy()
-        who, sims = Cell(d.column("vec_id").to_numpy(), unit(d)).search(ids, unit(q), q.column("dk").to_numpy(), k, chi)
-        any_ = np.isfinite(sims[:, 0])
-        return table(np.zeros(int(any_.sum())), ids[any_], None, None, who[any_], sims[any_]).select(["vec_id", "who", "sims"])
-
-    nothing = placed.select("cell", "vec_id", "vector", F.lit(None).cast("float").alias("dk"), F.lit(None).cast("array<long>").alias("who"), F.lit(None).cast("array<float>").alias("sims"))
-    lists = found.unionByName(nothing).groupBy("cell").applyInArrow(away, "vec_id long, who array<long>, sims array<float>")
-    # A query has one list per visited cell, each of at most k entries.
-    entries = F.filter(F.zip_with("who", "sims", lambda a, b: F.struct((-b).alias("s"), a.alias("id"))), lambda e: e["id"] >= 0)
-    best = lists.groupBy("vec_id").agg(F.slice(F.sort_array(F.flatten(F.collect_list(entries))), 1, k).alias("best"))
-    near = best.select("vec_id", F.posexplode("best").alias("i", "e")).select("vec_id", F.col("e.id").alias("neighbour"), (-F.col("e.s")).cast("double").alias("similarity"), (F.col("i") + 1).alias("rank"))
+            state = _rows(b.column("best"), np.uint8).copy().view([("id", np.int64), ("s", np.float32)]).reshape(len(b), k)
+            r, c = np.nonzero(state["id"] >= 0)
+            yield pa.RecordBatch.from_arrays([b.column("vec_id").take(pa.array(r)), pa.array(state["id"][r, c]), pa.array(state["s"][r, c].astype(np.float64)), pa.array((c + 1).astype(np.int32))], ["vec_id", "neighbour", "similarity", "rank"])
+
+    near = rows.select("vec_id", "best").mapInArrow(unpack, "vec_id long, neighbour long, similarity double, rank int")
     copies = kept.groupBy("run_id", "model", "_copy").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).where(F.size("ids") == k + 1)
     rest = valid.select("run_id", "model", "_copy", "vec_id").join(small(copies), ["run_id", "model", "_copy"]).where(F.col("vec_id") > F.col("ids")[k])
     more = rest.select("vec_id", F.posexplode(F.slice("ids", 1, k)).alias("i", "neighbour")).select("vec_id", "neighbour", F.lit(1.0).alias("similarity"), (F.col("i") + 1).alias("rank")).distinct()
     return near.unionByName(more)
 
 
-def _projected(df: DataFrame, dimensions: dict[str, int]) -> DataFrame:
-    dims = dict(dimensions)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            models = np.array(b.column("model").to_pylist(), dtype=object)
-            y = np.zeros((len(b), M), np.float32)
-            for m in set(models):
-                rows = np.flatnonzero(models == m)
-                x = _matrix(b.column("vector").take(pa.array(rows)), dims[m])
-                y[rows] = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ projection(dims[m])
-            lists = pa.ListArray.from_arrays(np.arange(0, y.size + 1, M, dtype=np.int32), pa.array(y.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column("run_id"), b.column("model"), lists], ["run_id", "model", "y"])
-
-    return df.select("run_id", "model", "vector").mapInArrow(run, "run_id string, model string, y array<float>")
-
-
 def similar_pairs(neighbours: DataFrame) -> DataFrame:
     """(vec_a, vec_b), vec_a < vec_b, of which at least one has the other among its neighbours; each pair once."""
     return neighbours.select(F.least("vec_id", "neighbour").alias("vec_a"), F.greatest("vec_id", "neighbour").alias("vec_b")).where(F.col("vec_a") < F.col("vec_b")).distinct()
