@@ -303,6 +303,17 @@ def furniture(chunks: DataFrame, manifest: DataFrame | None) -> frozenset[int]:
     return frozenset(r["_hash"] for r in rows)
 
 
+def text_language(text: str, profiles: Profiles) -> str | None:
+    """The language of a whole text; null where it has fewer than a dozen trigrams."""
+    _, sums = profiles.running(text)
+    return LANGUAGES[int(sums[-1].argmax())] if len(sums) > 12 else None
+
+
+def document_prototypes(documents: DataFrame, rows: int = 1500) -> np.ndarray:
+    """Prototypes from a bounded sample of documents under their own labels."""
+    return train(documents.select(language_name(F.col("lang")).alias("label"), "text"), rows=rows)
+
+
 def chunk_prototypes(chunks: DataFrame, manifest: DataFrame, skip: frozenset[int] = frozenset()) -> np.ndarray:
     """Prototypes from a bounded sample of chunks under their manifest rows' labels."""
     held = current_manifest(manifest.select("id", "line_no", "language")).select(F.col("id").alias("_id"), language_name(F.col("language")).alias("label")).where(F.col("label").isNotNull())

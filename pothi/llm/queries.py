@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from .common import current_manifest, language_name, read
 from .consensus import consensus
-from .language import chunk_prototypes, documents_of_chunks, furniture, passages, scores
+from .language import chunk_prototypes, document_prototypes, documents_of_chunks, furniture, passages, scores
 from .leakage import RUN, leaks
 from .packing import containers, pack
+from .reading_level import LEVELS, profile, reading_levels
 from .repeated_lines import remove_lines, repeated_lines
 from .similar_vectors import most_similar, similar_pairs
 from .splitting import split_oversized
@@ -103,8 +104,21 @@ def p9_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "questions"))
 
 
+def p10_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents")
+    return reading_levels(documents, document_prototypes(documents))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p10_levels(spark, sf_dir).where(F.col("level") == LEVELS[2]).select("doc_id")
+
+
+def p10_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return profile(p10_levels(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [p2_found, p2_consensus, p2_annotators, p4_found, p4_lines, p4_clean, p5_found, p5_documents, p5_passages, p6_found, p6_neighbours, p7_found, p7_pieces, p8_packing, p8_containers, p9_found, p9_leaks]
+    found = [p2_found, p2_consensus, p2_annotators, p4_found, p4_lines, p4_clean, p5_found, p5_documents, p5_passages, p6_found, p6_neighbours, p7_found, p7_pieces, p8_packing, p8_containers, p9_found, p9_leaks, p10_found, p10_levels, p10_profile]
     return {f.__name__: f for f in found}
 
 
