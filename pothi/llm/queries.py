@@ -11,6 +11,7 @@ from .common import current_manifest, language_name, read
 from .consensus import consensus
 from .language import chunk_prototypes, document_prototypes, documents_of_chunks, furniture, passages, scores
 from .leakage import RUN, leaks
+from . import near_duplicates
 from .packing import containers, pack
 from .reading_level import LEVELS, profile, reading_levels
 from .repeated_lines import remove_lines, repeated_lines
@@ -31,6 +32,14 @@ def p2_annotators(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consensus(read(spark, sf_dir, "second_annotation"))[1]
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.similar_pairs(*near_duplicates.similar_texts(read(spark, sf_dir, "chunks")))
+
+
+def p3_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.groups(*near_duplicates.similar_texts(read(spark, sf_dir, "chunks")))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_lines(read(spark, sf_dir, "chunks"), read(spark, sf_dir, "manifest"))[1]
 
@@ -118,7 +127,7 @@ def p10_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [p2_found, p2_consensus, p2_annotators, p4_found, p4_lines, p4_clean, p5_found, p5_documents, p5_passages, p6_found, p6_neighbours, p7_found, p7_pieces, p8_packing, p8_containers, p9_found, p9_leaks, p10_found, p10_levels, p10_profile]
+    found = [p2_found, p2_consensus, p2_annotators, p3_found, p3_groups, p4_found, p4_lines, p4_clean, p5_found, p5_documents, p5_passages, p6_found, p6_neighbours, p7_found, p7_pieces, p8_packing, p8_containers, p9_found, p9_leaks, p10_found, p10_levels, p10_profile]
     return {f.__name__: f for f in found}
 
 
