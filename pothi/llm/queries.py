@@ -15,10 +15,19 @@ from . import near_duplicates
 from .packing import containers, pack
 from .reading_level import LEVELS, profile, reading_levels
 from .repeated_lines import remove_lines, repeated_lines
+from .scanned_text import Repairer
 from .similar_vectors import most_similar, similar_pairs
 from .splitting import split_oversized
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Repairer(read(spark, sf_dir, "chunks"), read(spark, sf_dir, "manifest")).fixes()
+
+
+def p1_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Repairer(read(spark, sf_dir, "chunks"), read(spark, sf_dir, "manifest")).texts()
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     items, _ = consensus(read(spark, sf_dir, "second_annotation"))
     return items.where(F.col("label") == "no").select("question_id")
@@ -127,7 +136,7 @@ def p10_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [p2_found, p2_consensus, p2_annotators, p3_found, p3_groups, p4_found, p4_lines, p4_clean, p5_found, p5_documents, p5_passages, p6_found, p6_neighbours, p7_found, p7_pieces, p8_packing, p8_containers, p9_found, p9_leaks, p10_found, p10_levels, p10_profile]
+    found = [p1_found, p1_repaired, p2_found, p2_consensus, p2_annotators, p3_found, p3_groups, p4_found, p4_lines, p4_clean, p5_found, p5_documents, p5_passages, p6_found, p6_neighbours, p7_found, p7_pieces, p8_packing, p8_containers, p9_found, p9_leaks, p10_found, p10_levels, p10_profile]
     return {f.__name__: f for f in found}
 
 
