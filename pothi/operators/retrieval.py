@@ -66,8 +66,9 @@ def top(scored: DataFrame, k: int) -> DataFrame:
 
 
 def cosine(a: str, b: str) -> Column:
+    """Cosine of two arrays of one size; null where one is all zero."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+    return F.try_divide(dot(a, b), F.sqrt(dot(a, a) * dot(b, b)))
 
 
 def dense(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
