@@ -4,6 +4,8 @@
 2. Every text gets RARE bucket keys, each of RARE_ROWS minima of an exponential race in which a shingle runs with weight
    1 / max(count, COMMON): rare shingles, which tell texts apart, win against phrases that stand everywhere. Another EVEN keys of EVEN_ROWS plain
    minima serve large groups of copies, whose shared shingles are no longer rare. Texts of equal content are one node.
+   Keys that only one text has are left out before any shuffle by a bit filter: every task sends its keys' hashed places (4 bytes a key), places
+   that came up twice set a bit. A full filter lets more keys pass, and loses none.
 3. Nodes that share a bucket are compared by their 1-bit min-hash signatures of BITS bits. The signatures of up to 64 nodes form a block
    of vertical bit planes; a query's Hamming distances to the whole block are counted at once with carry-save bitwise adders,
    and a block is abandoned as soon as all its counters exceed the radius. Buckets over BLOCK nodes are cut into a grid of
@@ -14,19 +16,23 @@
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, small
-from .leakage import _flat, _mix, word_hashes
+from .common import cut, small, written
+from .leakage import _flat, _mix
+from .words import flat_words
 
 SHINGLE, THRESHOLD = 3, 0.5
-RARE, RARE_ROWS, COMMON, EVEN, EVEN_ROWS = 28, 2, 32, 14, 8
+RARE, RARE_ROWS, COMMON, EVEN, EVEN_ROWS = 28, 2, 32, 8, 8
 BITS, SLOTS, BLOCK = 256, 1 << 21, 2048
+#: Bits of the filter of shared keys (32 MB), the most that is broadcast.
+FILTER_BITS = 28
 _SEGMENTS = 64
 
 
@@ -47,25 +53,25 @@ def shingles(words: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray
     return h, np.searchsorted(row, np.arange(len(sizes) + 1))
 
 
-def shingle_counts(words: DataFrame, n: int = SHINGLE) -> np.ndarray:
+def shingle_counts(texts: DataFrame, n: int = SHINGLE) -> np.ndarray:
     """Number of texts by shingle slot over the whole corpus: SLOTS counters, added up in the cluster by segments."""
     part = SLOTS // _SEGMENTS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SLOTS, np.int64)
         for b in batches:
-            h, _ = shingles(*_flat(b.column("words")), n)
+            h, _ = shingles(*flat_words(b.column("text").to_pylist()), n)
             total += np.bincount((h & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
-        rows = [total[i * part : (i + 1) * part].astype(np.int32).tobytes() for i in range(_SEGMENTS)]
+        rows = [zlib.compress(total[i * part : (i + 1) * part].astype(np.int32).tobytes(), 1) for i in range(_SEGMENTS)]
         yield pa.RecordBatch.from_arrays([pa.array(range(_SEGMENTS), pa.int32()), pa.array(rows, pa.binary())], ["segment", "counts"])
 
     def add(t: pa.Table) -> pa.Table:
         total = np.zeros(part, np.int64)
         for blob in t.column("counts"):
-            total += np.frombuffer(blob.as_buffer(), np.int32)
+            total += np.frombuffer(zlib.decompress(blob.as_buffer()), np.int32)
         return pa.table({"segment": t.column("segment").slice(0, 1), "counts": pa.array([np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()], pa.binary())})
 
-    rows = words.select("words").mapInArrow(count, "segment int, counts binary").groupBy("segment").applyInArrow(add, "segment int, counts binary").collect()
+    rows = texts.select("text").mapInArrow(count, "segment int, counts binary").groupBy("segment").applyInArrow(add, "segment int, counts binary").collect()
     out = np.zeros(SLOTS, np.int32)
     for r in rows:
         out[r["segment"] * part : (r["segment"] + 1) * part] = np.frombuffer(r["counts"], np.int32)
@@ -219,38 +225,76 @@ def close_pairs(group: np.ndarray, side: np.ndarray, sig: np.ndarray, limit: int
     return np.concatenate(out_a), np.concatenate(out_b)
 
 
-def _nodes(words: DataFrame, counts: np.ndarray, n: int) -> DataFrame:
-    """(chunk_id, node, keys) of the texts that have a shingle."""
-    shared = words.sparkSession.sparkContext.broadcast(counts)
+def _nodes(texts: DataFrame, counts: np.ndarray, n: int) -> DataFrame:
+    """(chunk_id, node, keys, sig) of the texts that have a shingle."""
+    shared = texts.sparkSession.sparkContext.broadcast(counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            h, offsets = shingles(*_flat(b.column("words")), n)
+            h, offsets = shingles(*flat_words(b.column("text").to_pylist()), n)
             if not len(h):
                 continue
             has, keys = bucket_keys(h, offsets, shared.value)
             take = pa.array(has)
             lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, RARE + EVEN, dtype=np.int32), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([b.column("chunk_id").take(take), b.column("node").take(take), lists], ["chunk_id", "node", "keys"])
+            sig = signatures(h, np.concatenate([offsets[has], [len(h)]]))
+            yield pa.RecordBatch.from_arrays([b.column("chunk_id").take(take), b.column("node").take(take), lists, pa.array([r.tobytes() for r in sig], pa.binary())], ["chunk_id", "node", "keys", "sig"])
 
-    return words.select("chunk_id", "node", "words").mapInArrow(run, "chunk_id long, node long, keys array<long>")
+    return texts.select("chunk_id", "node", "text").mapInArrow(run, "chunk_id long, node long, keys array<long>, sig binary")
 
 
-def _signed(words: DataFrame, n: int) -> DataFrame:
-    """(node, sig, shingles) of rows with words."""
+def shared_slots(nodes: DataFrame) -> np.ndarray:
+    """Bit filter of the places, 2^FILTER_BITS of them, at which keys of more than one row stand."""
+    part = (1 << FILTER_BITS) // _SEGMENTS
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, _ = _flat(b.column("keys"))
+            slots = np.sort((keys & np.uint64((1 << FILTER_BITS) - 1)).astype(np.uint32))
+            ends = np.searchsorted(slots, np.arange(1, _SEGMENTS + 1, dtype=np.int64) * part)
+            starts = np.concatenate([[0], ends[:-1]])
+            yield pa.RecordBatch.from_arrays([pa.array(range(_SEGMENTS), pa.int32()), pa.array([slots[s:e].tobytes() for s, e in zip(starts, ends)], pa.binary())], ["segment", "slots"])
+
+    def unite(t: pa.Table) -> pa.Table:
+        segment = t.column("segment")[0].as_py()
+        slots = np.sort(np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in t.column("slots")])) - np.uint32(segment * part)
+        twice = np.zeros(part, bool)
+        twice[slots[1:][slots[1:] == slots[:-1]]] = True
+        return pa.table({"segment": t.column("segment").slice(0, 1), "slots": pa.array([np.packbits(twice, bitorder="little").tobytes()], pa.binary())})
+
+    rows = nodes.select("keys").mapInArrow(send, "segment int, slots binary").groupBy("segment").applyInArrow(unite, "segment int, slots binary").collect()
+    out = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
+    for r in rows:
+        out[r["segment"] * (part // 8) : (r["segment"] + 1) * (part // 8)] = np.frombuffer(r["slots"], np.uint8)
+    return out
+
+
+def _passed(nodes: DataFrame, filter_: np.ndarray) -> DataFrame:
+    """(node, key) of the keys that pass the filter, each once per batch."""
+    shared = nodes.sparkSession.sparkContext.broadcast(filter_)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            h, offsets = shingles(*_flat(b.column("words")), n)
-            has = np.flatnonzero(np.diff(offsets) > 0)
-            if not len(has):
-                continue
-            starts = np.concatenate([offsets[has], [len(h)]])
-            sig = signatures(h, starts)
-            lists = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(h.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column("node").take(pa.array(has)), pa.array([r.tobytes() for r in sig], pa.binary()), lists], ["node", "sig", "shingles"])
+            keys, offsets = _flat(b.column("keys"))
+            slots = (keys & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
+            ok = (shared.value[slots >> 3] >> (slots & 7).astype(np.uint8)) & np.uint8(1) == 1
+            node = np.repeat(b.column("node").to_numpy(), np.diff(offsets))[ok]
+            rows = np.unique(np.stack([node, keys[ok].view(np.int64)], 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1])], ["node", "key"])
+
+    return nodes.select("node", "keys").mapInArrow(run, "node long, key long")
+
+
+def _sets(texts: DataFrame, n: int) -> DataFrame:
+    """(node, shingles): the distinct shingles of texts as 32-bit hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            h, offsets = shingles(*flat_words(b.column("text").to_pylist()), n)
+            lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array((h >> np.uint64(32)).astype(np.uint32).view(np.int32)))
+            yield pa.RecordBatch.from_arrays([b.column("node"), lists], ["node", "shingles"])
 
-    return words.select("node", "words").mapInArrow(run, "node long, sig binary, shingles array<long>")
+    return texts.select("node", "text").mapInArrow(run, "node long, shingles array<int>")
 
 
 def _compare(buckets: DataFrame, limit: int) -> DataFrame:
@@ -267,6 +311,7 @@ def _compare(buckets: DataFrame, limit: int) -> DataFrame:
             i, j = close_pairs(group, batch.column("side").to_numpy(), sig, limit)
             if not len(i):
                 return None
+            i, j = i[node[i] != node[j]], j[node[i] != node[j]]
             a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
             pairs = np.unique(np.stack([a, b], 1), axis=0)
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
@@ -294,22 +339,28 @@ def similar_texts(chunks: DataFrame, threshold: float = THRESHOLD, n: int = SHIN
     A node is one content, so exact copies, however many, are one node and cost no pairs. Null texts and texts of fewer than `n` words have
     no node. Rows that repeat an id are one member. Empty input gives empty results.
     """
-    words = chunks.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("chunk_id"), F.xxhash64(text).alias("node"), word_hashes(F.col(text)).alias("words")).where(F.size("words") >= n)
-    nodes = cut(_nodes(words, shingle_counts(words, n), n))
+    texts = chunks.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("chunk_id"), F.xxhash64(text).alias("node"), F.col(text).alias("text"))
+    nodes = written(_nodes(texts, shingle_counts(texts, n), n))
     members = nodes.select("node", "chunk_id").distinct()
-    rows = nodes.select("node", F.explode("keys").alias("key")).distinct()
-    sizes = rows.groupBy("key").agg(F.count("*").alias("_n")).where(F.col("_n") > 1)
-    shared = cut(rows.join(sizes, "key"))
-    wanted = cut(members.join(shared.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("chunk_id").alias("chunk_id")))
-    some = words.join(small(wanted.select("chunk_id")), "chunk_id", "left_semi").dropDuplicates(["node"])
-    signed = cut(_signed(some, n))
+    in_bucket = Window.partitionBy("key")
+    shared = written(
+        _passed(nodes, shared_slots(nodes))
+        .withColumn("_n", F.count("*").over(in_bucket))
+        .where(F.col("_n") > 1)
+        .withColumn("_other", F.min("node").over(in_bucket) != F.max("node").over(in_bucket))
+        .where("_other")
+        .select("key", "node", "_n")
+    )
     grid = F.ceil(F.col("_n") / F.lit(BLOCK)).cast("long")
     at = F.pmod(F.xxhash64("node", F.lit(3)), grid)
     placed = shared.withColumn("_grid", grid).withColumn("_at", at).withColumn("_to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_grid") - 1)))
     placed = placed.select("key", F.least("_at", "_to").alias("lo"), F.greatest("_at", "_to").alias("hi"), F.when(F.col("_at") == F.col("_to"), 2).when(F.col("_at") < F.col("_to"), 0).otherwise(1).alias("side"), "node")
-    buckets = placed.join(signed.select("node", "sig"), "node").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    pairs = _compare(buckets, radius(threshold))
-    sets = signed.select("node", "shingles")
+    sigs = nodes.join(small(shared.select("node").distinct()), "node", "left_semi").groupBy("node").agg(F.first("sig").alias("sig"))
+    buckets = placed.join(sigs, "node").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    pairs = written(_compare(buckets, radius(threshold)))
+    paired = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = written(members.join(paired, "node", "left_semi").groupBy("node").agg(F.min("chunk_id").alias("chunk_id")))
+    sets = written(_sets(texts.join(small(wanted.select("chunk_id")), "chunk_id", "left_semi").dropDuplicates(["node"]), n))
     checked = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("_x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("_y")), "b")
     both = F.size(F.array_intersect("_x", "_y"))
     similarity = both / (F.size("_x") + F.size("_y") - both)
