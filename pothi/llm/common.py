@@ -30,10 +30,12 @@ def current_manifest(manifest: DataFrame) -> DataFrame:
     return held.select("id", *[F.col("_row")[c].alias(c) for c in rest])
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the cluster's shared checkpoint folder; only where none is set (tests) use a local one."""
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(os.path.join(tempfile.gettempdir(), "pothi-checkpoints"))
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder named by spark.checkpoint.dir; only where that is unset (tests) a local one."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "pothi-checkpoints"))
+    return named or spark.sparkContext.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -47,9 +49,8 @@ def written(df: DataFrame) -> DataFrame:
 
     Takes less disk than a checkpoint where rows are many; the folder is that of spark.checkpoint.dir.
     """
-    ensure_checkpoint_dir(df.sparkSession)
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    base = ensure_checkpoint_dir(spark)
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/pothi-{uuid.uuid4().hex}")
     path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
     df.write.option("compression", "zstd").parquet(path.toString())

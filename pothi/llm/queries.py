@@ -119,7 +119,7 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "questions"))
+    return leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "questions"), edits=0)
 
 
 def p10_levels(spark: SparkSession, sf_dir: str) -> DataFrame:

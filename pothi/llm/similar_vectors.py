@@ -15,10 +15,12 @@ Each tree is one shuffle of the vectors, so the moved bytes are linear in them.
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -217,6 +219,18 @@ def _binary(a: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(a), [None, pa.py_buffer(np.arange(len(a) + 1, dtype=np.int32) * np.int32(a.nbytes // max(len(a), 1))), pa.py_buffer(a)])
 
 
+_INDEX: dict = {}
+
+
+def _unpickled(shared) -> tuple[list[tuple[str, str]], list[list[tuple[int, Tree]]]]:
+    """The value of a broadcast of pickled bytes, loaded once per worker process."""
+    blob = shared.value
+    if id(blob) not in _INDEX:
+        _INDEX.clear()
+        _INDEX[id(blob)] = (blob, pickle.loads(blob))
+    return _INDEX[id(blob)][1]
+
+
 def most_similar(df: DataFrame, k: int = K, dimensions: dict[str, int] | None = None, confidence: float = CONFIDENCE) -> DataFrame:
     """vec_id, neighbour, similarity, rank: the k vectors of the same run and model with the highest cosine to each vector.
 
@@ -246,10 +260,11 @@ def most_similar(df: DataFrame, k: int = K, dimensions: dict[str, int] | None =
             row.append((first, Tree(groups[g] @ projection(groups[g].shape[1], i), math.ceil(sizes[g] / CELL))))
             first += 1 << row[-1][1].depth
         forest.append(row)
-    index = spark.sparkContext.broadcast((names, forest))  # at most TREE_SAMPLE / 16 cells of 2 * M floats per tree
+    # At most TREE_SAMPLE / 16 cells of 2 * M floats per tree; pickled by value, so workers need no copy of the package.
+    index = spark.sparkContext.broadcast(cloudpickle.dumps((names, forest)))
 
     def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, forest = index.value
+        names, forest = _unpickled(index)
         at = {g: i for i, g in enumerate(names)}
         for b in batches:
             group = np.array([at[g] for g in zip(b.column("run_id").to_pylist(), b.column("model").to_pylist())], np.int32)
@@ -268,7 +283,7 @@ def most_similar(df: DataFrame, k: int = K, dimensions: dict[str, int] | None =
 
     def round_(i: int):
         def visit(t: pa.Table) -> pa.Table:
-            forest = index.value[1]
+            forest = _unpickled(index)[1]
             g = t.column("g")[0].as_py()
             first, tree = forest[i][g]
             ids, x = t.column("vec_id").to_numpy(), _rows(t.column("v"), np.float16).astype(np.float32)
