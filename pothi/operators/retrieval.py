@@ -41,14 +41,14 @@ def bm25(chunks: DataFrame, questions: DataFrame, k: int = 5) -> DataFrame:
     a query with fewer than k chunks above zero is filled from the others in order. Ties by (document_id, ordinal), on scores rounded to 9 digits.
     The postings are cut to the queries' terms before they are joined; partial sums are combined before the shuffle.
     """
-    index = postings(chunks)
-    size = chunks.agg(F.count("*").alias("n"), F.avg(F.size(T.tokens(F.col("text")))).alias("mean"))
-    n, mean = size.first()
+    index = postings(chunks).persist()  # read for the statistics and for the scores; spills to disk
+    n = chunks.count()
+    mean = (index.agg(F.sum("tf")).first()[0] or 0) / max(n, 1)
     stats = term_stats(index).withColumn("raw", F.log(F.lit(n) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     floor = EPSILON * (stats.agg(F.avg("raw")).first()[0] or 0.0)
     terms = questions.select("query_id", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
     wanted = terms.join(stats, "term").select("query_id", "term", "times", F.when(F.col("raw") < 0, floor).otherwise(F.col("raw")).alias("idf"))
-    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(mean)))
+    part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(mean or 1.0)))
     scored = index.join(_few(wanted), "term").groupBy("query_id", "document_id", "ordinal").agg(F.sum(part).alias("score"))
     above = scored.where(F.round("score", 9) > 0).groupBy("query_id").agg(F.count("*").alias("n")).where(F.col("n") >= k)
     short = questions.select("query_id").join(above, "query_id", "left_anti")
