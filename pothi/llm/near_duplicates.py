@@ -1,12 +1,11 @@
 """Near-duplicate texts: word shingles, weighted min-hash buckets, bit-sliced Hamming comparison, exact check.
 
-1. Shingles of SHINGLE words are counted over the whole corpus in a count vector of SLOTS hashed places (proven size).
-2. Every text gets RARE bucket keys, each of RARE_ROWS minima of an exponential race in which a shingle runs with weight
-   1 / max(count, COMMON): rare shingles, which tell texts apart, win against phrases that stand everywhere. Another EVEN keys of EVEN_ROWS plain
-   minima serve large groups of copies, whose shared shingles are no longer rare. Texts of equal content are one node.
+1. Every text is hashed to BITS minima of its distinct shingles of SHINGLE words. Each minimum agrees with chance J, the pair's Jaccard similarity.
+2. Every BAND_ROWS minima make one of BANDS bucket keys, without weights: two texts meet with chance 1 - (1 - J^3)^BANDS, 0.9994 at J = 0.5,
+   however common their shingles are and however large their group is. Texts of equal content are one node.
    Keys that only one text has are left out before any shuffle by a bit filter: every task sends its keys' hashed places (4 bytes a key), places
    that came up twice set a bit. A full filter lets more keys pass, and loses none.
-3. Nodes that share a bucket are compared by their 1-bit min-hash signatures of BITS bits. The signatures of up to 64 nodes form a block
+3. Nodes that share a bucket are compared by their 1-bit min-hash signatures, a bit of each minimum. The signatures of up to 64 nodes form a block
    of vertical bit planes; a query's Hamming distances to the whole block are counted at once with carry-save bitwise adders,
    and a block is abandoned as soon as all its counters exceed the radius. Buckets over BLOCK nodes are cut into a grid of
    sub-buckets, each pair of which is a task group of its own, so no bucket is too hot for a task.
@@ -16,21 +15,20 @@
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, small, written
-from .leakage import _flat, _mix
+from .leakage import _mix
 from .words import flat_words
 
 SHINGLE, THRESHOLD = 3, 0.5
-RARE, RARE_ROWS, COMMON, EVEN, EVEN_ROWS = 28, 2, 32, 8, 8
-BITS, SLOTS, BLOCK = 256, 1 << 21, 2048
+BANDS, BAND_ROWS = 56, 3
+BITS, BLOCK = 256, 2048
 #: Bits of the filter of shared keys (32 MB), the most that is broadcast.
 FILTER_BITS = 28
 _SEGMENTS = 64
@@ -53,74 +51,33 @@ def shingles(words: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray
     return h, np.searchsorted(row, np.arange(len(sizes) + 1))
 
 
-def shingle_counts(texts: DataFrame, n: int = SHINGLE) -> np.ndarray:
-    """Number of texts by shingle slot over the whole corpus: SLOTS counters, added up in the cluster by segments."""
-    part = SLOTS // _SEGMENTS
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SLOTS, np.int64)
-        for b in batches:
-            h, _ = shingles(*flat_words(b.column("text").to_pylist()), n)
-            total += np.bincount((h & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
-        rows = [zlib.compress(total[i * part : (i + 1) * part].astype(np.int32).tobytes(), 1) for i in range(_SEGMENTS)]
-        yield pa.RecordBatch.from_arrays([pa.array(range(_SEGMENTS), pa.int32()), pa.array(rows, pa.binary())], ["segment", "counts"])
-
-    def add(t: pa.Table) -> pa.Table:
-        total = np.zeros(part, np.int64)
-        for blob in t.column("counts"):
-            total += np.frombuffer(zlib.decompress(blob.as_buffer()), np.int32)
-        return pa.table({"segment": t.column("segment").slice(0, 1), "counts": pa.array([np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()], pa.binary())})
-
-    rows = texts.select("text").mapInArrow(count, "segment int, counts binary").groupBy("segment").applyInArrow(add, "segment int, counts binary").collect()
-    out = np.zeros(SLOTS, np.int32)
-    for r in rows:
-        out[r["segment"] * part : (r["segment"] + 1) * part] = np.frombuffer(r["counts"], np.int32)
-    return out
-
-
-def bucket_keys(h: np.ndarray, offsets: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of the texts that have shingles, and their RARE + EVEN keys."""
-    has = np.flatnonzero(np.diff(offsets) > 0)
-    # Slots shared by chance lift all counts by about their mean; what is common starts above that.
-    common = COMMON + 4 * counts.mean()
-    slow = np.maximum(counts[(h & np.uint64(SLOTS - 1)).astype(np.int64)], common).astype(np.float32)
-    x = (h ^ (h >> np.uint64(32))).astype(np.uint32)
-    starts = offsets[:-1][has]
-    rng = np.random.default_rng(4099)
-    keys = np.zeros((len(has), RARE + EVEN), np.uint64)
-    with np.errstate(over="ignore"):
-        for b in range(RARE + EVEN):
-            for _ in range(RARE_ROWS if b < RARE else EVEN_ROWS):
-                u = x * np.uint32(rng.integers(1, 1 << 32) | 1) + np.uint32(rng.integers(0, 1 << 32))
-                u ^= u >> np.uint32(15)
-                u *= np.uint32(0x2C1B3C6D)
-                u ^= u >> np.uint32(13)
-                if b < RARE:
-                    race = -np.log((u.astype(np.float32) + np.float32(1)) * np.float32(2**-32)) * slow
-                    least = np.minimum.reduceat(race, starts).view(np.uint32)
-                else:
-                    least = np.minimum.reduceat(u, starts)
-                keys[:, b] = (keys[:, b] ^ least.astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
-                keys[:, b] ^= keys[:, b] >> np.uint64(31)
-            keys[:, b] ^= np.uint64(b + 1) * np.uint64(0x94D049BB133111EB)
-    return has, keys.view(np.int64)
-
-
-def signatures(h: np.ndarray, offsets: np.ndarray, bits: int = BITS) -> np.ndarray:
-    """1-bit min-hash signatures, (texts, bits / 64) words. Every text must have a shingle."""
+def sketches(h: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket keys (texts, BANDS), 32 bits each, and 1-bit min-hash signatures (texts, BITS / 64 words). Every text must have a shingle."""
     x = (h ^ (h >> np.uint64(32))).astype(np.uint32)
+    n = len(offsets) - 1
+    keys, sig = np.zeros((n, BANDS), np.uint32), np.zeros((n, BITS // 64), np.uint64)
     rng = np.random.default_rng(8209)
-    out = np.zeros((len(offsets) - 1, bits // 64), np.uint64)
+    factors = [(np.uint32(rng.integers(1, 1 << 32) | 1), np.uint32(rng.integers(0, 1 << 32))) for _ in range(BITS)]
     with np.errstate(over="ignore"):
-        for p in range(bits):
-            u = x * np.uint32(rng.integers(1, 1 << 32) | 1) + np.uint32(rng.integers(0, 1 << 32))
-            u ^= u >> np.uint32(16)
-            u *= np.uint32(0x45D9F3B)
-            u ^= u >> np.uint32(15)
-            least = np.minimum.reduceat(u, offsets[:-1])
-            least = (least * np.uint32(0x9E3779B1)) >> np.uint32(31)
-            out[:, p // 64] |= least.astype(np.uint64) << np.uint64(p % 64)
-    return out
+        for s in range(0, n, 256):  # few texts at a time stay in the processor's cache
+            e = min(s + 256, n)
+            part, starts = x[offsets[s] : offsets[e]], offsets[s:e] - offsets[s]
+            key = np.zeros(e - s, np.uint64)
+            for p, (factor, plus) in enumerate(factors):
+                u = part * factor
+                u += plus
+                u ^= u >> np.uint32(16)
+                u *= np.uint32(0x45D9F3B)
+                u ^= u >> np.uint32(15)
+                least = np.minimum.reduceat(u, starts)
+                sig[s:e, p // 64] |= ((least * np.uint32(0x9E3779B1)) >> np.uint32(31)).astype(np.uint64) << np.uint64(p % 64)
+                band, row = divmod(p, BAND_ROWS)
+                if band < BANDS:
+                    key = ((key if row else np.uint64(0)) ^ least.astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+                    key ^= key >> np.uint64(31)
+                    if row == BAND_ROWS - 1:
+                        keys[s:e, band] = key >> np.uint64(16)
+    return keys, sig
 
 
 def radius(threshold: float, bits: int = BITS) -> int:
@@ -225,32 +182,36 @@ def close_pairs(group: np.ndarray, side: np.ndarray, sig: np.ndarray, limit: int
     return np.concatenate(out_a), np.concatenate(out_b)
 
 
-def _nodes(texts: DataFrame, counts: np.ndarray, n: int) -> DataFrame:
-    """(chunk_id, node, keys, sig) of the texts that have a shingle."""
-    shared = texts.sparkSession.sparkContext.broadcast(counts)
+def _nodes(texts: DataFrame, n: int) -> DataFrame:
+    """(chunk_id, node, keys, sig) of the texts that have a shingle. keys: 4 bytes a band, in the bands' order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             h, offsets = shingles(*flat_words(b.column("text").to_pylist()), n)
             if not len(h):
                 continue
-            has, keys = bucket_keys(h, offsets, shared.value)
+            has = np.flatnonzero(np.diff(offsets) > 0)
             take = pa.array(has)
-            lists = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, RARE + EVEN, dtype=np.int32), pa.array(keys.ravel()))
-            sig = signatures(h, np.concatenate([offsets[has], [len(h)]]))
-            yield pa.RecordBatch.from_arrays([b.column("chunk_id").take(take), b.column("node").take(take), lists, pa.array([r.tobytes() for r in sig], pa.binary())], ["chunk_id", "node", "keys", "sig"])
+            keys, sig = sketches(h, np.concatenate([offsets[has], [len(h)]]))
+            yield pa.RecordBatch.from_arrays([b.column("chunk_id").take(take), b.column("node").take(take), pa.array([r.tobytes() for r in keys], pa.binary()), pa.array([r.tobytes() for r in sig], pa.binary())], ["chunk_id", "node", "keys", "sig"])
 
-    return texts.select("chunk_id", "node", "text").mapInArrow(run, "chunk_id long, node long, keys array<long>, sig binary")
+    return texts.select("chunk_id", "node", "text").mapInArrow(run, "chunk_id long, node long, keys binary, sig binary")
 
 
-def shared_slots(nodes: DataFrame) -> np.ndarray:
-    """Bit filter of the places, 2^FILTER_BITS of them, at which keys of more than one row stand."""
+def _matrix(column: pa.Array, dtype: type) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(len(column), -1)
+
+
+def shared_slots(nodes: DataFrame, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
+    """Bit filter of the places, 2^FILTER_BITS of them, at which keys of more than one row stand; (2, places) the places of more than
+    `block` rows, in order, and their rows."""
     part = (1 << FILTER_BITS) // _SEGMENTS
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, _ = _flat(b.column("keys"))
-            slots = np.sort((keys & np.uint64((1 << FILTER_BITS) - 1)).astype(np.uint32))
+            if not len(b):
+                continue
+            slots = np.sort(_matrix(b.column("keys"), np.uint32).ravel() & np.uint32((1 << FILTER_BITS) - 1))
             ends = np.searchsorted(slots, np.arange(1, _SEGMENTS + 1, dtype=np.int64) * part)
             starts = np.concatenate([[0], ends[:-1]])
             yield pa.RecordBatch.from_arrays([pa.array(range(_SEGMENTS), pa.int32()), pa.array([slots[s:e].tobytes() for s, e in zip(starts, ends)], pa.binary())], ["segment", "slots"])
@@ -260,29 +221,48 @@ def shared_slots(nodes: DataFrame) -> np.ndarray:
         slots = np.sort(np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in t.column("slots")])) - np.uint32(segment * part)
         twice = np.zeros(part, bool)
         twice[slots[1:][slots[1:] == slots[:-1]]] = True
-        return pa.table({"segment": t.column("segment").slice(0, 1), "slots": pa.array([np.packbits(twice, bitorder="little").tobytes()], pa.binary())})
+        place, rows = np.unique(slots[block:][slots[block:] == slots[:-block]], return_counts=True)
+        hot = np.stack([place.astype(np.int64) + segment * part, rows + block])
+        return pa.table({"segment": t.column("segment").slice(0, 1), "slots": pa.array([np.packbits(twice, bitorder="little").tobytes()], pa.binary()), "hot": pa.array([hot.tobytes()], pa.binary())})
 
-    rows = nodes.select("keys").mapInArrow(send, "segment int, slots binary").groupBy("segment").applyInArrow(unite, "segment int, slots binary").collect()
+    rows = nodes.select("keys").mapInArrow(send, "segment int, slots binary").groupBy("segment").applyInArrow(unite, "segment int, slots binary, hot binary").collect()
     out = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
     for r in rows:
         out[r["segment"] * (part // 8) : (r["segment"] + 1) * (part // 8)] = np.frombuffer(r["slots"], np.uint8)
-    return out
+    hot = [np.frombuffer(r["hot"], np.int64).reshape(2, -1) for r in sorted(rows, key=lambda r: r["segment"])]
+    return out, np.concatenate([np.zeros((2, 0), np.int64), *hot], 1)
 
 
-def _passed(nodes: DataFrame, filter_: np.ndarray) -> DataFrame:
-    """(node, key) of the keys that pass the filter, each once per batch."""
-    shared = nodes.sparkSession.sparkContext.broadcast(filter_)
+def _placed(nodes: DataFrame, filter_: np.ndarray, hot: np.ndarray, block: int = BLOCK) -> DataFrame:
+    """(key, lo, hi, side, node, sig) of the keys that pass the filter; keys at hot places are cut into a grid of sub-buckets."""
+    shared = nodes.sparkSession.sparkContext.broadcast((filter_, hot))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, (places, sizes) = shared.value
         for b in batches:
-            keys, offsets = _flat(b.column("keys"))
-            slots = (keys & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
-            ok = (shared.value[slots >> 3] >> (slots & 7).astype(np.uint8)) & np.uint8(1) == 1
-            node = np.repeat(b.column("node").to_numpy(), np.diff(offsets))[ok]
-            rows = np.unique(np.stack([node, keys[ok].view(np.int64)], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1])], ["node", "key"])
-
-    return nodes.select("node", "keys").mapInArrow(run, "node long, key long")
+            if not len(b):
+                continue
+            keys, nodes, sig = _matrix(b.column("keys"), np.uint32), b.column("node").to_numpy(), b.column("sig")
+            slots = (keys & np.uint32((1 << FILTER_BITS) - 1)).astype(np.int64)
+            row, band = np.nonzero((bits[slots >> 3] >> (slots & 7).astype(np.uint8)) & np.uint8(1))
+            key, slot = (band << 32) | keys[row, band], slots[row, band]
+            grid = np.ones(len(row), np.int64)
+            if len(places):
+                at = np.minimum(np.searchsorted(places, slot), len(places) - 1)
+                grid = np.where(places[at] == slot, -(-sizes[at] // block), 1)
+            mine = (_mix(nodes.view(np.uint64)[row], 3) % grid.astype(np.uint64)).astype(np.int64)
+            ends = np.cumsum(grid)
+            for s in range(0, int(ends[-1]) if len(ends) else 0, 1 << 18):
+                at = np.arange(s, min(s + (1 << 18), int(ends[-1])))
+                i = np.searchsorted(ends, at, "right")
+                to, own = at - (ends[i] - grid[i]), mine[i]
+                side = np.where(own == to, 2, np.where(own < to, 0, 1)).astype(np.int8)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key[i]), pa.array(np.minimum(own, to).astype(np.int32)), pa.array(np.maximum(own, to).astype(np.int32)), pa.array(side), pa.array(nodes[row[i]]), sig.take(pa.array(row[i]))],
+                    ["key", "lo", "hi", "side", "node", "sig"],
+                )
+
+    return nodes.select("node", "keys", "sig").mapInArrow(run, "key long, lo int, hi int, side byte, node long, sig binary")
 
 
 def _sets(texts: DataFrame, n: int) -> DataFrame:
@@ -306,7 +286,11 @@ def _compare(buckets: DataFrame, limit: int) -> DataFrame:
         def flush(batch: pa.Table) -> pa.RecordBatch | None:
             key = np.stack([batch.column(c).to_numpy() for c in ("key", "lo", "hi")])
             group = np.concatenate([[0], np.cumsum((key[:, 1:] != key[:, :-1]).any(0))])
-            sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint64).reshape(batch.num_rows, -1)
+            many = np.flatnonzero(np.bincount(group)[group] > 1)
+            batch, group = batch.take(pa.array(many)), group[many]
+            if not len(many):
+                return None
+            sig = _matrix(batch.column("sig"), np.uint64)
             node = batch.column("node").to_numpy()
             i, j = close_pairs(group, batch.column("side").to_numpy(), sig, limit)
             if not len(i):
@@ -340,23 +324,11 @@ def similar_texts(chunks: DataFrame, threshold: float = THRESHOLD, n: int = SHIN
     no node. Rows that repeat an id are one member. Empty input gives empty results.
     """
     texts = chunks.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("chunk_id"), F.xxhash64(text).alias("node"), F.col(text).alias("text"))
-    nodes = written(_nodes(texts, shingle_counts(texts, n), n))
+    nodes = written(_nodes(texts, n).withColumn("_row", F.monotonically_increasing_id()))
     members = nodes.select("node", "chunk_id").distinct()
-    in_bucket = Window.partitionBy("key")
-    shared = written(
-        _passed(nodes, shared_slots(nodes))
-        .withColumn("_n", F.count("*").over(in_bucket))
-        .where(F.col("_n") > 1)
-        .withColumn("_other", F.min("node").over(in_bucket) != F.max("node").over(in_bucket))
-        .where("_other")
-        .select("key", "node", "_n")
-    )
-    grid = F.ceil(F.col("_n") / F.lit(BLOCK)).cast("long")
-    at = F.pmod(F.xxhash64("node", F.lit(3)), grid)
-    placed = shared.withColumn("_grid", grid).withColumn("_at", at).withColumn("_to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_grid") - 1)))
-    placed = placed.select("key", F.least("_at", "_to").alias("lo"), F.greatest("_at", "_to").alias("hi"), F.when(F.col("_at") == F.col("_to"), 2).when(F.col("_at") < F.col("_to"), 0).otherwise(1).alias("side"), "node")
-    sigs = nodes.join(small(shared.select("node").distinct()), "node", "left_semi").groupBy("node").agg(F.first("sig").alias("sig"))
-    buckets = placed.join(sigs, "node").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    copied = written(nodes.groupBy("node").agg(F.count("*").alias("_copies"), F.min("_row").alias("_first")).where(F.col("_copies") > 1).select("node", "_first"))
+    once = nodes.join(small(copied), "node", "left").where(F.col("_first").isNull() | (F.col("_first") == F.col("_row")))
+    buckets = _placed(once, *shared_slots(once)).repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
     pairs = written(_compare(buckets, radius(threshold)))
     paired = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     wanted = written(members.join(paired, "node", "left_semi").groupBy("node").agg(F.min("chunk_id").alias("chunk_id")))

@@ -98,6 +98,50 @@ def test_similarity_pairs_against_brute_force(spark):
     assert near_duplicates.similar_pairs(*empty).count() == 0
 
 
+def test_similarity_pairs_in_a_large_group_of_copies(spark):
+    """Each text has its own edits, so that only what all copies share, common shingles, can bring a pair together."""
+    g = np.random.default_rng(12)
+    base, texts = g.integers(0, 10**9, 120), []
+    for _ in range(1000):
+        w = base.copy()
+        at = g.choice(len(w), (3, 5, 6, 7)[len(texts) % 4], replace=False)
+        w[at] = g.integers(0, 10**9, len(at))
+        texts.append(w)
+    ids = {}
+    sets = np.array([[ids.setdefault(tuple(w[i : i + 3]), len(ids)) for i in range(len(w) - 2)] for w in texts])
+    has = np.zeros((len(texts), len(ids)), np.float32)
+    has[np.arange(len(texts))[:, None], sets] = 1
+    both = has @ has.T
+    j = both / (has.sum(1)[:, None] + has.sum(1) - both)
+    df = spark.createDataFrame([(i, "d", None, " ".join(f"w{x}" for x in w), 1, 1, None) for i, w in enumerate(texts)], CHUNK)
+    got = near_duplicates.similar_pairs(*near_duplicates.similar_texts(df)).toPandas().to_numpy()
+    found = np.zeros(j.shape, bool)
+    found[got[:, 0], got[:, 1]] = True
+    a, b = np.triu_indices(len(texts), 1)
+    assert not found[a, b][j[a, b] < 0.5].any() and len(got) == found.sum()
+    for low, high in ((0.5, 0.55), (0.55, 0.6), (0.6, 0.7), (0.7, 0.9)):
+        inside = (j[a, b] >= low) & (j[a, b] < high)
+        assert inside.sum() > 1000 and found[a, b][inside].mean() > 0.99
+
+
+def test_hot_buckets_are_cut_into_a_grid(spark, monkeypatch):
+    """With blocks of 64 rows every bucket of the group is a grid; the pairs are the same, and exact copies are one row of it."""
+    r = random.Random(31)
+    base = " ".join(sentence(r) for _ in range(8)).split()
+    texts = []
+    for _ in range(200):
+        w = list(base)
+        w[r.randrange(len(w))] = r.choice(NAMES) + str(r.random())
+        texts.append(" ".join(w))
+    df = spark.createDataFrame([(i, "d", None, t, 1, 1, None) for i, t in enumerate(texts + [texts[0]] * 300)], CHUNK)
+    nodes = near_duplicates._nodes(df.select("chunk_id", F.xxhash64("text").alias("node"), "text").limit(200), 3)
+    filter_, hot = near_duplicates.shared_slots(nodes, 64)
+    assert hot.shape[1] > 0 and (hot[1] > 64).all() and (np.diff(hot[0]) > 0).all()
+    buckets = near_duplicates._placed(nodes, filter_, hot, 64).repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    assert near_duplicates._compare(buckets, near_duplicates.radius(0.5)).count() == 200 * 199 // 2
+    assert near_duplicates.similar_texts(df)[0].count() == 200 * 199 // 2
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1, 0.9) for i in range(0, 60)] + [(100, 101, 0.9)], "a long, b long, similarity double")
     got = {x["node"]: x["group"] for x in near_duplicates.components(links).collect()}
