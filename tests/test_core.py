@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pothi import schemas
 from pothi.functions import text as T
 from pothi.operators import chunking, corpus, evaluation, parsing, retrieval
+from pothi.plans import queries
 from pothi.sources import readers, store
 from pothi.streaming.ingest import ingest_stream
 
@@ -86,6 +87,30 @@ def test_similarity(spark):
     assert one(spark, parsing.normalize(F.col("t")), t=" é \n a ") == "é a"
 
 
+def test_similarity_query_takes_whole_texts(spark, tmp_path):
+    def lev(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    asked = [("h", "किसान को अनुदान कब मिलेगा?", "किसानों को अनुदान मार्च में मिलेगा।"), ("l", "a" * 2000 + "bcd", "a" * 2000 + "xyzw"), ("e", "é", ""), ("n", None, "x")]
+    spark.createDataFrame(asked, "id string, question string, gold_answer string").write.parquet(f"{tmp_path}/questions.parquet")
+    got = {r["id"]: r for r in queries.QUERIES["f6_text_similarity"](spark, str(tmp_path)).collect()}
+    for i, o, g in asked[:2]:
+        assert got[i]["edits"] == lev(o, g) and got[i]["similarity"] == pytest.approx(1 - lev(o, g) / len(g), abs=1e-6)
+    assert got["e"]["similarity"] == 0.0 and got["e"]["edits"] == 1 and got["n"]["edits"] is None
+
+
+def test_table_query_keeps_long_tables(spark, tmp_path):
+    table = "| a | b |\n| --- | --- |\n" + "\n".join(f"| {i} | x |" for i in range(61))
+    spark.createDataFrame([("long", table), ("none", "prose")], "doc_id string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["teds"] for r in queries.QUERIES["f13_teds"](spark, str(tmp_path)).collect()}
+    assert set(got) == {"long"} and 0.9 < got["long"] < 1
+
+
 def test_gold_blocks_and_order(spark):
     page = "# Title\n\nOne\ntwo\n| a |\n| - |\n| 1 |\n\nLast"
     rows = parsing.gold_blocks(spark.createDataFrame([("p", page)], "page_id string, text string")).orderBy("block_no").collect()
