@@ -175,12 +175,12 @@ def _gather(rows: list[tuple[int, str]], profiles: Profiles, agree: bool) -> lis
 
 
 def train(labelled: DataFrame, skip: frozenset[int] = frozenset(), rows: int = SAMPLE_ROWS) -> np.ndarray:
-    """Prototypes (languages x DIM) from columns `label` and `text`, of which at most `rows` rows are used.
+    """Prototypes (languages x DIM) from columns `label` and `text`, of which at most `rows` rows are used, each with its whole text.
 
     Labels may be wrong for some rows: after a first bundling, twice only those sentences are bundled
     that the prototypes give the label's own language. Prototypes are taken relative to their mean.
     """
-    labelled = labelled.where(F.col("label").isin(*LANGUAGES) & F.col("text").isNotNull()).select("label", F.substring("text", 1, 4000).alias("text"))
+    labelled = labelled.where(F.col("label").isin(*LANGUAGES) & F.col("text").isNotNull()).select("label", "text")
     total = labelled.count()
     share = min(1.0, 1.2 * rows / max(total, 1))
     pdf = (labelled if share >= 1 else labelled.sample(share, 7)).limit(rows).toPandas()

@@ -194,6 +194,16 @@ LANG = {
 }
 
 
+def test_language_is_learnt_from_whole_texts(spark):
+    """Nothing but numbers stands in the first 4,000 characters."""
+    r = random.Random(6)
+    rows = [(lang, "12 " * 1400 + "\n" + " ".join(r.choice(LANG[lang]) for _ in range(6))) for lang in LANG for _ in range(12)]
+    prototypes = language.train(spark.createDataFrame(rows, "label string, text string"))
+    assert np.linalg.norm(prototypes, axis=1).min() > 0.9
+    profiles = language.Profiles(prototypes)
+    assert all(language.text_language(" ".join(LANG[lang]), profiles) == lang for lang in LANG)
+
+
 def test_language_of_passages(spark):
     r = random.Random(4)
     rows, manifest = [], []
