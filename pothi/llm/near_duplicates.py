@@ -1,14 +1,15 @@
-"""Near-duplicate texts: word shingles, weighted min-hash buckets, bit-sliced Hamming comparison, exact check.
-
-1. Every text is hashed to BITS minima of its distinct shingles of SHINGLE words. Each minimum agrees with chance J, the pair's Jaccard similarity.
-2. Every BAND_ROWS minima make one of BANDS bucket keys, without weights: two texts meet with chance 1 - (1 - J^3)^BANDS, 0.9994 at J = 0.5,
-   however common their shingles are and however large their group is. Texts of equal content are one node.
-   Keys that only one text has are left out before any shuffle by a bit filter: every task sends its keys' hashed places (4 bytes a key), places
-   that came up twice set a bit. A full filter lets more keys pass, and loses none.
-3. Nodes that share a bucket are compared by their 1-bit min-hash signatures, a bit of each minimum. The signatures of up to 64 nodes form a block
+"""Near-duplicate texts: min-hash buckets of word shingles, bit-sliced Hamming comparison, exact check.
+
+1. Every text is hashed to minima of its shingles of SHINGLE words, one per hash function. A minimum agrees with chance J, the pair's Jaccard
+   similarity, however common the shingles are and however large a group of copies is.
+2. `rows` minima make a bucket key, and there are so many keys that a pair at the threshold meets with chance MEET. More rows need more keys but
+   meet fewer strangers; the number of rows that compares at most COMPARISONS strangers a text is taken, told by a bounded sample of
+   texts (PLAN_SAMPLE). The choice changes the cost only: every number of rows has the same chance.
+   Keys that only one content has are left out before any shuffle by a bit filter (common.hash_filter). A full filter lets more keys pass, and loses none.
+3. Contents that share a bucket are compared by their 1-bit min-hash signatures. The signatures of up to 64 contents form a block
    of vertical bit planes; a query's Hamming distances to the whole block are counted at once with carry-save bitwise adders,
-   and a block is abandoned as soon as all its counters exceed the radius. Buckets over BLOCK nodes are cut into a grid of
-   sub-buckets, each pair of which is a task group of its own, so no bucket is too hot for a task.
+   and a block is abandoned as soon as all its counters exceed the radius. Buckets over BLOCK rows are cut into a grid of
+   sub-buckets, each pair of which is a group of its own, so no bucket is too hot for a task.
 4. Pairs within the radius are verified by their exact Jaccard similarity.
 """
 
@@ -22,62 +23,114 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, small, written
-from .leakage import _mix
+from .common import cut, filter_bits, hash_filter, passes, small, written
 from .words import flat_words
 
 SHINGLE, THRESHOLD = 3, 0.5
-BANDS, BAND_ROWS = 56, 3
-BITS, BLOCK = 256, 2048
-#: Bits of the filter of shared keys (32 MB), the most that is broadcast.
-FILTER_BITS = 28
-_SEGMENTS = 64
+#: Chance with which a pair at the threshold shares a bucket.
+MEET = 0.994
+BITS, BLOCK = 256, 8192
+#: Strangers a text may be compared with before keys of more rows are taken; the rows to choose from.
+COMPARISONS, ROWS = 20_000, (2, 3, 4, 5)
+#: Texts, at most, whose minima tell how often strangers share a key.
+PLAN_SAMPLE = 4_000
 
 
-def shingles(words: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashed shingles of every row, flat and sorted within the row, and their offsets."""
+def mix(x: np.ndarray, seed: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = (x ^ np.uint64(0x9E3779B97F4A7C15 * (seed + 1) % (1 << 64))) * np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(29)
+        x *= np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(32))
+
+
+def runs(words: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of n words of every row, flat, in order, and their offsets."""
     sizes = np.maximum(np.diff(offsets) - n + 1, 0)
-    row = np.repeat(np.arange(len(sizes)), sizes)
-    at = offsets[row] + np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    at = np.arange(ends[-1]) + np.repeat(offsets[:-1] - ends[:-1], sizes)
     h = np.zeros(len(at), np.uint64)
     with np.errstate(over="ignore"):
         for i in range(n):
-            h = (h ^ _mix(words[at + i], i)) * np.uint64(0x9E3779B97F4A7C15)
+            h += words[at + i] * np.uint64((0x9E3779B97F4A7C15 * (2 * i + 1)) % (1 << 64) | 1)
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        h ^= h >> np.uint64(32)
+    return h, ends
+
+
+def shingles(words: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashed shingles of every row, flat and sorted within the row, and their offsets."""
+    h, ends = runs(words, offsets, n)
+    row = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
     order = np.lexsort((h, row))
     h, row = h[order], row[order]
     keep = np.ones(len(h), bool)
     keep[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
     h, row = h[keep], row[keep]
-    return h, np.searchsorted(row, np.arange(len(sizes) + 1))
+    return h, np.searchsorted(row, np.arange(len(ends)))
 
 
-def sketches(h: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket keys (texts, BANDS), 32 bits each, and 1-bit min-hash signatures (texts, BITS / 64 words). Every text must have a shingle."""
-    x = (h ^ (h >> np.uint64(32))).astype(np.uint32)
-    n = len(offsets) - 1
-    keys, sig = np.zeros((n, BANDS), np.uint32), np.zeros((n, BITS // 64), np.uint64)
+def minima(h: np.ndarray, offsets: np.ndarray, functions: int) -> np.ndarray:
+    """(texts, functions): the least value of every hash function over each text's shingles. Every text must have one.
+
+    Texts of like size are laid side by side as the columns of a table, so a function costs one product and one minimum a cell.
+    """
+    x = (h >> np.uint64(32)).astype(np.uint32)
+    sizes = np.diff(offsets)
     rng = np.random.default_rng(8209)
-    factors = [(np.uint32(rng.integers(1, 1 << 32) | 1), np.uint32(rng.integers(0, 1 << 32))) for _ in range(BITS)]
+    factors = [(np.uint32(rng.integers(1, 1 << 32) | 1), np.uint32(rng.integers(0, 1 << 32))) for _ in range(functions)]
+    out = np.empty((len(sizes), functions), np.uint32)
+    order = np.argsort(-sizes, kind="stable")
+    s = 0
     with np.errstate(over="ignore"):
-        for s in range(0, n, 256):  # few texts at a time stay in the processor's cache
-            e = min(s + 256, n)
-            part, starts = x[offsets[s] : offsets[e]], offsets[s:e] - offsets[s]
-            key = np.zeros(e - s, np.uint64)
+        while s < len(order):
+            longest = int(sizes[order[s]])
+            texts = order[s : s + max(1, min(512, (1 << 15) // longest))]
+            at = offsets[texts] + np.minimum(np.arange(longest)[:, None], sizes[texts] - 1)
+            table = x[at]
+            u = np.empty_like(table)
             for p, (factor, plus) in enumerate(factors):
-                u = part * factor
+                np.multiply(table, factor, out=u)
                 u += plus
-                u ^= u >> np.uint32(16)
-                u *= np.uint32(0x45D9F3B)
-                u ^= u >> np.uint32(15)
-                least = np.minimum.reduceat(u, starts)
-                sig[s:e, p // 64] |= ((least * np.uint32(0x9E3779B1)) >> np.uint32(31)).astype(np.uint64) << np.uint64(p % 64)
-                band, row = divmod(p, BAND_ROWS)
-                if band < BANDS:
-                    key = ((key if row else np.uint64(0)) ^ least.astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
-                    key ^= key >> np.uint64(31)
-                    if row == BAND_ROWS - 1:
-                        keys[s:e, band] = key >> np.uint64(16)
-    return keys, sig
+                out[texts, p] = u.min(axis=0)
+            s += len(texts)
+    return out
+
+
+def bands_for(rows: int, threshold: float = THRESHOLD, meet: float = MEET) -> int:
+    """Keys of so many rows with which a pair at the threshold shares one with the wanted chance."""
+    return math.ceil(math.log(1 - meet) / math.log(1 - threshold**rows))
+
+
+def bucket_keys(least: np.ndarray, rows: int, bands: int) -> np.ndarray:
+    """(texts, bands) keys of 32 bits."""
+    key = np.zeros((len(least), bands), np.uint64)
+    with np.errstate(over="ignore"):
+        for r in range(rows):
+            key = (key ^ least[:, r : rows * bands : rows].astype(np.uint64)) * np.uint64(0xBF58476D1CE4E5B9)
+            key ^= key >> np.uint64(31)
+        key = key * np.uint64(0x94D049BB133111EB) + (np.arange(bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return (key >> np.uint64(32)).astype(np.uint32)
+
+
+def signatures(least: np.ndarray) -> np.ndarray:
+    """1-bit min-hash signatures (texts, BITS / 64 words): a bit of each of the first BITS minima."""
+    bits = ((least[:, :BITS] * np.uint32(0x9E3779B1)) >> np.uint32(31)).astype(np.uint8)
+    return np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+
+
+def plan_rows(sample: np.ndarray, texts: int, threshold: float = THRESHOLD) -> int:
+    """Rows of a key: the fewest that compare no more than COMPARISONS strangers a text, else those that compare fewest. sample: minima of some texts."""
+    n, loads = len(sample), []
+    for rows in ROWS:
+        shared = 0
+        for s in range(0, 60, rows):
+            _, c = np.unique(sample[:, s : s + rows], axis=0, return_counts=True)
+            shared += int((c.astype(np.int64) * (c - 1)).sum())
+        share = shared / max(len(range(0, 60, rows)) * n * (n - 1), 1)
+        loads.append(bands_for(rows, threshold) * share * texts)
+    return next((r for r, load in zip(ROWS, loads) if load <= COMPARISONS), ROWS[int(np.argmin(loads))])
 
 
 def radius(threshold: float, bits: int = BITS) -> int:
@@ -86,6 +139,10 @@ def radius(threshold: float, bits: int = BITS) -> int:
     return min(bits, math.ceil(bits * p + 3.1 * math.sqrt(bits * p * (1 - p))))
 
 
+#: Pairs of a query and a block that are counted together.
+STRIPE = 16384
+
+
 class Counters:
     """Bit-sliced counters: plane k holds bit k of 64 lanes' counts, for many words at once."""
 
@@ -158,13 +215,17 @@ def close_pairs(group: np.ndarray, side: np.ndarray, sig: np.ndarray, limit: int
     wanted = filled[b] & np.where(b == block[q], later[q], ~np.uint64(0))
     wanted &= np.where(side[q] == 2, ~np.uint64(0), np.where(side[q] == 0, right[b], left[b]))
     live = np.flatnonzero(wanted)
+    # A query's bit as a whole word, once per row.
+    masks = np.zeros((bits, n), np.uint64)
+    for p in range(bits):
+        masks[p] = np.uint64(0) - ((sig[:, p // 64] >> np.uint64(p % 64)) & np.uint64(1))
     out_a, out_b = [], []
-    for s in range(0, len(live), 65536):
-        c = live[s : s + 65536]
+    for s in range(0, len(live), STRIPE):
+        c = live[s : s + STRIPE]
         qs, bs, ws = q[c], b[c], wanted[c]
         counters = Counters(len(c), bits)
         for p in range(0, bits, 8):
-            counters.add8([planes[k][bs] ^ (np.uint64(0) - ((sig[qs, k // 64] >> np.uint64(k % 64)) & np.uint64(1))) for k in range(p, p + 8)])
+            counters.add8([planes[k][bs] ^ masks[k][qs] for k in range(p, p + 8)])
             if p % 64 == 56:
                 near = ws & ~counters.over(limit)
                 rows = np.flatnonzero(near)
@@ -182,59 +243,63 @@ def close_pairs(group: np.ndarray, side: np.ndarray, sig: np.ndarray, limit: int
     return np.concatenate(out_a), np.concatenate(out_b)
 
 
-def _nodes(texts: DataFrame, n: int) -> DataFrame:
+def _batch_nodes(b: pa.RecordBatch, n: int, functions: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """Rows of a batch that have a shingle and, of each content, come first; their minima; for every row the row that stands for it, or -1."""
+    nodes = b.column("node").to_numpy()
+    _, first, which = np.unique(nodes, return_index=True, return_inverse=True)
+    h, offsets = runs(*flat_words(b.column("text").take(pa.array(first)).to_pylist()), n)
+    has = np.flatnonzero(np.diff(offsets) > 0)
+    if not len(has):
+        return None
+    at = np.full(len(first), -1)
+    at[has] = np.arange(len(has))
+    return minima(h, np.concatenate([offsets[has], [len(h)]]), functions), at[which]
+
+
+def _nodes(texts: DataFrame, n: int, rows: int, bands: int) -> DataFrame:
     """(chunk_id, node, keys, sig) of the texts that have a shingle. keys: 4 bytes a band, in the bands' order."""
+    functions = max(BITS, rows * bands)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            h, offsets = shingles(*flat_words(b.column("text").to_pylist()), n)
-            if not len(h):
+            found = _batch_nodes(b, n, functions) if len(b) else None
+            if found is None:
                 continue
-            has = np.flatnonzero(np.diff(offsets) > 0)
-            take = pa.array(has)
-            keys, sig = sketches(h, np.concatenate([offsets[has], [len(h)]]))
-            yield pa.RecordBatch.from_arrays([b.column("chunk_id").take(take), b.column("node").take(take), pa.array([r.tobytes() for r in keys], pa.binary()), pa.array([r.tobytes() for r in sig], pa.binary())], ["chunk_id", "node", "keys", "sig"])
+            least, at = found
+            keys = pa.array([r.tobytes() for r in bucket_keys(least, rows, bands)], pa.binary())
+            sig = pa.array([r.tobytes() for r in signatures(least)], pa.binary())
+            has = np.flatnonzero(at >= 0)
+            take, of = pa.array(has), pa.array(at[has])
+            yield pa.RecordBatch.from_arrays([b.column("chunk_id").take(take), b.column("node").take(take), keys.take(of), sig.take(of)], ["chunk_id", "node", "keys", "sig"])
 
     return texts.select("chunk_id", "node", "text").mapInArrow(run, "chunk_id long, node long, keys binary, sig binary")
 
 
-def _matrix(column: pa.Array, dtype: type) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(len(column), -1)
+def _planned(texts: DataFrame, n: int, threshold: float) -> int:
+    """Rows of a key for these texts."""
+    total = texts.count()
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = _batch_nodes(b, n, 60) if len(b) else None
+            if found is not None:
+                has = np.flatnonzero(found[1] >= 0)
+                yield pa.RecordBatch.from_arrays([b.column("node").take(pa.array(has)), pa.array([r.tobytes() for r in found[0][found[1][has]]], pa.binary())], ["node", "least"])
 
-def shared_slots(nodes: DataFrame, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
-    """Bit filter of the places, 2^FILTER_BITS of them, at which keys of more than one row stand; (2, places) the places of more than
-    `block` rows, in order, and their rows."""
-    part = (1 << FILTER_BITS) // _SEGMENTS
+    share = min(1.0, PLAN_SAMPLE / max(total, 1))
+    drawn = {r["node"]: r["least"] for r in texts.sample(share, 17).mapInArrow(run, "node long, least binary").limit(2 * PLAN_SAMPLE).collect()}
+    return plan_rows(np.frombuffer(b"".join(drawn.values()), np.uint32).reshape(len(drawn), -1), total, threshold) if len(drawn) > 1 else ROWS[0]
 
-    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not len(b):
-                continue
-            slots = np.sort(_matrix(b.column("keys"), np.uint32).ravel() & np.uint32((1 << FILTER_BITS) - 1))
-            ends = np.searchsorted(slots, np.arange(1, _SEGMENTS + 1, dtype=np.int64) * part)
-            starts = np.concatenate([[0], ends[:-1]])
-            yield pa.RecordBatch.from_arrays([pa.array(range(_SEGMENTS), pa.int32()), pa.array([slots[s:e].tobytes() for s, e in zip(starts, ends)], pa.binary())], ["segment", "slots"])
-
-    def unite(t: pa.Table) -> pa.Table:
-        segment = t.column("segment")[0].as_py()
-        slots = np.sort(np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in t.column("slots")])) - np.uint32(segment * part)
-        twice = np.zeros(part, bool)
-        twice[slots[1:][slots[1:] == slots[:-1]]] = True
-        place, rows = np.unique(slots[block:][slots[block:] == slots[:-block]], return_counts=True)
-        hot = np.stack([place.astype(np.int64) + segment * part, rows + block])
-        return pa.table({"segment": t.column("segment").slice(0, 1), "slots": pa.array([np.packbits(twice, bitorder="little").tobytes()], pa.binary()), "hot": pa.array([hot.tobytes()], pa.binary())})
-
-    rows = nodes.select("keys").mapInArrow(send, "segment int, slots binary").groupBy("segment").applyInArrow(unite, "segment int, slots binary, hot binary").collect()
-    out = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
-    for r in rows:
-        out[r["segment"] * (part // 8) : (r["segment"] + 1) * (part // 8)] = np.frombuffer(r["slots"], np.uint8)
-    hot = [np.frombuffer(r["hot"], np.int64).reshape(2, -1) for r in sorted(rows, key=lambda r: r["segment"])]
-    return out, np.concatenate([np.zeros((2, 0), np.int64), *hot], 1)
+
+def _matrix(column: pa.Array, dtype: type) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(len(column), -1)
 
 
 def _placed(nodes: DataFrame, filter_: np.ndarray, hot: np.ndarray, block: int = BLOCK) -> DataFrame:
-    """(key, lo, hi, side, node, sig) of the keys that pass the filter; keys at hot places are cut into a grid of sub-buckets."""
+    """(gid, tag, sig) of the keys that pass the filter; keys at hot places are cut into a grid of sub-buckets.
+
+    gid: the (sub-)bucket; tag: 4 times the row's number and its side, 2 where all pairs of the bucket count, else 0 or 1.
+    """
     shared = nodes.sparkSession.sparkContext.broadcast((filter_, hot))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,102 +307,146 @@ def _placed(nodes: DataFrame, filter_: np.ndarray, hot: np.ndarray, block: int =
         for b in batches:
             if not len(b):
                 continue
-            keys, nodes, sig = _matrix(b.column("keys"), np.uint32), b.column("node").to_numpy(), b.column("sig")
-            slots = (keys & np.uint32((1 << FILTER_BITS) - 1)).astype(np.int64)
-            row, band = np.nonzero((bits[slots >> 3] >> (slots & 7).astype(np.uint8)) & np.uint8(1))
-            key, slot = (band << 32) | keys[row, band], slots[row, band]
+            keys, ids, sig = _matrix(b.column("keys"), np.uint32), b.column("row").to_numpy(), b.column("sig")
+            row, band = np.nonzero(passes(bits, keys))
+            key = (band.astype(np.int64) << 32) | keys[row, band]
             grid = np.ones(len(row), np.int64)
             if len(places):
+                slot = (keys[row, band] & np.uint32(len(bits) * 8 - 1)).astype(np.int64)
                 at = np.minimum(np.searchsorted(places, slot), len(places) - 1)
                 grid = np.where(places[at] == slot, -(-sizes[at] // block), 1)
-            mine = (_mix(nodes.view(np.uint64)[row], 3) % grid.astype(np.uint64)).astype(np.int64)
+            mine = (mix(ids.view(np.uint64)[row], 3) % grid.astype(np.uint64)).astype(np.int64)
             ends = np.cumsum(grid)
             for s in range(0, int(ends[-1]) if len(ends) else 0, 1 << 18):
                 at = np.arange(s, min(s + (1 << 18), int(ends[-1])))
                 i = np.searchsorted(ends, at, "right")
                 to, own = at - (ends[i] - grid[i]), mine[i]
-                side = np.where(own == to, 2, np.where(own < to, 0, 1)).astype(np.int8)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key[i]), pa.array(np.minimum(own, to).astype(np.int32)), pa.array(np.maximum(own, to).astype(np.int32)), pa.array(side), pa.array(nodes[row[i]]), sig.take(pa.array(row[i]))],
-                    ["key", "lo", "hi", "side", "node", "sig"],
-                )
-
-    return nodes.select("node", "keys", "sig").mapInArrow(run, "key long, lo int, hi int, side byte, node long, sig binary")
-
-
-def _sets(texts: DataFrame, n: int) -> DataFrame:
-    """(node, shingles): the distinct shingles of texts as 32-bit hashes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            h, offsets = shingles(*flat_words(b.column("text").to_pylist()), n)
-            lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array((h >> np.uint64(32)).astype(np.uint32).view(np.int32)))
-            yield pa.RecordBatch.from_arrays([b.column("node"), lists], ["node", "shingles"])
+                side = np.where(own == to, 2, np.where(own < to, 0, 1))
+                cell = (np.minimum(own, to) << 20) + np.maximum(own, to)
+                gid = np.where(grid[i] == 1, key[i], (mix((key[i] ^ (cell << 1)).view(np.uint64), 5) >> np.uint64(1)).view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(gid), pa.array(ids[row[i]] * 4 + side), sig.take(pa.array(row[i]))], ["gid", "tag", "sig"])
 
-    return texts.select("node", "text").mapInArrow(run, "node long, shingles array<int>")
+    return nodes.select("row", "keys", "sig").mapInArrow(run, "gid long, tag long, sig binary")
 
 
 def _compare(buckets: DataFrame, limit: int) -> DataFrame:
-    """(a, b), a < b, node pairs within the limit. buckets: key, lo, hi, side, node, sig."""
+    """(a, b), a < b, row pairs within the limit. buckets: gid, tag, sig, sorted by gid."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[pa.RecordBatch] = []
-
-        def flush(batch: pa.Table) -> pa.RecordBatch | None:
-            key = np.stack([batch.column(c).to_numpy() for c in ("key", "lo", "hi")])
-            group = np.concatenate([[0], np.cumsum((key[:, 1:] != key[:, :-1]).any(0))])
+        def flush(parts: list[pa.RecordBatch]) -> pa.RecordBatch | None:
+            t = pa.Table.from_batches(parts).combine_chunks()
+            gid = t.column("gid").to_numpy()
+            group = np.concatenate([[0], np.cumsum(gid[1:] != gid[:-1])])
             many = np.flatnonzero(np.bincount(group)[group] > 1)
-            batch, group = batch.take(pa.array(many)), group[many]
             if not len(many):
                 return None
-            sig = _matrix(batch.column("sig"), np.uint64)
-            node = batch.column("node").to_numpy()
-            i, j = close_pairs(group, batch.column("side").to_numpy(), sig, limit)
+            tag = t.column("tag").to_numpy()[many]
+            sig = _matrix(t.column("sig").take(pa.array(many)), np.uint64)
+            row, side = tag >> 2, tag & 3
+            i, j = close_pairs(group[many], side, sig, limit)
+            i, j = i[row[i] != row[j]], j[row[i] != row[j]]
             if not len(i):
                 return None
-            i, j = i[node[i] != node[j]], j[node[i] != node[j]]
-            a, b = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
-            pairs = np.unique(np.stack([a, b], 1), axis=0)
+            pairs = np.unique(np.stack([np.minimum(row[i], row[j]), np.maximum(row[i], row[j])], 1), axis=0)
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
+        rest: list[pa.RecordBatch] = []
         for b in batches:
             if not len(b):
                 continue
-            t = pa.Table.from_batches([*rest, b]).combine_chunks()
-            key = np.stack([t.column(c).to_numpy() for c in ("key", "lo", "hi")])
-            change = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0))
-            cut_at = int(change[-1]) + 1 if len(change) else 0
-            if cut_at and (out := flush(t.slice(0, cut_at).combine_chunks())) is not None:
-                yield out
-            rest = t.slice(cut_at).to_batches()
-        if rest and (out := flush(pa.Table.from_batches(rest).combine_chunks())) is not None:
+            gid = b.column("gid").to_numpy()
+            change = np.flatnonzero(gid[1:] != gid[:-1]) + 1
+            if rest and rest[-1].column("gid")[-1].as_py() != gid[0]:
+                change = np.concatenate([[0], change])
+            if len(change):  # whole buckets up to the last change
+                at = int(change[-1])
+                parts = [*rest, b.slice(0, at)] if at else rest
+                if parts and (out := flush(parts)) is not None:
+                    yield out
+                rest, b = [], b.slice(at)
+            rest.append(b)
+        if rest and (out := flush(rest)) is not None:
             yield out
 
     return buckets.mapInArrow(run, "a long, b long").distinct()
 
 
+def _fold(nodes: np.ndarray) -> np.ndarray:
+    return (mix(nodes.view(np.uint64), 9) >> np.uint64(32)).astype(np.uint32)
+
+
+def _sets(texts: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """(node, shingles): the distinct shingles, as sorted 32-bit hashes, of the texts whose node is wanted; a few others may be among them.
+
+    wanted: node. They reach the workers as a bit filter, so no text is shuffled.
+    """
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([_fold(b.column("node").to_numpy()).tobytes()], pa.binary())], ["h"])
+
+    bits, _ = hash_filter(wanted.mapInArrow(hashes, "h binary"), filter_bits(wanted.count()))
+    shared = texts.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            nodes = b.column("node").to_numpy()
+            _, first = np.unique(nodes, return_index=True)
+            take = pa.array(first[passes(shared.value, _fold(nodes[first]))] if len(first) else first)
+            h, offsets = shingles(*flat_words(b.column("text").take(take).to_pylist()), n)
+            lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array((h >> np.uint64(32)).astype(np.uint32).view(np.int32)))
+            yield pa.RecordBatch.from_arrays([b.column("node").take(take), lists], ["node", "shingles"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, shingles array<int>")
+
+
+def _jaccard(rows: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, similarity) of the rows a, b, _x, _y whose sets are similar enough."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not len(b):
+                continue
+            flat, row = [], []
+            for c in ("_x", "_y"):
+                lists = b.column(c)
+                flat.append(lists.flatten().to_numpy(zero_copy_only=False).view(np.uint32).astype(np.uint64))
+                row.append(np.repeat(np.arange(len(b), dtype=np.uint64), np.diff(lists.offsets.to_numpy())))
+            sizes = sum(np.bincount(r.astype(np.int64), minlength=len(b)) for r in row)
+            both = np.sort(np.concatenate([(r << np.uint64(32)) | f for r, f in zip(row, flat)]))
+            same = np.bincount((both[1:][both[1:] == both[:-1]] >> np.uint64(32)).astype(np.int64), minlength=len(b))
+            j = same / np.maximum(sizes - same, 1)
+            near = np.flatnonzero(j >= threshold)
+            take = pa.array(near)
+            yield pa.RecordBatch.from_arrays([b.column("a").take(take), b.column("b").take(take), pa.array(j[near])], ["a", "b", "similarity"])
+
+    return rows.select("a", "b", "_x", "_y").mapInArrow(run, "a long, b long, similarity double")
+
+
 def similar_texts(chunks: DataFrame, threshold: float = THRESHOLD, n: int = SHINGLE, key: str = "chunk_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(links, members). links: a, b, similarity: node pairs of different content with Jaccard >= threshold, each once, a < b.
     members: node, the key's id (as chunk_id): every text with a shingle.
 
-    A node is one content, so exact copies, however many, are one node and cost no pairs. Null texts and texts of fewer than `n` words have
-    no node. Rows that repeat an id are one member. Empty input gives empty results.
+    A node is one content: of exact copies, however many, one row is bucketed and compared, so they cost no pairs. Null texts and texts of fewer
+    than `n` words have no node. Rows that repeat an id are one member. Empty input gives empty results.
     """
     texts = chunks.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("chunk_id"), F.xxhash64(text).alias("node"), F.col(text).alias("text"))
-    nodes = written(_nodes(texts, n).withColumn("_row", F.monotonically_increasing_id()))
+    rows = _planned(texts, n, threshold)
+    nodes = written(_nodes(texts, n, rows, bands_for(rows, threshold)).withColumn("row", F.monotonically_increasing_id()))
     members = nodes.select("node", "chunk_id").distinct()
-    copied = written(nodes.groupBy("node").agg(F.count("*").alias("_copies"), F.min("_row").alias("_first")).where(F.col("_copies") > 1).select("node", "_first"))
-    once = nodes.join(small(copied), "node", "left").where(F.col("_first").isNull() | (F.col("_first") == F.col("_row")))
-    buckets = _placed(once, *shared_slots(once)).repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    copied = written(nodes.groupBy("node").agg(F.count("*").alias("_copies"), F.min("row").alias("_first")).where(F.col("_copies") > 1).select("node", "_first"))
+    once = nodes.join(small(copied), "node", "left").where(F.col("_first").isNull() | (F.col("_first") == F.col("row")))
+    filter_, hot = hash_filter(once.select("keys"), filter_bits(nodes.count() * bands_for(rows, threshold), 8), twice=True, hot=BLOCK)
+    buckets = _placed(once, filter_, hot).repartition("gid").sortWithinPartitions("gid")
     pairs = written(_compare(buckets, radius(threshold)))
-    paired = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = written(members.join(paired, "node", "left_semi").groupBy("node").agg(F.min("chunk_id").alias("chunk_id")))
-    sets = written(_sets(texts.join(small(wanted.select("chunk_id")), "chunk_id", "left_semi").dropDuplicates(["node"]), n))
-    checked = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("_x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("_y")), "b")
-    both = F.size(F.array_intersect("_x", "_y"))
-    similarity = both / (F.size("_x") + F.size("_y") - both)
-    links = checked.select("a", "b", similarity.alias("similarity")).where(F.col("similarity") >= threshold)
-    return cut(links), members
+    number = once.select("row", "node")
+    named = pairs.join(number.select(F.col("row").alias("a"), F.col("node").alias("_a")), "a").join(number.select(F.col("row").alias("b"), F.col("node").alias("_b")), "b")
+    named = written(named.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")))
+    wanted = cut(named.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    sets = written(_sets(texts, wanted, n).join(small(wanted), "node", "left_semi"))
+    checked = named.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("_x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("_y")), "b")
+    links = _jaccard(checked, threshold)
+    return cut(links.distinct()), members
 
 
 def similar_pairs(links: DataFrame, members: DataFrame) -> DataFrame:

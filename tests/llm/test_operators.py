@@ -8,7 +8,7 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
-from pothi.llm import consensus, language, leakage, near_duplicates, packing, reading_level, repeated_lines, scanned_text, similar_vectors, splitting, words
+from pothi.llm import common, consensus, language, leakage, near_duplicates, packing, reading_level, repeated_lines, scanned_text, similar_vectors, splitting, words
 
 CHUNK = "chunk_id long, document_id string, scheme string, text string, page int, end_page int, section_path string"
 MANIFEST = "line_no long, id string, scheme string, language string, has_text_layer boolean"
@@ -134,14 +134,35 @@ def test_hot_buckets_are_cut_into_a_grid(spark, monkeypatch):
         w[r.randrange(len(w))] = r.choice(NAMES) + str(r.random())
         texts.append(" ".join(w))
     df = spark.createDataFrame([(i, "d", None, t, 1, 1, None) for i, t in enumerate(texts + [texts[0]] * 300)], CHUNK)
-    nodes = near_duplicates._nodes(df.select("chunk_id", F.xxhash64("text").alias("node"), "text").limit(200), 3)
-    filter_, hot = near_duplicates.shared_slots(nodes, 64)
+    nodes = near_duplicates._nodes(df.select("chunk_id", F.xxhash64("text").alias("node"), "text").limit(200), 3, 2, 18).withColumn("row", F.monotonically_increasing_id()).persist()
+    filter_, hot = common.hash_filter(nodes.select("keys"), 20, twice=True, hot=64)
     assert hot.shape[1] > 0 and (hot[1] > 64).all() and (np.diff(hot[0]) > 0).all()
-    buckets = near_duplicates._placed(nodes, filter_, hot, 64).repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    buckets = near_duplicates._placed(nodes, filter_, hot, 64).repartition("gid").sortWithinPartitions("gid")
     assert near_duplicates._compare(buckets, near_duplicates.radius(0.5)).count() == 200 * 199 // 2
+    nodes.unpersist()
     assert near_duplicates.similar_texts(df)[0].count() == 200 * 199 // 2
 
 
+def test_rows_of_a_key_follow_the_strangers():
+    """Minima of which a third are shared by all need more rows as the texts grow in number; every choice meets a pair with the same chance."""
+    g = np.random.default_rng(3)
+    least = g.integers(0, 1 << 32, (2000, 60), np.uint32)
+    least[g.random(least.shape) < 0.33] = 7
+    chosen = [near_duplicates.plan_rows(least, n) for n in (10**4, 10**6, 10**7, 10**8)]
+    assert chosen == sorted(chosen) and chosen[0] == 2 and chosen[-1] == 5
+    assert all(1 - (1 - 0.5**r) ** near_duplicates.bands_for(r) >= near_duplicates.MEET for r in near_duplicates.ROWS)
+
+
+def test_minima_of_unequal_texts():
+    g = np.random.default_rng(4)
+    sizes = np.array([1, 40000, 3, 3, 700, 1])
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    h = g.integers(0, 1 << 64, offsets[-1], np.uint64)
+    got = near_duplicates.minima(h, offsets, 3)
+    apart = [near_duplicates.minima(h[offsets[i] : offsets[i + 1]], np.array([0, n]), 3)[0] for i, n in enumerate(sizes)]
+    assert (got == np.array(apart)).all()
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1, 0.9) for i in range(0, 60)] + [(100, 101, 0.9)], "a long, b long, similarity double")
     got = {x["node"]: x["group"] for x in near_duplicates.components(links).collect()}
