@@ -134,9 +134,9 @@ def plan_rows(sample: np.ndarray, texts: int, threshold: float = THRESHOLD) -> i
 
 
 def radius(threshold: float, bits: int = BITS) -> int:
-    """Hamming radius that pairs of the given Jaccard similarity exceed with a chance of about one in a thousand."""
+    """Hamming radius that pairs of the given Jaccard similarity exceed with a chance of about one in two hundred."""
     p = (1 - threshold) / 2
-    return min(bits, math.ceil(bits * p + 3.1 * math.sqrt(bits * p * (1 - p))))
+    return min(bits, math.ceil(bits * p + 2.6 * math.sqrt(bits * p * (1 - p))))
 
 
 #: Pairs of a query and a block that are counted together.
