@@ -37,8 +37,9 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def _chunks(s: SparkSession, d: str) -> DataFrame:
-    return retrieval.once(table(s, d, "chunks"))
+def _chunks(s: SparkSession, d: str, *columns: str) -> DataFrame:
+    """Each chunk once, with the columns asked for (all by default)."""
+    return retrieval.once(table(s, d, "chunks"), list(columns) or None)
 
 
 def _manifest(s: SparkSession, d: str) -> DataFrame:
@@ -262,7 +263,7 @@ _BM25 = f"""{_ONCE}, tok AS (SELECT document_id, ordinal, list_transform(regexp_
 
 @query("r1_bm25_topk", "WITH " + _BM25.replace("COLUMN", "question") + " SELECT query_id, document_id, ordinal, round(score, 5) AS score, CAST(rank AS INT) AS rank FROM rk WHERE rank <= 5")
 def _(s, d):
-    return retrieval.bm25(_chunks(s, d).select("document_id", "ordinal", "text"), _asked(s, d)).select("query_id", "document_id", "ordinal", F.round("score", 5).alias("score"), "rank")
+    return retrieval.bm25(_chunks(s, d, "text").select("document_id", "ordinal", "text"), _asked(s, d)).select("query_id", "document_id", "ordinal", F.round("score", 5).alias("score"), "rank")
 
 
 _ARMS = (
@@ -272,8 +273,10 @@ _ARMS = (
 
 
 def _two_arms(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    chunks = _chunks(s, d).select("document_id", "ordinal", "text")
-    return retrieval.bm25(chunks, _asked(s, d)), retrieval.bm25(chunks, _asked(s, d, "gold_answer"))
+    """Hits for the questions and for their answers, searched together."""
+    asked = _asked(s, d).withColumn("arm", F.lit(0)).unionByName(_asked(s, d, "gold_answer").withColumn("arm", F.lit(1)))
+    hits = retrieval.bm25(_chunks(s, d, "text").select("document_id", "ordinal", "text"), asked, by=("arm", "query_id"))
+    return tuple(hits.where(F.col("arm") == i).drop("arm") for i in (0, 1))
 
 
 @query("r3_rrf", _ARMS + """, u AS (SELECT *, 0 AS arm FROM x UNION ALL SELECT *, 1 FROM y),
@@ -297,21 +300,21 @@ _DENSE = """v AS (SELECT DISTINCT vec_id, run_id, model, vector FROM chunk_vecto
     k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, vec_id) AS rank FROM p WHERE score IS NOT NULL AND NOT isnan(score))"""
 
 
-def _dense(s: SparkSession, d: str) -> DataFrame:
-    v = table(s, d, "chunk_vectors").where(F.size("vector") > 0).select("vec_id", "run_id", "model", "vector").dropDuplicates(["vec_id"])
-    q = v.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), "run_id", "model", F.col("vector").alias("query"))
-    return retrieval.dense(v, q)
+def _vectors(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """All vectors, and the stated queries: those whose id is divisible by 100."""
+    v = table(s, d, "chunk_vectors").select("vec_id", "run_id", "model", "vector")
+    return v, v.where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), "run_id", "model", F.col("vector").alias("query"))
 
 
 @query("r2_dense_topk", f"WITH {_DENSE} SELECT query_id, vec_id, round(score, 5) AS score, CAST(rank AS INT) AS rank FROM k WHERE rank <= 5")
 def _(s, d):
-    return _dense(s, d).select("query_id", "vec_id", F.round("score", 5).alias("score"), "rank")
+    return retrieval.dense(*_vectors(s, d)).select("query_id", "vec_id", F.round("score", 5).alias("score"), "rank")
 
 
 @query("p4_refusals", f"WITH {_DENSE}, q AS (SELECT DISTINCT vec_id AS query_id FROM chunk_vectors WHERE vec_id % 100 = 0), t AS (SELECT query_id, max(score) AS s FROM k GROUP BY query_id) SELECT query_id, round(coalesce(s, 0.0), 5) AS top_score, coalesce(s < 0.8, true) AS refused FROM q LEFT JOIN t USING (query_id)")
 def _(s, d):
     asked = table(s, d, "chunk_vectors").where(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id")).distinct()
-    return retrieval.gate(asked, _dense(s, d)).select("query_id", F.round("top_score", 5).alias("top_score"), "refused")
+    return retrieval.gate(asked, retrieval.dense(*_vectors(s, d), k=1)).select("query_id", F.round("top_score", 5).alias("top_score"), "refused")
 
 
 @query("f19_question_hashes")
@@ -427,7 +430,7 @@ def _(s, d):
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
     """BM25 hits of the stated questions with their citations."""
-    chunks = _chunks(spark, folder)
+    chunks = _chunks(spark, folder, "text", "page", "end_page")
     hits = retrieval.bm25(chunks.select("document_id", "ordinal", "text"), _questions(spark, folder).select(F.col("id").alias("query_id"), F.coalesce("question", F.lit("")).alias("text")).distinct())
     where = chunks.select("document_id", "ordinal", T.citation(F.col("document_id"), F.col("page"), F.col("end_page")).alias("citation"))
     return hits.join(where, ["document_id", "ordinal"]).select("query_id", "rank", "score", "citation")
