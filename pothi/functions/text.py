@@ -1,9 +1,13 @@
-"""Column functions on text. All stay in the JVM; null in, null out unless stated."""
+"""Column functions on text. All but `nfc` and those that compose with it (F4, F6, F8, F13) stay in the JVM; null in, null out unless stated."""
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Regular expressions whose results must equal the reference's, in Java syntax.
 RX_TOKEN = r"[0-9]+(?:[/\-][0-9]+)*|[\p{L}\p{Nl}\p{No}]+(?:-[\p{L}\p{Nl}\p{No}]+)*"
@@ -16,10 +20,11 @@ RX_TABLE_SEP = r"^\|(\s*:?-+:?\s*\|)+$"
 RX_NUMBER = r"\p{Nd}[\p{Nd},.]*\p{Nd}|\p{Nd}"
 RX_GAP = r"(?<=\p{Nd})[\s,]+(?=[\p{Nd}.])"
 RX_HREF = r"""(?i)href\s*=\s*["']([^"']+)["']"""
-
-
 RX_RETRY = r"(?i)retry in ([\d.]+)\s*(ms|s)\b"
-# Patterns of the convention scan (F28). The tool names are the caller's.
+RX_LINES = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+# Patterns of the convention scan.
+RX_ATTRIBUTION = r"(?i)co-authored-by|(?:generated|written|authored) (?:with|by) (?:claude|codex|cursor|grok|copilot|chatgpt|an? ai)|with the help of (?:claude|codex|cursor|grok|copilot|chatgpt)"
+RX_TELLS = r"(?i)\bclaude\b|\bcodex\b|\bcursor\b|\bgrok\b|\bcopilot\b|\bchatgpt\b|\bAGENTS\.md\b"
 RX_DASH = r"[\u2013\u2014]"
 RX_SECRET = r"\b(?:sk-[A-Za-z0-9]{16,}|gsk_[A-Za-z0-9]{16,}|xai-[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_\-]{20,}|ghp_[A-Za-z0-9]{20,}|glpat-[A-Za-z0-9_\-]{16,})"
 RX_ABSOLUTE = r"(?i)\b(?:solves|blocks|prevents)\b"
@@ -54,39 +59,63 @@ def tokens(col: Column) -> Column:
     return F.transform(F.regexp_extract_all(col, F.lit(RX_TOKEN), F.lit(0)), F.lower)
 
 
+@F.pandas_udf(StringType())
+def nfc(s: pd.Series) -> pd.Series:
+    """Canonical composition, for which Spark has no built-in; an Arrow batch at a time, plain ASCII untouched."""
+    return s.map(lambda x: x if not isinstance(x, str) or x.isascii() else unicodedata.normalize("NFC", x))
+
+
+def normalize(col: Column) -> Column:
+    """NFC, white space squeezed, stripped."""
+    return squeeze(nfc(col))
+
+
 def text_similarity(output: Column, gold: Column) -> Column:
-    """1 - edit distance / length of gold; may be negative. An empty gold gives 1 for empty output, else 0."""
+    """both texts normalised (F4); 1 - edit distance / length of gold; may be negative. An empty gold gives 1 for empty output, else 0."""
+    return similarity_of_normal(normalize(output), normalize(gold))
+
+
+def similarity_of_normal(output: Column, gold: Column) -> Column:
+    """F6 of texts that are normalised already."""
     return F.when(F.length(gold) == 0, F.when(F.length(output) == 0, 1.0).otherwise(0.0)).otherwise(1 - F.levenshtein(output, gold) / F.length(gold))
 
 
 def html_table_to_markdown(html: Column) -> Column:
     """rows by tr, cells by td or th, tags to spaces, padded to the widest row; no rows give an empty text. Entities stay (Q19)."""
-    cell = lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, RX_TAG, " "), r"\s+", " "))
+    cell = lambda c: squeeze(F.regexp_replace(c, RX_TAG, " "))
     rows = F.transform(F.regexp_extract_all(html, F.lit(RX_TR), F.lit(1)), lambda r: F.transform(F.regexp_extract_all(r, F.lit(RX_CELL), F.lit(1)), cell))
     rows = F.filter(rows, lambda r: F.exists(r, lambda c: c != ""))
     width = F.array_max(F.transform(rows, F.size))
-    line = lambda r: F.concat(F.lit("| "), F.array_join(r, " | "), F.lit(" |"))
-    padded = F.transform(rows, lambda r: line(F.concat(r, F.array_repeat(F.lit(""), width - F.size(r)))))
-    rule = line(F.array_repeat(F.lit("---"), width))
-    return F.when(F.size(rows) == 0, "").otherwise(F.array_join(F.concat(F.slice(padded, 1, 1), F.array(rule), F.slice(padded, 2, 100_000)), "\n"))
+    padded = F.transform(rows, lambda r: table_line(F.concat(r, F.array_repeat(F.lit(""), width - F.size(r)))))
+    ruled = F.concat(F.slice(padded, 1, 1), F.array(table_rule(width)), F.slice(padded, F.lit(2), F.size(padded)))
+    return F.when(F.size(rows) == 0, "").otherwise(F.array_join(ruled, "\n"))
+
+
+def table_line(cells: Column) -> Column:
+    return F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))
+
+
+def table_rule(width: Column) -> Column:
+    return F.concat(F.lit("|"), F.array_join(F.array_repeat(F.lit("---|"), width.cast("int")), ""))
 
 
 def parse_markdown_table(text: Column) -> Column:
-    """F8: struct<header, rows> of a pipe table, null if it is none: two pipe lines at least, the second a rule."""
-    lines = F.filter(F.transform(F.split(text, "\n", -1), strip), lambda x: F.startswith(x, F.lit("|")))
-    cells = lambda x: F.transform(
-        F.split(F.regexp_replace(x, r"^\|+|\|+$", ""), r"\|", -1), lambda c: squeeze(F.regexp_replace(c, r"<br\s*/?>", " "))
-    )
-    body = F.transform(F.slice(lines, 3, 1_000_000), cells)
+    """F8: struct<header, rows> of a pipe table, null if it is none: two pipe lines at least, the second a rule. Cells are normalised."""
+    return table_of_normal(nfc(text))
+
+
+def table_of_normal(text: Column) -> Column:
+    """F8 of a text in NFC; no character that ends a line or a cell composes with another."""
+    lines = F.filter(F.transform(F.split(text, RX_LINES, -1), strip), lambda x: F.startswith(x, F.lit("|")))
+    cells = lambda x: F.transform(F.split(F.regexp_replace(x, r"^\|+|\|+$", ""), r"\|", -1), lambda c: squeeze(F.replace(c, F.lit("<br>"), F.lit(" "))))
+    body = F.transform(F.slice(lines, F.lit(3), F.greatest(F.size(lines), F.lit(0))), cells)
     is_table = (F.size(lines) >= 2) & F.get(lines, F.lit(1)).rlike(RX_TABLE_SEP)
     return F.when(is_table, F.struct(cells(F.get(lines, F.lit(0))).alias("header"), body.alias("rows")))
 
 
 def render_table(table: Column) -> Column:
     """a struct<header, rows> as a pipe table."""
-    line = lambda r: F.concat(F.lit("| "), F.array_join(r, " | "), F.lit(" |"))
-    rule = F.transform(table["header"], lambda _: F.lit("---"))
-    return F.array_join(F.concat(F.array(line(table["header"]), line(rule)), F.transform(table["rows"], line)), "\n")
+    return F.array_join(F.concat(F.array(table_line(table["header"]), table_rule(F.size(table["header"]))), F.transform(table["rows"], table_line)), "\n")
 
 
 def table_nodes(table: Column) -> Column:
@@ -121,8 +150,12 @@ def table_distance(a: Column, b: Column) -> Column:
 
 
 def teds(output: Column, gold: Column) -> Column:
-    """1 - node edit distance / larger node count of two markdown tables; 0 where either is none."""
-    x, y = parse_markdown_table(output), parse_markdown_table(gold)
+    """1 - node edit distance / larger node count of two markdown tables; 0 where either is none. The texts must be columns in NFC (`nfc`), as a lambda can hold no Arrow function."""
+    return teds_of_tables(table_of_normal(output), table_of_normal(gold))
+
+
+def teds_of_tables(x: Column, y: Column) -> Column:
+    """F13 of two structs of F8."""
     a, b = table_nodes(x), table_nodes(y)
     score = 1 - table_distance(a, b) / F.greatest(F.size(a), F.size(b))
     return F.when(x.isNull() | y.isNull(), 0.0).otherwise(score)
@@ -215,3 +248,10 @@ def cost(tokens_in: Column, tokens_out: Column, price_in: Column, price_out: Col
 def word_count(text: Column) -> Column:
     """F32: tokens separated by white space; 0 for blank text."""
     return F.when(F.length(strip(text)) == 0, 0).otherwise(F.size(F.split(strip(text), r"(?U)\s+", -1)))
+
+
+def mock_reply(messages: Column) -> Column:
+    """F32: struct<text, tokens_in, tokens_out>: the reply that repeats the last user message of array<struct<role, content>>; an empty one if there is none."""
+    asked = F.filter(messages, lambda m: m["role"] == "user")
+    last = F.coalesce(F.get(asked, F.size(asked) - 1)["content"], F.lit(""))
+    return F.struct(F.concat(F.lit("mock reply: "), last).alias("text"), word_count(last).alias("tokens_in"), (word_count(last) + 2).alias("tokens_out"))

@@ -138,6 +138,21 @@ def disagreements(pairs: DataFrame, total: int) -> DataFrame:
     return pairs.agg(F.count("*").alias("n"), F.count_if(F.col("mine") != F.col("theirs")).alias("disagree"), rate.alias("rate"), (rate * total).alias("extrapolated"))
 
 
+def annotated_sample(sample: DataFrame, annotations: DataFrame, *columns: str) -> DataFrame:
+    """question_id, the annotation's other columns and the question's `columns`, of the sampled questions that are annotated, in the sample's order (by id).
+
+    annotations: one row per question_id (latest_annotations). Questions without an annotation have no row.
+    """
+    questions = sample.select(F.col("id").alias("question_id"), *columns)
+    return questions.join(annotations, "question_id").select("question_id", *[c for c in annotations.columns if c != "question_id"], *columns).orderBy("question_id")
+
+
+def first_failures(support: DataFrame, n: int = 8, verbose: bool = False) -> DataFrame:
+    """The first n unsupported rows of citation_support by question_id, all of them if verbose. The limit is the report's feature."""
+    failed = support.where(~F.col("supported")).orderBy("question_id")
+    return failed if verbose else failed.limit(n)
+
+
 def stratified_sample(questions: DataFrame, n: int, by: str = "question_type", seed: int = SEED) -> DataFrame:
     """About n rows, each stratum's share rounded half to even, drawn by the hash of seed and id (Q13: not the reference's own sample)."""
     sizes = questions.groupBy(by).agg(F.count("*").alias("_u"))

@@ -2,27 +2,14 @@
 
 from __future__ import annotations
 
-import unicodedata
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from pothi.functions import text as T
+from pothi.functions.text import normalize  # F4
 from pothi.schemas import TABLE_KINDS
 
 
-@F.pandas_udf(StringType())
-def nfc(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: unicodedata.normalize("NFC", x) if isinstance(x, str) else None)
-
-
-def normalize(col: Column, compose: bool = True) -> Column:
-    """NFC (Spark has no built-in; an Arrow UDF), white space squeezed, stripped."""
-    return T.squeeze(nfc(col) if compose else col)
-
-
 def gold_blocks(pages: DataFrame) -> DataFrame:
     """page_id, block_no, text: maximal runs of non-blank lines that are all table lines or all none (gaps and islands)."""
     rows = pages.select("page_id", F.posexplode(F.split("text", "\r\n|\r|\n", -1)).alias("line_no", "line"))
@@ -36,13 +23,27 @@ def gold_blocks(pages: DataFrame) -> DataFrame:
     return blocks.select("page_id", (F.row_number().over(Window.partitionBy("page_id").orderBy("island")) - 1).alias("block_no"), text.alias("text"))
 
 
-def ranks(output: DataFrame, gold: DataFrame, compose: bool = True) -> DataFrame:
+def ranks(output: DataFrame, gold: DataFrame) -> DataFrame:
     """page_id, pos, gold_no: every output block with the first gold block of its page one of which begins with the other's first
-    40 characters. The join is by page and the common prefix length is taken into the key, so it stays an equi-join."""
-    out = output.select("page_id", F.col("block_no").alias("pos"), normalize(F.col("text"), compose).alias("o")).where(F.col("o") != "")
-    ref = gold.select("page_id", F.col("block_no").alias("gold_no"), normalize(F.col("text"), compose).alias("g")).where(F.col("g") != "")
-    close = F.startswith(F.col("o"), F.substring("g", 1, T.PREFIX)) | F.startswith(F.col("g"), F.substring("o", 1, T.PREFIX))
-    return out.join(ref, "page_id").where(close).groupBy("page_id", "pos").agg(F.min("gold_no").alias("gold_no"))
+    40 characters (of the normalised texts).
+
+    Two texts of 40 characters or more are close if their first 40 are equal: an equi-join by page and prefix. A shorter text is close to
+    those that begin with it whole, so blocks also meet by page and each prefix length that a shorter text of the other side has: a block
+    sends one row per such length of its page (39 at most), and no pair of blocks is looked at that does not match.
+    """
+    out = output.select("page_id", F.col("block_no").alias("pos"), normalize(F.col("text")).alias("t")).where(F.col("t") != "")
+    ref = gold.select("page_id", F.col("block_no").alias("gold_no"), normalize(F.col("text")).alias("t")).where(F.col("t") != "")
+    # startswith(o, left(g, 40)): g's prefix is the key and o is cut to its length; and the other way round.
+    key = F.substring("t", 1, T.PREFIX)
+
+    def meet(whole: DataFrame, prefix: DataFrame) -> DataFrame:
+        keys = prefix.withColumn("_k", key)
+        lengths = keys.groupBy("page_id").agg(F.collect_set(F.length("_k")).alias("_ls"))
+        cut = whole.join(lengths, "page_id").select("*", F.explode(F.filter("_ls", lambda n: n <= F.length("t"))).alias("_l"))
+        cut = cut.select(*[c for c in whole.columns if c != "t"], F.substring(F.col("t"), F.lit(1), F.col("_l")).alias("_k"))
+        return cut.join(keys.drop("t"), ["page_id", "_k"]).select("page_id", "pos", "gold_no")
+
+    return meet(out, ref).unionByName(meet(ref, out)).groupBy("page_id", "pos").agg(F.min("gold_no").alias("gold_no"))
 
 
 def reading_order(matched: DataFrame) -> DataFrame:
@@ -62,12 +63,13 @@ def table_scores(output: DataFrame, gold: DataFrame) -> DataFrame:
 
     Candidates are blocks of table kind and, only if a page has none, blocks that parse as a table (Q12).
     """
-    parsed = lambda df: df.where(T.parse_markdown_table(F.col("text")).isNotNull())
-    tables = parsed(gold).select("page_id", "block_no", F.col("text").alias("_g"))
+    parsed = lambda df: df.withColumn("_p", T.parse_markdown_table(F.col("text")))
+    tables = parsed(gold).where(F.col("_p").isNotNull()).select("page_id", "block_no", F.col("_p").alias("_g"))
+    out = parsed(output)
     kind = F.col("kind").isin(*TABLE_KINDS)
     has = output.where(kind).select("page_id").distinct()
-    candidates = output.where(kind).unionByName(parsed(output).join(has, "page_id", "left_anti")).select("page_id", F.col("text").alias("_o"))
-    best = tables.join(candidates, "page_id", "left").groupBy("page_id", "block_no").agg(F.coalesce(F.max(T.teds(F.col("_o"), F.col("_g"))), F.lit(0.0)).alias("s"))
+    candidates = out.where(kind).unionByName(out.where(F.col("_p").isNotNull()).join(has, "page_id", "left_anti")).select("page_id", F.col("_p").alias("_o"))
+    best = tables.join(candidates, "page_id", "left").groupBy("page_id", "block_no").agg(F.coalesce(F.max(T.teds_of_tables(F.col("_o"), F.col("_g"))), F.lit(0.0)).alias("s"))
     return best.groupBy("page_id").agg(F.avg("s").alias("teds"))
 
 
@@ -77,7 +79,7 @@ def score_pages(output: DataFrame, gold: DataFrame) -> DataFrame:
     Pages without output are kept with an empty text.
     """
     whole = output.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("block_no", "text"))).alias("bs"))
-    joined = gold.join(whole, "page_id", "left").select("page_id", normalize(F.coalesce(F.array_join(F.transform("bs", lambda b: b["text"]), "\n\n"), F.lit(""))).alias("o"), normalize(F.col("text")).alias("g"), F.coalesce(F.size("bs"), F.lit(0)).alias("blocks"))
+    joined = gold.join(whole, "page_id", "left").select("page_id", F.coalesce(F.array_join(F.transform("bs", lambda b: b["text"]), "\n\n"), F.lit("")).alias("o"), F.col("text").alias("g"), F.coalesce(F.size("bs"), F.lit(0)).alias("blocks"))
     refs = gold_blocks(gold)
     order = reading_order(ranks(output, refs))
     return joined.select("page_id", T.text_similarity(F.col("o"), F.col("g")).alias("text"), F.when(F.col("blocks") > 0, F.col("blocks")).otherwise(0).alias("blocks")).join(table_scores(output, refs), "page_id", "left").join(order, "page_id", "left")

@@ -1,4 +1,4 @@
-"""The engine's queries over the driver's tables, with the SQL that gives the same rows. Keys are <SURVEY id>_<slug>."""
+"""The engine's queries over the driver's tables, with the SQL that gives the same rows. Keys are <SURVEY id>_<slug>; those on inline tables are in cases.py."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pothi.functions import text as T
 from pothi.operators import chunking, corpus, evaluation, parsing, retrieval
+from pothi.plans import cases
 from pothi.sources.readers import table, text_blocks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +23,7 @@ _ASKED = "q AS (SELECT DISTINCT * FROM questions)"
 _BLOCKS = r"""b AS (SELECT doc_id AS document_id, seq, line AS text, CAST(floor(seq / 5) AS INT) + 1 AS page
     FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS seq FROM documents WHERE text IS NOT NULL))"""
 _TRIM = r"regexp_replace({}, '^[\s\p{{Z}}\x{{1c}}-\x{{1f}}\x{{85}}\x{{0b}}]+|[\s\p{{Z}}\x{{1c}}-\x{{1f}}\x{{85}}\x{{0b}}]+$', '', 'g')"
+_SPACES = r"'[\s\p{Z}\x{0b}\x{85}\x{1c}-\x{1f}]+'"
 _TOKEN = r"[0-9]+(?:[/\-][0-9]+)*|[\p{L}\p{Nl}\p{No}]+(?:-[\p{L}\p{Nl}\p{No}]+)*"
 _CLAIMS = r"list_sort(list_distinct(list_filter(list_transform(regexp_extract_all({}, '\p{{Nd}}[\p{{Nd}},.]*\p{{Nd}}|\p{{Nd}}'), lambda x: regexp_replace(replace(x, ',', ''), '\.+$', '')), lambda x: length(x) >= 3)))"
 _GAP = r"regexp_replace(regexp_replace({}, '(\p{{Nd}})[\s,]+([\p{{Nd}}.])', '\1\2', 'g'), '(\p{{Nd}})[\s,]+([\p{{Nd}}.])', '\1\2', 'g')"
@@ -94,30 +96,43 @@ def _(s, d):
     return table(s, d, "documents").select("doc_id", F.array_join(T.tokens(F.col("text")), " ").alias("tokens"))
 
 
-_FOLD = "left(regexp_replace({}, '[^ -~]', '?', 'g'), 2000)"
+_SQUEEZE = lambda x: _TRIM.format(f"regexp_replace(nfc_normalize({x}), {_SPACES}, ' ', 'g')")
+# The edit distance by code points (DuckDB's own counts bytes): rows of the table as lists.
+_EDITS = """list_reduce(list_transform(o, lambda x: [x]), lambda r, x: list_transform(list_reduce(list_transform(range(1, len(g) + 1), lambda j: [j]),
+    lambda acc, j: list_append(acc, least(acc[len(acc)] + 1, CAST(r[j[1] + 1] AS BIGINT) + 1, CAST(r[j[1]] AS BIGINT) + CASE WHEN g[j[1]] = x[1] THEN 0 ELSE 1 END)), [CAST(r[1] AS BIGINT) + 1]), lambda v: CAST(v AS VARCHAR)),
+    list_transform(range(0, len(g) + 1), lambda v: CAST(v AS VARCHAR)))[len(g) + 1]"""
 
 
-@query("f6_text_similarity", f"WITH {_ASKED} SELECT id, round(CASE WHEN length(g) = 0 THEN CASE WHEN length(o) = 0 THEN 1.0 ELSE 0.0 END ELSE 1 - levenshtein(o, g) / length(g) END, 6) AS similarity, levenshtein(o, g) AS edits FROM (SELECT id, {_FOLD.format('question')} AS o, {_FOLD.format('gold_answer')} AS g FROM q)")
+@query("f6_text_similarity", f"""WITH {_ASKED}, t AS (SELECT id, {_SQUEEZE("question")} AS a, {_SQUEEZE("gold_answer")} AS b FROM q),
+    c AS (SELECT id, regexp_extract_all(a, '(?s).') AS o, regexp_extract_all(b, '(?s).') AS g FROM t), e AS (SELECT id, o, g, CAST({_EDITS} AS INT) AS edits FROM c)
+    SELECT id, round(CASE WHEN len(g) = 0 THEN CASE WHEN len(o) = 0 THEN 1.0 ELSE 0.0 END ELSE 1 - edits / len(g) END, 6) AS similarity, CAST(edits AS BIGINT) AS edits FROM e""")
 def _(s, d):
-    """Over whole texts, by code points. DuckDB's levenshtein counts bytes, so the SQL folds and cuts: it agrees only on ASCII up to 2,000 characters."""
-    o, g = F.col("question"), F.col("gold_answer")
-    return _questions(s, d).select("id", F.round(T.text_similarity(o, g), 6).alias("similarity"), F.levenshtein(o, g).cast("bigint").alias("edits"))
+    """Over whole texts, normalised, by code points."""
+    rows = _questions(s, d).select("id", T.normalize(F.col("question")).alias("o"), T.normalize(F.col("gold_answer")).alias("g"))
+    return rows.select("id", F.round(T.similarity_of_normal(F.col("o"), F.col("g")), 6).alias("similarity"), F.levenshtein("o", "g").cast("bigint").alias("edits"))
 
 
-@query("f8_tables")
+_TABLES = rf"""l AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(nfc_normalize(text), '\r\n|[\n\r\x{{0b}}\x{{0c}}\x{{1c}}-\x{{1e}}\x{{85}}\x{{2028}}\x{{2029}}]'), lambda x: {_TRIM.format("x")}), lambda x: starts_with(x, '|')) AS ls FROM documents),
+    w AS (SELECT doc_id, list_transform(list_filter(ls, lambda x, i: i <> 2), lambda x: list_transform(string_split(regexp_replace(x, '^\|+|\|+$', '', 'g'), '|'), lambda y: {_SQUEEZE("replace(y, '<br>', ' ')")})) AS rs
+          FROM l WHERE len(ls) >= 2 AND regexp_full_match(ls[2], '\|(\s*:?-+:?\s*\|)+'))"""
+
+
+@query("f8_tables", f"""WITH {_TABLES} SELECT doc_id, CAST(len(rs[1]) AS INT) AS columns, CAST(len(rs) - 1 AS INT) AS rows,
+    '| ' || array_to_string(rs[1], ' | ') || ' |' || chr(10) || '|' || repeat('---|', len(rs[1])) || array_to_string(list_transform(rs[2:], lambda r: chr(10) || '| ' || array_to_string(r, ' | ') || ' |'), '') AS markdown FROM w""")
 def _(s, d):
     t = T.parse_markdown_table(F.col("text"))
     rows = table(s, d, "documents").select("doc_id", t.alias("t")).where(F.col("t").isNotNull())
     return rows.select("doc_id", F.size("t.header").alias("columns"), F.size("t.rows").alias("rows"), T.render_table(F.col("t")).alias("markdown"))
 
 
-@query("f13_teds")
+@query("f13_teds", f"""WITH {_TABLES}, n AS (SELECT doc_id, 1 + len(rs) + list_sum(list_transform(rs, lambda r: len(r))) AS whole, 1 + len(rs[len(rs)]) AS lost FROM w WHERE len(rs) >= 2)
+    SELECT doc_id, round(1 - lost / whole, 6) AS teds FROM n""")
 def _(s, d):
     """Each document's table against itself without its last row."""
     t = T.parse_markdown_table(F.col("text"))
     rows = table(s, d, "documents").select("doc_id", t.alias("t")).where(F.size("t.rows") >= 1)
     lost = F.struct(F.col("t.header").alias("header"), F.slice("t.rows", F.lit(1), F.size("t.rows") - 1).alias("rows"))
-    return rows.select("doc_id", F.round(T.teds(T.render_table(lost), T.render_table(F.col("t"))), 6).alias("teds"))
+    return rows.select("doc_id", F.round(T.teds_of_tables(lost, F.col("t")), 6).alias("teds"))
 
 
 @query("f14_claim_tokens", f"WITH {_ASKED} SELECT id, array_to_string({_CLAIMS.format('gold_answer')}, ' ') AS claims FROM q")
@@ -225,21 +240,29 @@ def _(s, d):
     return chunking.split(_blocks(s, d), sections=True).select("document_id", "ordinal", "page", "end_page", F.length("text").alias("chars"))
 
 
-@query("z5_gold_blocks", f"""WITH r AS (SELECT doc_id AS page_id, unnest(regexp_split_to_array(text, '\\r\\n|\\r|\\n')) AS line, unnest(range(len(regexp_split_to_array(text, '\\r\\n|\\r|\\n')))) AS n FROM documents WHERE text IS NOT NULL),
+_GOLD = f"""WITH r AS (SELECT doc_id AS page_id, unnest(regexp_split_to_array(text, '\\r\\n|\\r|\\n')) AS line, unnest(range(len(regexp_split_to_array(text, '\\r\\n|\\r|\\n')))) AS n FROM documents WHERE text IS NOT NULL),
     k AS (SELECT *, {_TRIM.format("line")} = '' AS blank, starts_with({_TRIM.format("line")}, '|') AS t FROM r),
     i AS (SELECT *, sum(CASE WHEN blank OR coalesce(lb OR lt <> t, true) THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY n) AS island
           FROM (SELECT *, lag(blank) OVER w AS lb, lag(t) OVER w AS lt FROM k WINDOW w AS (PARTITION BY page_id ORDER BY n))),
     g AS (SELECT page_id, island, string_agg(line, chr(10) ORDER BY n) AS text FROM i WHERE NOT blank GROUP BY ALL)
-    SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY island) - 1 AS INT) AS block_no, text FROM g""")
+    SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY island) - 1 AS INT) AS block_no, text FROM g"""
+
+
+@query("z5_gold_blocks", _GOLD)
 def _(s, d):
     return parsing.gold_blocks(table(s, d, "documents").where(F.col("text").isNotNull()).select(F.col("doc_id").alias("page_id"), "text"))
 
 
-@query("z8_reading_order")
+@query("z8_reading_order", f"""WITH gb AS ({_GOLD}), n AS (SELECT page_id, block_no, {_SQUEEZE("text")} AS t FROM gb), ou AS (SELECT n.page_id, k.last - n.block_no AS pos, n.t FROM n JOIN (SELECT page_id, max(block_no) AS last FROM n GROUP BY page_id) k USING (page_id)),
+    mt AS (SELECT ou.page_id, pos, min(n.block_no) AS r FROM ou JOIN n ON ou.page_id = n.page_id AND (starts_with(ou.t, left(n.t, 40)) OR starts_with(n.t, left(ou.t, 40))) WHERE ou.t <> '' AND n.t <> '' GROUP BY ou.page_id, pos),
+    pr AS (SELECT a.page_id, sum(CASE WHEN b.r > a.r THEN 1 ELSE 0 END) AS c, sum(CASE WHEN b.r < a.r THEN 1 ELSE 0 END) AS d FROM mt a JOIN mt b ON a.page_id = b.page_id AND a.pos < b.pos GROUP BY a.page_id)
+    SELECT page_id, CASE WHEN coalesce(c, 0) + coalesce(d, 0) > 0 THEN (c - d) / (c + d) END AS tau FROM (SELECT DISTINCT page_id FROM mt) LEFT JOIN pr USING (page_id)""")
 def _(s, d):
-    """Blocks of each document's text against those of itself."""
+    """Blocks of each document's text in reverse order against those in order; repeated blocks tie."""
     blocks = parsing.gold_blocks(table(s, d, "documents").where(F.col("text").isNotNull()).select(F.col("doc_id").alias("page_id"), "text"))
-    return parsing.reading_order(parsing.ranks(blocks, blocks, compose=False))
+    last = blocks.groupBy("page_id").agg(F.max("block_no").alias("_l"))
+    reverse = blocks.join(last, "page_id").select("page_id", (F.col("_l") - F.col("block_no")).alias("block_no"), "text")
+    return parsing.reading_order(parsing.ranks(reverse, blocks))
 
 
 def _asked(s: SparkSession, d: str, column: str = "question") -> DataFrame:
@@ -317,12 +340,17 @@ def _(s, d):
     return retrieval.gate(asked, retrieval.dense(*_vectors(s, d), k=1)).select("query_id", F.round("top_score", 5).alias("top_score"), "refused")
 
 
-@query("f19_question_hashes")
+_CANON = f"""{_ASKED}, k AS (SELECT id, '{{"difficulty_tag":' || to_json(coalesce(difficulty_tag, '')) || ',"gold_answer":' || to_json(coalesce(gold_answer, '')) || ',"gold_pages":['
+    || array_to_string(list_transform(coalesce(gold_pages, []), lambda p: '[' || to_json(p.document_id) || ',' || p.page || ']'), ',') || '],"id":' || to_json(id) || ',"language_tag":' || to_json(coalesce(language_tag, ''))
+    || ',"question":' || to_json(coalesce(question, '')) || ',"question_type":' || to_json(coalesce(question_type, '')) || '}}' AS canon FROM q)"""
+
+
+@query("f19_question_hashes", f"WITH {_CANON} SELECT id, sha256(canon) AS hash FROM k")
 def _(s, d):
     return evaluation.question_hashes(_questions(s, d))
 
 
-@query("a9_content_hash")
+@query("a9_content_hash", f"WITH {_CANON} SELECT sha256(string_agg(canon, chr(10) ORDER BY id, canon)) AS content_hash FROM k")
 def _(s, d):
     return evaluation.content_hash(_questions(s, d))
 
@@ -428,6 +456,10 @@ def _(s, d):
     return corpus.neighbourhood(corpus.configurations(s), {"converter": "pypdf", "splitter": "fixed", "cleaning": "none", "metadata": "none"})
 
 
+QUERIES.update(cases.QUERIES)
+SQL.update(cases.SQL)
+
+
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
     """BM25 hits of the stated questions with their citations."""
     chunks = _chunks(spark, folder, "text", "page", "end_page")

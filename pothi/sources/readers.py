@@ -1,4 +1,4 @@
-"""Sources: declared schemas, nothing inferred."""
+"""Sources: declared schemas, nothing inferred. PDF readers, OCR and layout models run outside; their output comes in as tables or files."""
 
 from __future__ import annotations
 
@@ -46,6 +46,38 @@ def content_list_blocks(rows: DataFrame) -> DataFrame:
     return out.select("document_id", "seq", text.alias("_t"), (F.col("page_idx") + 1).alias("page"), kind.alias("kind"), level.alias("level")).withColumnRenamed("_t", "text").where(F.col("text") != "")
 
 
+def content_list_rows(files: DataFrame) -> DataFrame:
+    """document_id, seq, row (JSON text) of the content list of each document among files (document_id, path, content): the first by path whose name
+    ends in _content_list.json, has no 'v2', and whose content is a JSON list; of its entries only the objects."""
+    stem = F.substring_index("path", "/", -1)
+    lists = files.where(stem.endswith("_content_list.json") & ~stem.contains("v2")).withColumn("_rows", F.from_json("content", "array<string>")).where(F.col("_rows").isNotNull() & F.startswith(F.ltrim("content"), F.lit("[")))
+    first = lists.groupBy("document_id").agg(F.min_by("_rows", "path").alias("_rows"))
+    return first.select("document_id", F.posexplode("_rows").alias("seq", "row")).where(F.startswith(F.ltrim("row"), F.lit("{")))
+
+
+def parsed_content_list(rows: DataFrame) -> DataFrame:
+    """Rows of content_list_rows with the fields that content_list_blocks reads; a missing page is -1."""
+    fields = F.from_json("row", "type string, text string, text_level int, table_body string, page_idx int")
+    return rows.select("document_id", "seq", fields.alias("r")).select("document_id", "seq", "r.type", "r.text", "r.text_level", "r.table_body", F.coalesce("r.page_idx", F.lit(-1)).alias("page_idx"))
+
+
+def without_glyphs(blocks: DataFrame) -> DataFrame:
+    """Blocks of an external converter without unmapped glyphs, with the number of them (`glyphs`, A17 sums it); blocks left empty are dropped."""
+    clean = blocks.withColumn("glyphs", T.unmapped_count(F.col("text"))).withColumn("text", T.strip_unmapped(F.col("text")))
+    return clean.where(F.col("text") != "")
+
+
+#: How the blocks of each converter of the catalogue come in. Layout models run outside; what they leave (S4, S5, S7, or the cache S6) is read here.
+CONVERTER_READERS = {"pypdf": page_blocks, "docling": None, "docling-noocr": None, "docling-routed": None, "marker": tree_blocks, "mineru": content_list_blocks}
+
+
+def converted(converter: str, rows: DataFrame) -> DataFrame:
+    """Blocks of one converter's output rows, by the catalogue; an unknown name is an error that lists the known ones."""
+    if converter not in CONVERTER_READERS:
+        raise ValueError(f"unknown converter {converter}; known: {', '.join(CONVERTER_READERS)}")
+    return without_glyphs((CONVERTER_READERS[converter] or item_blocks)(rows)).drop("glyphs")
+
+
 def item_blocks(items: DataFrame) -> DataFrame:
     """Blocks of layout items (document_id, seq, class, text, prov array<struct<page_no>>, md): page of the first valid provenance; without one dropped."""
     page = F.get(F.filter("prov", lambda p: p["page_no"] >= 1), F.lit(0))["page_no"]
@@ -67,12 +99,36 @@ def json_lines(spark: SparkSession, path: str, schema: str, strict: bool = True)
     return reader.option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path)
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Path, line_no (from 1), line of text files. A file is one row until its lines are numbered."""
-    rows = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.posexplode(F.split("value", "\n", -1)).alias("n", "line"))
+#: Suffixes of the files that the convention scan reads.
+TEXT_SUFFIXES = (".py", ".md", ".txt", ".yml", ".yaml", ".toml", ".json", ".ts", ".tsx", ".js", ".jsx", ".css", ".html", ".sh", ".cfg", ".ini", ".sql")
+
+
+def numbered_lines(spark: SparkSession, path: str, suffixes: tuple[str, ...] = (), exempt: tuple[str, ...] = ()) -> DataFrame:
+    """Path, line_no (from 1), line of text files. suffixes: those read (all if none is given); exempt: names of files left out.
+
+    A file is one row until its lines are numbered; a line feed at its end opens no further line.
+    """
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
+    if suffixes:
+        files = files.where(F.concat(F.lit("."), F.substring_index("path", ".", -1)).isin(*suffixes))
+    if exempt:
+        files = files.where(~F.substring_index("path", "/", -1).isin(*exempt))
+    rows = files.where(F.col("value") != "").select("path", F.posexplode(F.split(F.regexp_replace("value", r"\r?\n\z|\r\z", ""), T.RX_LINES, -1)).alias("n", "line"))
     return rows.select("path", (F.col("n") + 1).alias("line_no"), "line")
 
 
+def eval_set(spark: SparkSession, path: str, schema: str, required: tuple[str, ...] = ("id", "question", "gold_answer", "question_type")) -> DataFrame:
+    """Rows of a set of JSON lines in a declared schema. Blank lines are skipped; the first line that is no object, or lacks a required field, is an error that names file and line."""
+    lines = numbered_lines(spark, path).where(T.strip(F.col("line")) != "")
+    rows = lines.select("path", "line_no", F.from_json("line", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("r"))
+    lacks = [F.when(F.col(f"r.{c}").isNull(), F.lit(f"missing {c}")) for c in required]
+    problem = F.coalesce(F.when(F.col("r").isNull() | F.col("r._bad").isNotNull(), F.lit("no JSON object")), *lacks)
+    first = rows.select("path", "line_no", problem.alias("problem")).where(F.col("problem").isNotNull()).orderBy("path", "line_no").first()
+    if first:
+        raise ValueError(f"{first['path']}:{first['line_no']}: {first['problem']}")
+    return rows.select("r.*").drop("_bad")
+
+
 def gold_texts(spark: SparkSession, path: str) -> DataFrame:
     """Path, text of gold pages."""
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
@@ -89,6 +145,32 @@ def sources(spark: SparkSession, entries: dict) -> DataFrame:
     return spark.createDataFrame(rows, "scheme string, id string, url string, kind string, language string, published string")
 
 
+#: Fields of a provider's entry: name, type, whether it must be there.
+PROVIDER_FIELDS = (("base_url", str, True), ("api_key_env", str, True), ("default_model", str, True), ("reset_window", str, True), ("last_verified", str, True), ("rpm_limit", int, False), ("input_price_per_1m", float, False), ("output_price_per_1m", float, False), ("usage_parser", str, False))
+#: Names of the usage parsers.
+USAGE_PARSERS = ("default", "total_aware")
+
+
+def providers(spark: SparkSession, entries: dict | None) -> DataFrame:
+    """Name and fields of the providers of a nested mapping (YAML, read by the caller), the built-in `mock` first. A malformed entry is an error that names it."""
+    rows = [("mock", *[None] * 8, "default")]
+    for name, entry in (entries or {}).items():
+        values = []
+        for field, kind, needed in PROVIDER_FIELDS:
+            value = entry.get(field) if isinstance(entry, dict) else None
+            if value is None and needed:
+                raise ValueError(f"invalid entry for provider '{name}': {field} is missing")
+            if value is not None and not isinstance(value, (int, float) if kind is float else kind) or isinstance(value, bool):
+                raise ValueError(f"invalid entry for provider '{name}': {field} must be {kind.__name__}")
+            values.append(float(value) if kind is float and value is not None else value)
+        values[-1] = values[-1] or "default"
+        if values[-1] not in USAGE_PARSERS:
+            raise ValueError(f"invalid entry for provider '{name}': unknown usage_parser {values[-1]}")
+        rows.append((name, *values))
+    kinds = {str: "string", int: "int", float: "double"}
+    return spark.createDataFrame(rows, "name string, " + ", ".join(f"{f} {kinds[k]}" for f, k, _ in PROVIDER_FIELDS))
+
+
 def chunks_of_run(chunks: DataFrame, run_id: str, document_id: str | None = None) -> DataFrame:
     """A run's chunks, of one document if given, in order."""
     rows = chunks.where(F.col("run_id") == run_id)

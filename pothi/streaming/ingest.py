@@ -19,10 +19,12 @@ def ingest_stream(spark: SparkSession, source: str, store: Store, run_id: str, c
     blocks = spark.readStream.schema(BLOCK).parquet(source)
 
     def replace(batch: DataFrame, _: int) -> None:
-        batch = batch.persist()
-        chunks = batch.transform(CLEANERS[cleaning]).transform(SPLITTERS[splitter])
-        full = chunks.select(F.lit(run_id).alias("run_id"), "document_id", "ordinal", "text", "page", "end_page", "kinds", *[F.lit(None).cast("string").alias(c) for c in ("section_path", "scheme", "doc_kind")])
-        store.replace_documents(batch.select(F.lit(run_id).alias("run_id"), "document_id"), full)
-        batch.unpersist()
+        batch = batch.persist()  # read for the chunks and for the list of documents
+        try:
+            chunks = batch.transform(CLEANERS[cleaning]).transform(SPLITTERS[splitter])
+            full = chunks.select(F.lit(run_id).alias("run_id"), "document_id", "ordinal", "text", "page", "end_page", "kinds", *[F.lit(None).cast("string").alias(c) for c in ("section_path", "scheme", "doc_kind")])
+            store.replace_documents(batch.select(F.lit(run_id).alias("run_id"), "document_id"), full)
+        finally:
+            batch.unpersist()
 
     return blocks.writeStream.foreachBatch(replace).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

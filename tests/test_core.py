@@ -53,11 +53,12 @@ def test_fold_quirks():
 def test_cleaning(spark):
     pages = lambda texts: blocks(spark, [(t, i + 1, None) for i, t in enumerate(texts)])
     texts = lambda df: [r["text"] for r in chunking.strip_furniture(df).orderBy("seq").collect()]
-    assert texts(pages([f"Ministry\nbody {i}" for i in range(4)])) == [f"body {i}" for i in range(4)]
-    assert texts(pages(["Note\nalpha", "Note\nbeta"] + [f"c{i}" for i in range(6)]))[:2] == ["Note\nalpha", "Note\nbeta"]
-    assert texts(pages(["the bene-\nficiary must apply"])) == ["the beneficiary must apply"]
-    assert texts(pages(["under PM-\nKISAN"])) == ["under PM-\nKISAN"]
-    assert texts(pages(["Header\nalpha", "Header\nbeta"])) == ["Header\nalpha", "Header\nbeta"]
+    assert texts(pages([f"Harbour Trust\ntide {i}" for i in range(5)])) == [f"tide {i}" for i in range(5)]
+    rare = ["Memo\nquay", "Memo\npier"] + [f"buoy {i}" for i in range(7)]
+    assert texts(pages(rare)) == rare
+    assert texts(pages(["each fisher-\nman signs"])) == ["each fisherman signs"]
+    assert texts(pages(["rule of SEA-\nLAW"])) == ["rule of SEA-\nLAW"]
+    assert texts(pages(["Log\nnorth", "Log\nsouth"])) == ["Log\nnorth", "Log\nsouth"]
     assert one(spark, T.dehyphenate(F.col("t")), t="कि-\nसान") == "कि-\nसान"  # Q23
 
 
@@ -67,13 +68,14 @@ def test_glyphs_and_tokens(spark):
 
 
 def test_tables(spark):
-    html = "<table><tr><td>Instalment</td><td>Amount</td></tr><tr><td>First</td><td>2000</td></tr></table>"
+    html = "<table><tr><td>Berth</td><td>Due</td></tr><tr><td>East</td><td>75</td></tr></table>"
     md = one(spark, T.html_table_to_markdown(F.col("t")), t=html)
-    assert md == "| Instalment | Amount |\n| --- | --- |\n| First | 2000 |"
-    assert one(spark, T.parse_markdown_table(F.col("t")), t=md) == (["Instalment", "Amount"], [["First", "2000"]])
+    assert md == "| Berth | Due |\n|---|---|\n| East | 75 |"
+    assert one(spark, T.parse_markdown_table(F.col("t")), t=md) == (["Berth", "Due"], [["East", "75"]])
+    assert one(spark, T.render_table(T.parse_markdown_table(F.col("t"))), t=md) == md
     assert one(spark, T.parse_markdown_table(F.col("t")), t="| alone |") is None
     teds = lambda o, g: one(spark, T.teds(F.col("o"), F.col("g")), o=o, g=g)
-    lost = "| Instalment | Amount |\n| --- | --- |"
+    lost = "| Berth | Due |\n| --- | --- |"
     assert teds(md, md) == 1.0 and 0 < teds(lost, md) < 1 and teds("prose", md) == 0.0
     cell = "c" * 40
     table = "| a |\n| --- |\n| {} |"
@@ -84,7 +86,7 @@ def test_similarity(spark):
     s = lambda o, g: one(spark, T.text_similarity(F.col("o"), F.col("g")), o=o, g=g)
     assert s("sitting", "sitting") == 1.0 and s("", "") == 1.0 and s("a", "") == 0.0 and s("kitten", "sitting") == pytest.approx(1 - 3 / 7)
     assert s("x" * 30, "ab") < 0
-    assert one(spark, parsing.normalize(F.col("t")), t=" é \n a ") == "é a"
+    assert one(spark, T.normalize(F.col("t")), t=" é \n a ") == "é a"
 
 
 def test_similarity_query_takes_whole_texts(spark, tmp_path):
@@ -135,13 +137,13 @@ def test_score_pages(spark):
 @pytest.mark.parametrize(
     ("answer", "page", "question", "missing"),
     [
-        ("three equal installments of 3 each", "", "", []),
-        ("Rs. 6000 per annum from 01.12.2018", "", "", ["01.12.2018", "6000"]),
-        ("Rs. 10,000 or more", "", "", ["10000"]),
-        ("from 1.6.2019", "effective 1 .6.2019", "", []),
-        ("Rs. 9999", "Rs. 6000", "", ["9999"]),
-        ("up to 8,000", "", "is 8,000 enough", []),
-        ("6000", "16000", "", []),
+        ("two buoys and 12 ropes", "", "", []),
+        ("a due of 4500 since 03.04.2011", "", "", ["03.04.2011", "4500"]),
+        ("at most 25,000 crates", "", "", ["25000"]),
+        ("from 7.8.2020", "valid since 7 .8.2020", "", []),
+        ("toll 875", "toll 785", "", ["875"]),
+        ("no more than 3,200", "", "does 3,200 pass", []),
+        ("berth 450", "berth 1450", "", []),
     ],
 )
 def test_citation_support(spark, answer, page, question, missing):
@@ -227,7 +229,7 @@ def test_usage_and_retry(spark):
 
 def test_scan(spark):
     lines = spark.createDataFrame([("f", 1, "a – b"), ("f", 2, "key gsk_abcdefghijklmnop1234"), ("f", 3, "fine"), ("f", 4, "it blocks 😀"), ("f", 5, "written by an AI")], "path string, line_no int, line string")
-    got = {(r["line_no"], r["rule"], r["shown"]) for r in corpus.scan_lines(lines, ("toolname",)).collect()}
+    got = {(r["line_no"], r["rule"], r["shown"]) for r in corpus.scan_lines(lines).collect()}
     assert got == {(1, "dash", ""), (2, "credential", "gsk_abcd"), (4, "absolute", "blocks"), (4, "emoji", ""), (5, "attribution", "written by an ai")}
 
 
@@ -246,14 +248,26 @@ def _chunk(doc, n, run="r"):
     return [(run, doc, i, f"text {i}", 1, 1, [], None, None, None) for i in range(n)]
 
 
-def test_store(spark, tmp_path):
+def test_store(spark, tmp_path, monkeypatch):
     s = store.Store(spark, str(tmp_path / "store"))
     docs = lambda *ids: spark.createDataFrame([("r", i) for i in ids], "run_id string, document_id string")
     s.replace_documents(docs("a", "b"), spark.createDataFrame(_chunk("a", 3) + _chunk("b", 2), schemas.CHUNK))
     s.replace_documents(docs("a"), spark.createDataFrame(_chunk("a", 1), schemas.CHUNK))
     assert [(r["document_id"], r["ordinal"]) for r in s.chunks_of("r").collect()] == [("a", 0), ("b", 0), ("b", 1)]
     s.replace_documents(docs("b"), spark.createDataFrame([], schemas.CHUNK))
+    assert [r["document_id"] for r in s.chunks_of("r").collect()] == ["a"] and s.chunks().count() == 1
+    # A crash after the change was laid down: it is done when the store is opened again; one that was not complete is forgotten.
+    with monkeypatch.context() as m:
+        m.setattr(store.Store, "_apply", lambda *_: None)
+        s.replace_documents(docs("a", "c"), spark.createDataFrame(_chunk("c", 2), schemas.CHUNK))
     assert [r["document_id"] for r in s.chunks_of("r").collect()] == ["a"]
+    s = store.Store(spark, str(tmp_path / "store"))
+    assert [r["document_id"] for r in s.chunks_of("r").collect()] == ["c", "c"]
+    s.replace_documents(docs("a", "c"), spark.createDataFrame(_chunk("a", 1), schemas.CHUNK))
+    run = spark.createDataFrame([("r", "h", "pypdf", "fixed", "none", "none", None)], schemas.RUN).withColumn("started", F.current_timestamp())
+    s.start_run(run)
+    s.start_run(run.withColumn("splitter", F.lit("section")))
+    assert [r["splitter"] for r in store.Store(spark, str(tmp_path / "store")).runs().collect()] == ["section"]
     v = spark.createDataFrame([("r", "a", 0, "m", "h", [1.0])], "run_id string, document_id string, ordinal int, model string, text_hash string, vector array<float>")
     s.upsert_embeddings(v)
     s.upsert_embeddings(v.withColumn("vector", F.array(F.lit(2.0).cast("float"))))
@@ -278,3 +292,82 @@ def test_empty_tables(spark):
     chunks = spark.createDataFrame([], "document_id string, ordinal int, text string")
     assert retrieval.bm25(chunks, spark.createDataFrame([("q", "a")], "query_id string, text string")).count() == 0
     assert evaluation.structural_errors(spark.createDataFrame([], schemas.QUESTION)).count() == 0
+
+
+def test_cases_give_the_rows_worked_out_by_hand(spark):
+    duckdb = pytest.importorskip("duckdb")
+    from pothi.plans import cases
+
+    plain = lambda rows: sorted([tuple(None if v is None or v != v else float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) or type(v).__name__ == "Decimal" else v for v in r) for r in rows], key=repr)
+    for name, run in cases.QUERIES.items():
+        got = run(spark, "")
+        want = duckdb.sql(cases.SQL[name]).select(*[duckdb.ColumnExpression(c) for c in got.columns]).fetchall()
+        assert plain(map(tuple, got.collect())) == plain(want), name
+
+
+def test_files_and_sinks(spark, tmp_path):
+    """JSON lines with their line numbers in errors, text files by suffix, TSV and appended JSON, the block cache."""
+    (tmp_path / "set.jsonl").write_text('{"id": "a", "question": "q", "gold_answer": "g", "question_type": "factual"}\n\n{"id": "b"}\n')
+    with pytest.raises(ValueError, match=r"set.jsonl:3: missing question"):
+        readers.eval_set(spark, str(tmp_path / "set.jsonl"), schemas.QUESTION)
+    (tmp_path / "set.jsonl").write_text('\n{"id": "a", "question": "q", "gold_answer": "g", "question_type": "factual"}\n')
+    assert [r["id"] for r in readers.eval_set(spark, str(tmp_path / "set.jsonl"), schemas.QUESTION).collect()] == ["a"]
+    (tmp_path / "set.jsonl").write_text('{"id": "a"\n')
+    with pytest.raises(ValueError, match="set.jsonl:1: no JSON object"):
+        readers.eval_set(spark, str(tmp_path / "set.jsonl"), schemas.QUESTION)
+    for name, text in (("a.py", "x\ny\n"), ("b.bin", "z"), ("skip.py", "w"), ("e.md", "")):
+        (tmp_path / name).write_text(text)
+    lines = readers.numbered_lines(spark, str(tmp_path / "*.*"), readers.TEXT_SUFFIXES, ("skip.py",)).where("path like '%.py'")
+    assert [(r["line_no"], r["line"]) for r in lines.orderBy("line_no").collect()] == [(1, "x"), (2, "y")]
+    df = spark.createDataFrame([("b", 2, None), ("a", 1, "t")], "k string, n int, x string")
+    store.write_tsv(df, str(tmp_path / "tsv"))
+    assert spark.read.option("sep", "\t").option("header", True).csv(str(tmp_path / "tsv")).count() == 2
+    store.append_json(df, str(tmp_path / "log"))
+    store.append_json(df, str(tmp_path / "log"))
+    assert readers.json_lines(spark, str(tmp_path / "log"), "k string, n int").count() == 4
+    store.write_json_lines(df, str(tmp_path / "lines"), ["k"])
+    assert [r["value"] for r in spark.read.text(str(tmp_path / "lines")).orderBy("value").collect()] == ['{"k":"a","n":1,"x":"t"}', '{"k":"b","n":2,"x":null}']
+    store.write_blocks(blocks(spark, [("two", 2, None), ("one", 1, "TextItem")]), str(tmp_path / "cache"))
+    assert [(r["seq"], r["text"], r["page"]) for r in readers.cached_blocks(spark, str(tmp_path / "cache")).orderBy("seq").collect()] == [(0, "two", 2), (1, "one", 1)]
+    assert [r["text"] for r in readers.gold_texts(spark, str(tmp_path / "a.py")).collect()] == ["x\ny\n"]
+
+
+def test_errors_name_what_is_wrong(spark):
+    manifest = spark.createDataFrame([(1, "ok", "h")], "line_no long, id string, sha256 string")
+    ids = lambda *x: spark.createDataFrame([(i,) for i in x], "id string")
+    assert corpus.requested(ids("ok", "ok"), manifest).count() == 1
+    with pytest.raises(LookupError, match="lost"):
+        corpus.requested(ids("ok", "lost"), manifest)
+    vectors = spark.createDataFrame([("r", "d", 0, "m", [1.0])], "run_id string, document_id string, ordinal int, model string, vector array<float>")
+    chunks = spark.createDataFrame([("r", "d", 1, 4, 5, "x")], "run_id string, document_id string, ordinal int, page int, end_page int, text string")
+    for run in ("r", "none"):
+        with pytest.raises(LookupError, match=run):
+            retrieval.index_vectors(vectors, chunks, run, "m")
+    with pytest.raises(ValueError, match="provider 'p': base_url"):
+        readers.providers(spark, {"p": {}})
+    with pytest.raises(ValueError, match="unknown converter"):
+        readers.converted("other", vectors)
+
+
+def test_dense_hits_against_a_loop(spark, monkeypatch):
+    """Repeated ids, void vectors and ties; in one block of queries and in several."""
+    import numpy as np
+
+    g = np.random.default_rng(5)
+    x = g.standard_normal((300, 8)).round(2)
+    x[20:40] = x[0]
+    rows = [(i, "r", "m", v.tolist()) for i, v in enumerate(x)] + [(7, "r", "m", x[7].tolist()), (900, "r", "m", None), (901, "r", "m", [0.0] * 8), (902, "r", "m", [1.0] * 3), (903, "q", "m", x[0].tolist()), (904, "r", "m", [float("nan")] * 8)]
+    v = spark.createDataFrame(rows, "vec_id long, run_id string, model string, vector array<float>").repartition(3)
+    q = v.where("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), "run_id", "model", F.col("vector").alias("query"))
+    u = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32).astype(np.float64)
+    s = np.round(u @ u.T, 5)
+    for numbers in (1 << 20, 8 * 7):
+        monkeypatch.setattr(retrieval, "QUERY_NUMBERS", numbers)
+        got = {}
+        for r in retrieval.dense(v, q, 4).collect():
+            got.setdefault(r["query_id"], {})[r["rank"]] = r["vec_id"]
+        assert set(got) == set(range(0, 300, 10))
+        for i, of in got.items():
+            best = sorted((j for j in range(300) if j != i), key=lambda j: (-s[i, j], j))[:4]
+            assert [s[i, of[k]] for k in range(1, 5)] == [s[i, j] for j in best]
+    assert retrieval.dense(v.limit(0), q, 4).count() == 0 and retrieval.dense(v, q.limit(0), 4).count() == 0
