@@ -2,13 +2,16 @@
 
 Vectors are scaled to length 1, kept as half floats (an error of about 1e-4 in a cosine) and projected by Gaussian (2-stable)
 matrices to M coordinates. For two vectors at distance d the squared difference of their projections over any c coordinates is d^2 times a
-chi-square variable with c degrees of freedom. A kd-tree over the projections of a bounded sample cuts each
-collection into cells of about CELL vectors; every vector is indexed in its cell, which has a finer kd-tree of its own.
+chi-square variable with c degrees of freedom. A kd-tree over the projections cuts each collection (run and model) of more than CELL vectors into
+cells of about CELL; its upper part is built on a bounded sample, and cells that would be larger are cut further by trees that are built in the cluster,
+each on a sample of its cell. Every vector is indexed in its cell, which has a finer kd-tree of its own. A smaller collection is one cell.
 
 A query is verified first in its home leaf, then in further leaves in the order of projected distance, and stops when, for
 every leaf left, a neighbour closer than the k-th found so far would have been projected there with a
-chance under 1 - CONFIDENCE: box distance^2 > chi-square quantile * d_k^2. The same test against the planes of its cell tells
-whether the query is finished; if not, it goes on with the best so far to the cell of the next tree, which has a projection of its own.
+chance under 1 - CONFIDENCE: box distance^2 > chi-square quantile * d_k^2. The query then goes on, with the best so far, to the cell of the next tree,
+which has a projection of its own. A tree may have parted it from such a neighbour with the chance that a chi-square variable of one degree exceeds
+gap^2 / d_k^2, summed over the planes of its cell; over the trees these chances multiply. The query is finished when their product is under
+1 - CONFIDENCE. Queries that no tree has finished are verified exactly against their whole collection, in blocks.
 Each tree is one shuffle of the vectors, so the moved bytes are linear in them.
 """
 
@@ -24,16 +27,18 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small
+from pothi.operators import retrieval
+
+from .common import process_state, small, written
 
 K, M, CELL, LEAF = 5, 8, 8192, 128
 #: Chance with which a neighbour in an unvisited box would have been seen; the share of misses stays below 1 - CONFIDENCE.
 CONFIDENCE = 0.9
-#: Rows whose projections build the upper tree on the driver, at most, over all collections.
-TREE_SAMPLE = 50_000
+#: Rows whose projections build the upper trees on the driver, at most, over all collections; and rows of a sample that a leaf is cut from, at least.
+TREE_SAMPLE, LEAF_SAMPLE = 50_000, 16
 #: Trees at least; more where cells are many (see trees_for).
 TREES = 3
-DIMENSIONS = {"setu-embed-s": 64, "setu-embed-m": 48}
+
 
 def chi_square_quantile(df: int, p: float) -> float:
     """Wilson-Hilferty approximation; exact enough for a stopping test."""
@@ -62,16 +67,31 @@ def trees_for(depth: int, missed: float = 0.05, crossing: float = 0.1) -> int:
 
 
 class Tree:
-    """Median splits on the widest coordinate of a sample, down to `leaves` leaves; boxes are the half-spaces' meets."""
+    """Median splits on the widest coordinate of a sample, down to `leaves` leaves; boxes are the half-spaces' meets.
 
-    def __init__(self, points: np.ndarray, leaves: int):
+    below: trees that cut single leaves further; their leaves are numbered from `first` on.
+    """
+
+    def __init__(self, points: np.ndarray, leaves: int, lo: np.ndarray | None = None, hi: np.ndarray | None = None):
         depth = max(0, math.ceil(math.log2(max(leaves, 1))))
-        while depth and (len(points) >> depth) < 16:
+        while depth and (len(points) >> depth) < LEAF_SAMPLE:
             depth -= 1
         n = 1 << depth
+        self.below: dict[int, tuple[int, Tree]] = {}
+        self.size = n
         self.depth, self.dim, self.value = depth, np.zeros(n, np.int32), np.zeros(n, np.float32)
         self.lo, self.hi = np.full((n, M), -np.inf, np.float32), np.full((n, M), np.inf, np.float32)
-        self._grow(points, 1, 0, np.full(M, -np.inf), np.full(M, np.inf))
+        self._grow(points, 1, 0, np.full(M, -np.inf) if lo is None else lo, np.full(M, np.inf) if hi is None else hi)
+
+    def cut(self, leaf: int, tree: Tree) -> None:
+        self.below[leaf] = (self.size, tree)
+        self.size += tree.size
+
+    def box(self, leaf: int) -> tuple[np.ndarray, np.ndarray]:
+        for first, tree in self.below.values():
+            if first <= leaf < first + tree.size:
+                return tree.box(leaf - first)
+        return self.lo[leaf], self.hi[leaf]
 
     def _grow(self, points: np.ndarray, node: int, level: int, lo: np.ndarray, hi: np.ndarray) -> None:
         if level == self.depth:
@@ -86,17 +106,34 @@ class Tree:
         self._grow(points[left], 2 * node, level + 1, lo, up)
         self._grow(points[~left], 2 * node + 1, level + 1, down, hi)
 
-    def room(self, y: np.ndarray, leaf: np.ndarray) -> np.ndarray:
-        """Squared distance of each point to the nearest plane of its cell; inf where there is none."""
-        gap = np.minimum(y - self.lo[leaf], self.hi[leaf] - y).min(1)
-        return gap * gap
-
     def place(self, y: np.ndarray) -> np.ndarray:
         node = np.ones(len(y), np.int64)
         rows = np.arange(len(y))
         for _ in range(self.depth):
             node = 2 * node + (y[rows, self.dim[node]] >= self.value[node])
-        return node - (1 << self.depth)
+        node -= 1 << self.depth
+        if self.below:
+            top = node.copy()
+            for leaf, (first, tree) in self.below.items():
+                at = np.flatnonzero(top == leaf)
+                if len(at):
+                    node[at] = first + tree.place(y[at])
+        return node
+
+
+def parted(y: np.ndarray, lo: np.ndarray, hi: np.ndarray, bound: np.ndarray) -> np.ndarray:
+    """Chance, at most, that a neighbour at squared distance `bound` of each point is projected out of the point's cell: sum over the planes."""
+    total = np.zeros(len(y))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        for gap in [y[:, j] - lo[j] for j in np.flatnonzero(np.isfinite(lo))] + [hi[j] - y[:, j] for j in np.flatnonzero(np.isfinite(hi))]:
+            total += 0.5 * _tail(np.maximum(gap, 0) / np.sqrt(2 * np.maximum(bound, 1e-12)))
+    return np.minimum(total, 1.0)
+
+
+def _tail(x: np.ndarray) -> np.ndarray:
+    """The complementary error function of x >= 0, to seven digits (Abramowitz and Stegun 7.1.26)."""
+    t = 1 / (1 + 0.3275911 * x)
+    return t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * np.exp(-x * x)
 
 
 def _outside(y: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -156,8 +193,9 @@ class Cell:
                 if len(i):
                     self._merge(q, i, self.ids[at[j]], s[i, j], best, who, k)
                 kth = best[q, k - 1]
-                bound = np.where(np.isfinite(kth), 2 - 2 * kth, np.inf)
-                todo = (dist <= quantile * bound[:, None]).any(0) & ~seen
+                some = np.isfinite(kth)
+                reach = np.where(some[:, None], quantile * np.where(some, 2 - 2 * kth, 0)[:, None], np.inf)  # all leaves, as long as k are not found
+                todo = (dist <= reach).any(0) & ~seen
 
     @staticmethod
     def _merge(q: np.ndarray, i: np.ndarray, ids: np.ndarray, sims: np.ndarray, best: np.ndarray, who: np.ndarray, k: int) -> None:
@@ -179,7 +217,7 @@ class Cell:
 def unit_vectors(df: DataFrame, dimensions: dict[str, int]) -> DataFrame:
     """vec_id, run_id, model, v (half floats of length 1, as bytes) of the rows that are not void.
 
-    Void: null, of another size than the model's, with a null or infinite entry, or all zero. A model outside `dimensions` takes no part.
+    Void: null, of another size than the model's, with a null or infinite entry, or all zero.
     """
     dims = dict(dimensions)
 
@@ -219,105 +257,186 @@ def _binary(a: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(a), [None, pa.py_buffer(np.arange(len(a) + 1, dtype=np.int32) * np.int32(a.nbytes // max(len(a), 1))), pa.py_buffer(a)])
 
 
-_INDEX: dict = {}
+def _unpickled(shared) -> dict:
+    """The value of a broadcast of pickled bytes, loaded once per worker process."""
+    state, blob = process_state("vectors"), shared.value
+    if state.get("of") is not blob:
+        state["of"], state["value"] = blob, pickle.loads(blob)
+    return state["value"]
 
 
-def _unpickled(shared) -> tuple[list[tuple[str, str]], list[list[tuple[int, Tree]]]]:
-    """The value of a broadcast of pickled bytes, loaded once per worker process."""
-    blob = shared.value
-    if id(blob) not in _INDEX:
-        _INDEX.clear()
-        _INDEX[id(blob)] = (blob, pickle.loads(blob))
-    return _INDEX[id(blob)][1]
+def dimensions_of(df: DataFrame) -> dict[str, int]:
+    """Each model's size: that of most of its vectors, of several the largest."""
+    sizes = df.where(F.col("model").isNotNull() & (F.size("vector") > 0)).groupBy("model", F.size("vector").alias("size")).agg(F.count("*").alias("n"))
+    return {r["model"]: r["size"] for r in sizes.groupBy("model").agg(F.max(F.struct("n", "size"))["size"].alias("size")).collect()}
+
+
+_STATE = [("id", np.int64), ("s", np.float32)]
+
+
+def forests(vectors: DataFrame, sizes: dict[int, int], dims: dict[int, int], trees: int) -> list[dict[int, Tree]]:
+    """For every tree the kd-tree of each large collection. vectors: g, v; sizes and dims by g.
+
+    The upper trees have so many leaves as a sample of TREE_SAMPLE rows over all collections allows; where cells would be larger than CELL,
+    samples of the cells (LEAF_SAMPLE rows for each of their leaves) are cut in the cluster, a group a cell.
+    """
+    spark, total = vectors.sparkSession, sum(sizes.values())
+    if not sizes:
+        return [{} for _ in range(trees)]
+    part = 1 << 30
+    wanted = {g: math.ceil(n / CELL) for g, n in sizes.items()}
+    upper = {g: max(1, min(wanted[g], TREE_SAMPLE * n // (2 * LEAF_SAMPLE * total))) for g, n in sizes.items()}
+    hashed = F.pmod(F.xxhash64(F.lit(5), "v"), F.lit(part))
+
+    def drawn(rows: dict[int, float]) -> DataFrame:
+        """About so many distinct vectors of each collection: of the vector, not of the row, is the hash."""
+        shares = F.broadcast(spark.createDataFrame([(g, int(min(1.0, r / sizes[g]) * part)) for g, r in rows.items()], "g long, _below long"))
+        return vectors.join(shares, "g").where(hashed < F.col("_below")).select("g", "v")
+
+    sample = drawn({g: max(2 * LEAF_SAMPLE * upper[g], 64) for g in sizes}).dropDuplicates(["g", "v"]).toPandas()
+    points = {g: np.frombuffer(b"".join(p["v"]), np.float16).astype(np.float32).reshape(len(p), -1) for g, p in sample.groupby("g")}
+    forest = [{g: Tree(points[g] @ projection(dims[g], i), upper[g]) if g in points else Tree(np.zeros((0, M)), 1) for g in sizes} for i in range(trees)]
+    deep = {g for g in sizes if g in points and wanted[g] > 2 * upper[g]}
+    if deep:
+        shared = spark.sparkContext.broadcast(cloudpickle.dumps(({g: dims[g] for g in deep}, [{g: t for g, t in f.items() if g in deep} for f in forest])))
+
+        def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            dims, forest = _unpickled(shared)
+            for b in batches:
+                of = b.column("g").to_numpy()
+                for g in np.unique(of):
+                    rows = np.flatnonzero(of == g)
+                    x = _rows(b.column("v").take(pa.array(rows)), np.float16).astype(np.float32)
+                    for i, f in enumerate(forest):
+                        y = (x @ projection(dims[g], i)).astype(np.float32)
+                        n = len(rows)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(n, i, np.int32)), pa.array(np.full(n, g)), pa.array(f[g].place(y)), _binary(y)], ["tree", "g", "leaf", "y"])
+
+        def grow(t: pa.Table) -> pa.Table:
+            forest = _unpickled(shared)[1]
+            i, g, leaf = (t.column(c)[0].as_py() for c in ("tree", "g", "leaf"))
+            lo, hi = forest[i][g].box(leaf)
+            grown = Tree(_rows(t.column("y"), np.float32), max(1, len(t) // (2 * LEAF_SAMPLE)), lo, hi)
+            return pa.table({"tree": t.column("tree").slice(0, 1), "g": t.column("g").slice(0, 1), "leaf": t.column("leaf").slice(0, 1), "grown": pa.array([cloudpickle.dumps(grown)], pa.binary())})
+
+        rows = drawn({g: 2 * LEAF_SAMPLE * wanted[g] for g in deep}).mapInArrow(spread, "tree int, g long, leaf long, y binary").groupBy("tree", "g", "leaf")
+        # A node of a tree takes some 80 bytes, so N vectors make some N / 100 bytes of trees.
+        for r in rows.applyInArrow(grow, "tree int, g long, leaf long, grown binary").toLocalIterator():
+            grown = pickle.loads(r["grown"])
+            if grown.size > 1:
+                forest[r["tree"]][r["g"]].cut(r["leaf"], grown)
+    return forest
 
 
 def most_similar(df: DataFrame, k: int = K, dimensions: dict[str, int] | None = None, confidence: float = CONFIDENCE) -> DataFrame:
     """vec_id, neighbour, similarity, rank: the k vectors of the same run and model with the highest cosine to each vector.
 
-    Repeated vec_ids count once. Equal similarity: the smaller vec_id first. Equal vectors under many ids: the k + 1 smallest ids are
-    indexed, the others take the k smallest as neighbours, so a group of copies however large
-    costs no pairs. A collection of fewer than k + 1 vectors gives each the rest. Void vectors take no part. Empty input gives no row.
+    dimensions: size of each model's vectors; by default that of most of them. Repeated vec_ids count once. Equal similarity: the smaller vec_id first.
+    Equal vectors under many ids: the k + 1 smallest ids are indexed, the others take the k smallest as neighbours, so a group of copies however large
+    costs no pairs. A collection of fewer than k + 1 vectors gives each the rest. Void vectors take no part, nor do models outside `dimensions` where it is
+    given. A null run is a run of its own. Empty input gives no row.
     """
-    dimensions = dimensions or DIMENSIONS
+    dimensions = dimensions or dimensions_of(df)
     spark = df.sparkSession
-    chi = quantiles(confidence)
-    valid = unit_vectors(df, dimensions).withColumn("_copy", F.xxhash64("v"))
-    w = Window.partitionBy("run_id", "model", "_copy").orderBy("vec_id")
+    chi, log_miss = quantiles(confidence), math.log(1 - confidence)
+    group = F.xxhash64(F.lit(11), "run_id", "model")
+    valid = unit_vectors(df, dimensions).withColumn("g", group).withColumn("_copy", F.xxhash64("v"))
+    w = Window.partitionBy("g", "_copy").orderBy("vec_id")
     kept = valid.withColumn("_rank", F.dense_rank().over(w)).where(F.col("_rank") <= k + 1)
-    kept = kept.dropDuplicates(["run_id", "model", "_copy", "vec_id"])
-    sizes = {(r["run_id"], r["model"]): r["n"] for r in df.where(F.col("model").isin(*dimensions)).groupBy(F.coalesce("run_id", F.lit("")).alias("run_id"), "model").agg(F.count("*").alias("n")).collect()}
-    total = sum(sizes.values())
-    # Hash of the vector, not of the row: a sample of distinct vectors whichever ids hold them.
-    share = min(1.0, TREE_SAMPLE / max(total, 1))
-    drawn = valid.where(F.pmod(F.xxhash64(F.lit(5), "_copy"), F.lit(1_000_000)) < int(share * 1_000_000)).select("run_id", "model", "v").limit(2 * TREE_SAMPLE).toPandas()
-    groups = {g: np.frombuffer(b"".join(p["v"]), np.float16).astype(np.float32).reshape(len(p), -1) for g, p in drawn.groupby(["run_id", "model"])}
-    names = sorted(groups)
-    depth = max([math.ceil(math.log2(max(1, math.ceil(sizes[g] / CELL)))) for g in names], default=0)
-    forest: list[list[tuple[int, Tree]]] = []
-    for i in range(trees_for(depth)):
-        first, row = 0, []
-        for g in names:
-            row.append((first, Tree(groups[g] @ projection(groups[g].shape[1], i), math.ceil(sizes[g] / CELL))))
-            first += 1 << row[-1][1].depth
-        forest.append(row)
-    # At most TREE_SAMPLE / 16 cells of 2 * M floats per tree; pickled by value, so workers need no copy of the package.
-    index = spark.sparkContext.broadcast(cloudpickle.dumps((names, forest)))
+    kept = kept.dropDuplicates(["g", "_copy", "vec_id"])
+    # Of the collections only those of more than CELL vectors reach the driver: at most one for CELL rows.
+    counted = df.where(F.col("model").isin(*dimensions)).groupBy(F.coalesce("run_id", F.lit("")).alias("run_id"), "model").agg(F.count("*").alias("n"))
+    total = df.count()
+    large = counted.where(F.col("n") > CELL).select(group.alias("g"), "model", "n").collect()
+    sizes, dims = {r["g"]: r["n"] for r in large}, {r["g"]: dimensions[r["model"]] for r in large}
+    depth = max([math.ceil(math.log2(n / CELL)) for n in sizes.values()], default=0)
+    trees = trees_for(depth) if sizes else 1
+    forest = forests(valid.select("g", "v"), sizes, dims, trees)
+    first = []  # number of each tree's first cell, by collection
+    for f in forest:
+        ends = np.cumsum([0, *[t.size for t in f.values()]]).tolist()
+        first.append(dict(zip(f, ends)))
+    index = spark.sparkContext.broadcast(cloudpickle.dumps((forest, first)))
+    tasks = max(8, 2 * math.ceil(total / CELL))
+
+    def cells(i: int, of: np.ndarray, x: np.ndarray, whole: np.ndarray) -> np.ndarray:
+        """Cell of each vector in tree i; that of a small collection is the collection's own (`whole`, below zero)."""
+        forest, first = _unpickled(index)
+        out = whole.copy()
+        for g in np.unique(of):
+            if g in forest[i]:
+                rows = of == g
+                out[rows] = first[i][g] + forest[i][g].place(x[rows] @ projection(x.shape[1], i))
+        return out
 
     def start(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, forest = _unpickled(index)
-        at = {g: i for i, g in enumerate(names)}
         for b in batches:
-            group = np.array([at[g] for g in zip(b.column("run_id").to_pylist(), b.column("model").to_pylist())], np.int32)
-            for g in np.unique(group):
-                rows = pa.array(np.flatnonzero(group == g))
+            model = np.array(b.column("model").to_pylist(), object)
+            for m in dict.fromkeys(model):
+                rows = pa.array(np.flatnonzero(model == m))
                 part = b.take(rows)
-                x = _rows(part.column("v"), np.float16).astype(np.float32)
-                first, tree = forest[0][g]
+                x, of = _rows(part.column("v"), np.float16).astype(np.float32), part.column("g").to_numpy()
                 n = len(part)
-                state = np.zeros((n, k), [("id", np.int64), ("s", np.float32)])
+                state = np.zeros((n, k), _STATE)
                 state["id"], state["s"] = -1, -np.inf
-                yield pa.RecordBatch.from_arrays([pa.array(first + tree.place(x @ projection(x.shape[1], 0))), pa.array(np.full(n, g, np.int32)), part.column("vec_id"), part.column("v"), _binary(state), pa.array(np.zeros(n, bool))], ["cell", "g", "vec_id", "v", "best", "done"])
+                whole = -1 - np.abs(part.column("whole").to_numpy() >> 1)
+                yield pa.RecordBatch.from_arrays([pa.array(cells(0, of, x, whole)), part.column("g"), part.column("vec_id"), part.column("v"), _binary(state), pa.array(np.zeros(n, np.float32))], ["cell", "g", "vec_id", "v", "best", "miss"])
 
-    shape = "cell long, g int, vec_id long, v binary, best binary, done boolean"
-    rows = kept.select("run_id", "model", "vec_id", "v").mapInArrow(start, shape)
+    # miss: logarithm of the chance that a closer neighbour was parted from the query in every tree so far.
+    shape = "cell long, g long, vec_id long, v binary, best binary, miss float"
+    rows = kept.select("g", F.xxhash64(F.lit(23), "run_id", "model").alias("whole"), "model", "vec_id", "v").mapInArrow(start, shape)
 
     def round_(i: int):
+        last = i + 1 == trees
+
         def visit(t: pa.Table) -> pa.Table:
-            forest = _unpickled(index)[1]
-            g = t.column("g")[0].as_py()
-            first, tree = forest[i][g]
+            forest, first = _unpickled(index)
+            g, cell = t.column("g")[0].as_py(), t.column("cell")[0].as_py()
             ids, x = t.column("vec_id").to_numpy(), _rows(t.column("v"), np.float16).astype(np.float32)
             y = x @ projection(x.shape[1], i)
-            state = _rows(t.column("best"), np.uint8).copy().view([("id", np.int64), ("s", np.float32)]).reshape(len(ids), k)
+            state = _rows(t.column("best"), np.uint8).copy().view(_STATE).reshape(len(ids), k)
             who, best = state["id"].copy(), state["s"].copy()
-            done = t.column("done").to_numpy(zero_copy_only=False).astype(bool)
-            Cell(ids, x, y).search(np.flatnonzero(~done), who, best, k, chi)
+            miss = t.column("miss").to_numpy().astype(np.float64)
+            Cell(ids, x, y).search(np.flatnonzero(miss > log_miss), who, best, k, chi)
             state["id"], state["s"] = who, best
-            bound = np.where(np.isfinite(best[:, k - 1]), 2 - 2 * best[:, k - 1], np.inf)
-            done |= tree.room(y, np.full(len(ids), t.column("cell")[0].as_py() - first)) > chi[1] * bound
-            last = i + 1 == len(forest)
-            cell = ids if last else forest[i + 1][g][0] + forest[i + 1][g][1].place(x @ projection(x.shape[1], i + 1))
+            if cell < 0:
+                miss[:] = -np.inf
+            else:
+                bound = np.where(np.isfinite(best[:, k - 1]), 2 - 2 * best[:, k - 1], 4.0)
+                miss = np.where(miss > log_miss, miss + np.log(np.maximum(parted(y, *forest[i][g].box(cell - first[i][g]), bound), 1e-30)), miss)
+            of = np.full(len(ids), g)
+            at = ids if last else np.full(len(ids), cell) if cell < 0 else cells(i + 1, of, x, ids)
             v = pa.nulls(len(ids), pa.binary()) if last else t.column("v")
-            return pa.table({"cell": pa.array(cell), "g": t.column("g"), "vec_id": t.column("vec_id"), "v": v, "best": _binary(state), "done": pa.array(done)})
+            return pa.table({"cell": pa.array(at), "g": t.column("g"), "vec_id": t.column("vec_id"), "v": v, "best": _binary(state), "miss": pa.array(miss.astype(np.float32))})
 
         return visit
 
-    for i in range(len(forest)):
-        rows = rows.groupBy("cell").applyInArrow(round_(i), shape)
+    for i in range(trees):
+        rows = rows.repartition(tasks, "cell", "g").groupBy("cell", "g").applyInArrow(round_(i), shape)
+    if sizes:
+        rows = written(rows.select("vec_id", "best", "miss"))
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not len(b):
                 continue
-            state = _rows(b.column("best"), np.uint8).copy().view([("id", np.int64), ("s", np.float32)]).reshape(len(b), k)
+            state = _rows(b.column("best"), np.uint8).copy().view(_STATE).reshape(len(b), k)
             r, c = np.nonzero(state["id"] >= 0)
             yield pa.RecordBatch.from_arrays([b.column("vec_id").take(pa.array(r)), pa.array(state["id"][r, c]), pa.array(state["s"][r, c].astype(np.float64)), pa.array((c + 1).astype(np.int32))], ["vec_id", "neighbour", "similarity", "rank"])
 
-    near = rows.select("vec_id", "best").mapInArrow(unpack, "vec_id long, neighbour long, similarity double, rank int")
-    copies = kept.groupBy("run_id", "model", "_copy").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).where(F.size("ids") == k + 1)
-    rest = valid.select("run_id", "model", "_copy", "vec_id").join(small(copies), ["run_id", "model", "_copy"]).where(F.col("vec_id") > F.col("ids")[k])
+    out = rows.where(F.col("miss") <= log_miss).select("vec_id", "best").mapInArrow(unpack, "vec_id long, neighbour long, similarity double, rank int")
+    left = rows.where(F.col("miss") > log_miss).select("vec_id") if sizes else None
+    if left is not None and left.limit(1).count():
+        # What no tree has finished, exactly.
+        whole = df.where(F.col("model").isin(*dimensions)).select("vec_id", F.coalesce("run_id", F.lit("")).alias("run_id"), "model", "vector")
+        asked = whole.join(small(left), "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), "run_id", "model", F.col("vector").alias("query"))
+        asked = asked.where(F.element_at(F.create_map(*[F.lit(x) for m, d in dimensions.items() for x in (m, d)]), F.col("model")) == F.size("query"))
+        exact = retrieval.dense(whole, asked, k)
+        out = out.unionByName(exact.select(F.col("query_id").alias("vec_id"), F.col("vec_id").alias("neighbour"), F.col("score").alias("similarity"), "rank"))
+    copies = kept.groupBy("g", "_copy").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).where(F.size("ids") == k + 1)
+    rest = valid.select("g", "_copy", "vec_id").join(small(copies), ["g", "_copy"]).where(F.col("vec_id") > F.col("ids")[k])
     more = rest.select("vec_id", F.posexplode(F.slice("ids", 1, k)).alias("i", "neighbour")).select("vec_id", "neighbour", F.lit(1.0).alias("similarity"), (F.col("i") + 1).alias("rank")).distinct()
-    return near.unionByName(more)
+    return out.unionByName(more)
 
 
 def similar_pairs(neighbours: DataFrame) -> DataFrame:

@@ -285,6 +285,35 @@ def test_several_cells_keep_recall(spark, monkeypatch):
     assert np.mean([len(set(np.argsort(-s[i])[:5]) & got[i]) for i in range(1600)]) / 5 > 0.9
 
 
+def _recall(spark, x, rows, dims):
+    df = spark.createDataFrame(rows, "vec_id long, run_id string, model string, vector array<float>")
+    got = {}
+    for n in similar_vectors.most_similar(df).collect():
+        got.setdefault(n["vec_id"], set()).add(n["neighbour"])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -1)
+    return got, np.mean([len(set(np.argsort(-s[i])[:5]) & got[i]) for i in range(len(x))]) / 5
+
+
+def test_tiny_collections_beside_a_large_one_in_deep_cells(spark, monkeypatch):
+    """The sample is far too small for the cells, so they are cut in the cluster; tiny collections need no sample. Neighbours are far apart, so trees part many."""
+    monkeypatch.setattr(similar_vectors, "CELL", 150)
+    monkeypatch.setattr(similar_vectors, "TREE_SAMPLE", 100)
+    g = np.random.default_rng(18)
+    centres = g.standard_normal((60, 20))
+    x = (centres[g.integers(0, 60, 2400)] + 0.5 * g.standard_normal((2400, 20))).astype(np.float32)
+    rows = [(i, "r", "other-model", v.tolist()) for i, v in enumerate(x)]
+    rows += [(10_000 + 10 * c + j, None if c == 0 else f"r{c}", "other-model", g.standard_normal(20).tolist()) for c in range(60) for j in range(3)]
+    rows += [(99_000, "r", "other-model", [1.0] * 7), (99_001, "r", "bare", None)]
+    seen = []
+    dense = similar_vectors.retrieval.dense
+    monkeypatch.setattr(similar_vectors.retrieval, "dense", lambda v, q, k: seen.append(q.count()) or dense(v, q, k))
+    got, recall = _recall(spark, x, rows, 20)
+    assert recall > 0.95 and all(len(got[i]) == 5 for i in range(2400)) and seen and 0 < seen[0] < 2400
+    assert all(got[10_000 + 10 * c] == {10_001 + 10 * c, 10_002 + 10 * c} for c in range(60)) and not {99_000, 99_001} & set(got)
+
+
 def test_packing_places_everything_once(spark):
     r = random.Random(6)
     texts = [" ".join(sentence(r) for _ in range(r.randint(1, 30))) for _ in range(150)] + [" ".join(sentence(r) for _ in range(400)), "", None, "  ", "same text"] + ["same text"] * 40
