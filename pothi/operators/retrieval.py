@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 from pothi.functions import text as T
 
 K1, B, EPSILON, RRF, FLOOR = 1.5, 0.75, 0.25, 60, 0.80
+#: Scores of vectors and queries that are worked out at once (8 MB).
+SCORES = 1 << 20
 #: Questions of a block, and chunks whose scores are worked out together.
 QUESTIONS, STRIPE = 512, 512
 _ARROW = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64()}
@@ -171,18 +173,21 @@ def _by_group(b: pa.RecordBatch, column: str) -> Iterator[tuple[tuple, np.ndarra
 
 
 class _Best:
-    """The k best vectors of each of the queries of a group so far: similarity to 6 digits, then id; each id once."""
+    """The k best vectors of each of the queries of a group so far: similarity to 6 digits, then id; each id once. least: the k-th similarity, where there is one."""
 
     def __init__(self, queries: int, k: int):
         self.k, self.q = k, np.zeros(0, np.int64)
-        self.id, self.s = np.zeros(0, np.int64), np.zeros(0)
+        self.id, self.s, self.least = np.zeros(0, np.int64), np.zeros(0), np.full(queries, -np.inf)
 
     def add(self, ids: np.ndarray, s: np.ndarray, own: np.ndarray) -> None:
-        """ids, and their similarities s (ids, queries) to the queries whose ids are `own`."""
-        r = np.round(s, 6)
-        r[ids[:, None] == own] = -np.inf
+        """ids, in order and their similarities s (ids, queries) to the queries whose ids are `own`."""
+        at = np.searchsorted(ids, own)  # ids are in order
+        same = np.flatnonzero(ids[np.minimum(at, len(ids) - 1)] == own)
+        s[at[same], same] = -np.inf
         k = min(self.k, len(ids))
-        i, q = np.nonzero((r >= np.partition(r, len(ids) - k, axis=0)[len(ids) - k]) & np.isfinite(r))
+        # What is surely not among the k best, of this batch or so far, is left out before anything is rounded.
+        least = np.maximum(np.partition(s, len(ids) - k, axis=0)[len(ids) - k], self.least) - 2e-6
+        i, q = np.nonzero((s >= least) & (s > -np.inf))
         q, new, s = np.concatenate([self.q, q]), np.concatenate([self.id, ids[i]]), np.concatenate([self.s, s[i, q]])
         order = np.lexsort((new, -np.round(s, 6), q))
         q, new, s = q[order], new[order], s[order]
@@ -191,6 +196,8 @@ class _Best:
         q, new, s = q[first], new[first], s[first]
         keep = np.arange(len(q)) - np.searchsorted(q, q) < self.k
         self.q, self.id, self.s = q[keep], new[keep], s[keep]
+        full = np.flatnonzero(np.bincount(self.q, minlength=len(own)) == self.k)
+        self.least[full] = self.s[np.searchsorted(self.q, full, "right") - 1]
 
 
 def query_blocks(queries: DataFrame) -> list[list[tuple[tuple, np.ndarray, np.ndarray]]]:
@@ -231,8 +238,9 @@ def _scan(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                     at, x = at[first], None
                     for (own, q), state in zip(shared.value.get(g, ()), best.get(g, ())):
                         x = _directions(b.column("vector"), at, size) if x is None else x
-                        for s in range(0, len(ids), 4096):
-                            state.add(ids[s : s + 4096], x[s : s + 4096] @ q.T, own)
+                        step = max(16, SCORES // max(len(own), 1))
+                        for s in range(0, len(ids), step):
+                            state.add(ids[s : s + step], x[s : s + step] @ q.T, own)
             for g, of in shared.value.items():
                 for (own, _), state in zip(of, best[g]):
                     yield pa.RecordBatch.from_arrays([pa.array(own[state.q]), pa.array(state.id), pa.array(state.s)], ["query_id", "vec_id", "score"])

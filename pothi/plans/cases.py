@@ -222,7 +222,7 @@ def _(s):
     return corpus.crawl(seeds, s.createDataFrame(pages, "url string, status int, html string"), s.createDataFrame(probes, "url string, status int, head string, content_type string, bytes long"))
 
 
-@case("s22_fetched_case", "id, status, bytes, pages, has_text_layer, text_page_ratio, retrieved, published, sha", "('a', 'cached', 5, 3, true, 0.667, '2025-01-02', '2024-05-06', '071ba51d')", "('b', 'fetched', 4, 1, false, 0.0, '2026-03-04', '2020-01-01', '315d429b')", "('c', 'http 404', -1, -1, NULL, NULL, NULL, NULL, NULL)", "('d', 'unreachable', -1, -1, NULL, NULL, NULL, NULL, NULL)", "('e', 'not a pdf: text/html', -1, -1, NULL, NULL, NULL, NULL, NULL)")
+@case("s22_fetched_case", "id, status, bytes, pages, has_text_layer, text_page_ratio, retrieved, published, sha", "('a', 'cached', 5, 3, 'true', 0.667, '2025-01-02', '2024-05-06', '071ba51d')", "('b', 'fetched', 4, 1, 'false', 0.0, '2026-03-04', '2020-01-01', '315d429b')", "('c', 'http 404', -1, -1, '-', NULL, NULL, NULL, NULL)", "('d', 'unreachable', -1, -1, '-', NULL, NULL, NULL, NULL)", "('e', 'not a pdf: text/html', -1, -1, '-', NULL, NULL, NULL, NULL)")
 def _(s):
     entries = s.createDataFrame([(i, f"u{i}", p) for i, p in zip("abcde", [None, "2020-01-01", None, None, None])], "id string, url string, published string")
     page = "x" * 41
@@ -230,7 +230,7 @@ def _(s):
     answers = [("ub", 200, "application/PDF", b"%PDF", ["short"], None), ("uc", 404, "", b"", None, None), ("ud", None, None, None, None, None), ("ue", 200, "text/html", b"<html", None, None)]
     responses = s.createDataFrame(answers, "url string, status int, content_type string, content binary, texts array<string>, creation_date string")
     rows = corpus.fetched(entries, files, responses, s.createDataFrame([("a", "2025-01-02")], "id string, retrieved string"), "2026-03-04")
-    return rows.select("id", "status", F.coalesce("bytes", F.lit(-1)).alias("bytes"), F.coalesce("pages", F.lit(-1)).alias("pages"), "has_text_layer", "text_page_ratio", "retrieved", "published", F.substring("sha256", 1, 8).alias("sha"))
+    return rows.withColumn("has_text_layer", F.coalesce(F.col("has_text_layer").cast("string"), F.lit("-"))).select("id", "status", F.coalesce("bytes", F.lit(-1)).alias("bytes"), F.coalesce("pages", F.lit(-1)).alias("pages"), "has_text_layer", "text_page_ratio", "retrieved", "published", F.substring("sha256", 1, 8).alias("sha"))
 
 
 @case("p8_missing_case", "id", "('gone')", "('failed')")
