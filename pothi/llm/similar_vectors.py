@@ -57,7 +57,7 @@ def projection(dim: int, tree: int) -> np.ndarray:
     return np.random.default_rng(97 + 1000 * tree + dim).standard_normal((dim, M)).astype(np.float32)
 
 
-def trees_for(depth: int, missed: float = 0.05, crossing: float = 0.1) -> int:
+def trees_for(depth: int, missed: float = 0.02, crossing: float = 0.1) -> int:
     """Trees after which at most `missed` of the neighbours were never in the query's cell, if each split parts a pair with chance `crossing`.
 
     0.1 is the chance that a median split parts two vectors with cosine 0.95.
@@ -187,7 +187,10 @@ class Cell:
                 seen |= todo
                 at = np.concatenate([self.leaves[i] for i in np.flatnonzero(todo)])
                 s = self.x[q] @ self.x[at].T
-                i, j = np.nonzero(s > np.maximum(best[q, k - 1], -2.0)[:, None])
+                least = np.maximum(best[q, k - 1], -2.0)
+                if least.min() == -2.0 and s.shape[1] > k + 1:  # the first leaf: of each query only its k + 1 best, itself among them
+                    least = np.maximum(least, np.partition(s, s.shape[1] - k - 1, axis=1)[:, s.shape[1] - k - 1] - 1e-6)
+                i, j = np.nonzero(s > least[:, None])
                 fresh = self.ids[q[i]] != self.ids[at[j]]
                 i, j = i[fresh], j[fresh]
                 if len(i):
