@@ -66,6 +66,24 @@ def test_consensus_follows_reliability(spark):
     assert consensus.consensus(df.limit(0))[0].count() == 0
 
 
+def test_consensus_beyond_the_core(spark, monkeypatch):
+    """A hundred annotators of few votes each, most of them measured against the four of the core, and no annotator left out."""
+    monkeypatch.setattr(consensus, "CORE", 4)
+    r = random.Random(15)
+    quality = {f"a{i}": 0.95 if i % 3 else 0.1 for i in range(100)} | {f"c{i}": 0.85 for i in range(4)}
+    truth = {f"q{i}": r.random() < 0.5 for i in range(1200)}
+    label = lambda t, q: "yes" if (r.random() < q) == t else "no"
+    rows = []
+    for q, t in truth.items():
+        for p in [f"a{r.randrange(100)}", *r.sample([f"c{i}" for i in range(4)], 3)]:
+            rows.append((q, label(t, quality[p]), p, None, None, None, "2026-01-01"))
+    df = spark.createDataFrame(rows, "question_id string, mine string, mine_by string, theirs string, model string, why string, dated string")
+    items, annotators = consensus.consensus(df)
+    found = {x["annotator"]: x["reliability"] for x in annotators.collect()}
+    assert len(found) == 104 and np.mean([(found[f"a{i}"] > 0.5) == (quality[f"a{i}"] > 0.5) for i in range(100)]) > 0.97
+    assert np.mean([(x["label"] == "yes") == truth[x["question_id"]] for x in items.collect()]) > 0.93
+
+
 def test_consensus_counts_the_latest_row(spark):
     rows = [("q", "no", "p", "yes", "m", None, "2026-02-01"), ("q", "yes", "p", "yes", "m", None, "2026-01-01")]
     df = spark.createDataFrame(rows, "question_id string, mine string, mine_by string, theirs string, model string, why string, dated string")
