@@ -1,19 +1,18 @@
-"""Evaluation texts inside training texts: CGK embedding, bit-sampling LSH, exact verification.
+"""Evaluation texts inside training texts: CGK embedding, bit-sampling LSH, exact edit verification.
 
 The CGK walk embeds a sequence of words so that edit distance becomes Hamming distance: a pointer walks over the
 window; at step t it writes the word under it and moves on by a random bit of (t, word). Two windows a
 few edits apart fall into step again and agree in most places. A repetition samples SAMPLED places of the walk and hashes the words
-there; windows that share a hash in any of the REPETITIONS are candidates. For exact runs (edits = 0) one repetition over all places
-reaches every case.
+there; windows that share a hash in any of the REPETITIONS are candidates.
 
-Windows have WINDOW words. Items are cut at every STRIDE-th word, documents at every word, and
-WINDOW + STRIDE - 1 <= RUN, so each run of RUN words shared by both holds a whole window of the item: equal windows
-have equal walks, so such runs are found for certain, near ones with the recall of the sampling. The walks of all windows
-of a partition advance together, one vector operation a step.
+Windows have WINDOW words. Items are cut at every STRIDE-th word, documents at every word. Equal windows have equal walks whatever is sampled, so
+a passage with WINDOW + STRIDE - 1 = 10 unchanged words in a row is a candidate for certain: every run of RUN = 12 equal words is, and every
+passage of PASSAGE = 20 words with one word changed, put in or left out, as one of its sides has 10 words or more. Passages with more changes
+are found with the recall of the sampling. The walks of all windows of a batch advance together, one vector operation a step.
 
-Document windows first pass a bit filter of the items' hashes, whose size is bounded by FILTER_BITS; if the items outgrow it more
-windows pass, but none is lost. Only windows that pass are shuffled, each with the words around it, and
-verified there against the item's words: longest exact run and edit distance.
+Document windows first pass a bit filter of the items' hashes (common.hash_filter). Only windows that pass are shuffled, each with the words around it.
+Every candidate is verified there, a batch at a time: the run of equal words through the window, and the least edits of a passage of the item
+that holds the window, from alignments of the words before and behind it.
 """
 
 from __future__ import annotations
@@ -21,23 +20,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import filter_bits, hash_filter, passes, written
+from .words import flat_words
 
-RUN, WINDOW, STRIDE, REPETITIONS, SAMPLED = 12, 8, 5, 3, 14
-#: Most bits of the broadcast filter (32 MB).
-FILTER_BITS = 1 << 28
+RUN, PASSAGE, WINDOW, STRIDE, REPETITIONS, SAMPLED = 12, 20, 9, 2, 2, 20
 _STEPS = 3 * WINDOW
-_AROUND = RUN - 1
-
-
-def word_hashes(text: Column) -> Column:
-    """64-bit hashes of the text's words in order."""
-    return F.transform(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(w))
+#: Words on either side of a window that are sent along.
+AROUND = PASSAGE - WINDOW + 2
 
 
 def _mix(x: np.ndarray, seed: int) -> np.ndarray:
@@ -48,23 +41,24 @@ def _mix(x: np.ndarray, seed: int) -> np.ndarray:
         return x ^ (x >> np.uint64(32))
 
 
-def walks(words: np.ndarray, starts: np.ndarray, repetition: int, places: int) -> np.ndarray:
+def walks(words: np.ndarray, starts: np.ndarray, repetition: int, places: int = SAMPLED) -> np.ndarray:
     """The LSH hash of the window of WINDOW words at each start, over `places` sampled places of its walk."""
-    sampled = np.sort(np.random.default_rng(1009 + repetition).permutation(_STEPS)[:places])
-    bits = _mix(words, repetition)
-    content = _mix(words, 77)
-    at, end = starts.copy(), starts + WINDOW
-    out = np.full(len(starts), 1469598103934665603 + repetition, np.uint64)
-    last = len(words) - 1
+    sampled = set(np.random.default_rng(1009 + repetition).permutation(_STEPS)[:places].tolist())
+    bits, content = _mix(words, repetition), _mix(words, 77)
+    out = np.empty(len(starts), np.uint64)
     with np.errstate(over="ignore"):
-        for t in range(int(sampled[-1]) + 1):
-            here = np.minimum(at, last)
-            inside = at < end
-            if t in sampled:
-                out = (out ^ np.where(inside, content[here], np.uint64(t))) * np.uint64(1099511628211)
-            at += ((bits[here] >> np.uint64(t)) & np.uint64(1)).astype(np.int64) * inside
-    out ^= out >> np.uint64(31)
-    return out.view(np.int64)
+        for s in range(0, len(starts), 1 << 15):  # few windows at a time stay in the processor's cache
+            at = starts[s : s + (1 << 15)].copy()
+            last = at + (WINDOW - 1)
+            h = np.full(len(at), 1469598103934665603 + repetition, np.uint64)
+            for t in range(max(sampled) + 1):
+                inside = at <= last
+                here = np.minimum(at, last)
+                if t in sampled:
+                    h = (h ^ np.where(inside, content[here], np.uint64(t))) * np.uint64(1099511628211)
+                at += ((bits[here] >> np.uint64(t)) & np.uint64(1)).astype(np.int64)
+            out[s : s + (1 << 15)] = h ^ (h >> np.uint64(31))
+    return out
 
 
 def _window_starts(offsets: np.ndarray, stride: int) -> tuple[np.ndarray, np.ndarray]:
@@ -79,146 +73,157 @@ def _window_starts(offsets: np.ndarray, stride: int) -> tuple[np.ndarray, np.nda
     return offsets[row] + pos, row
 
 
-def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    offsets = column.offsets.to_numpy().astype(np.int64)
-    words = column.values.to_numpy(zero_copy_only=False).view(np.uint64)[offsets[0] : offsets[-1]]
-    return words, offsets - offsets[0]
+def _fold(words: np.ndarray) -> np.ndarray:
+    return (words >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
 
+def _stretches(words: np.ndarray, offsets: np.ndarray, starts: np.ndarray, row: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """The words around each window as a list, and how many of them come before it."""
+    lo, hi = np.maximum(starts - AROUND, offsets[row]), np.minimum(starts + WINDOW + AROUND, offsets[row + 1])
+    ends = np.concatenate([[0], np.cumsum(hi - lo)])
+    at = np.arange(ends[-1]) - np.repeat(ends[:-1] - lo, hi - lo)
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(_fold(words)[at])), pa.array((starts - lo).astype(np.int8))
 
-def item_windows(items: DataFrame, repetitions: int = REPETITIONS, places: int = SAMPLED) -> DataFrame:
-    """(hash, item, ipos) of every window of items (item, words)."""
+
+def item_windows(items: DataFrame) -> DataFrame:
+    """(hash, item, ipos, ibefore, iwords) of every repetition of every window of items (item, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            words, offsets = _flat(b.column("words"))
+            words, offsets = flat_words(b.column("text").to_pylist())
             starts, row = _window_starts(offsets, STRIDE)
-            ids, pos = b.column("item").to_numpy(zero_copy_only=False)[row], starts - offsets[row]
-            for r in range(repetitions):
-                if len(starts):
-                    yield pa.RecordBatch.from_arrays([pa.array(walks(words, starts, r, places)), pa.array(ids), pa.array(pos)], ["hash", "item", "ipos"])
+            if not len(starts):
+                continue
+            around, before = _stretches(words, offsets, starts, row)
+            ids = b.column("item").take(pa.array(row))
+            for r in range(REPETITIONS):
+                yield pa.RecordBatch.from_arrays([pa.array(walks(words, starts, r).view(np.int64)), ids, pa.array((starts - offsets[row]).astype(np.int32)), before, around], ["hash", "item", "ipos", "ibefore", "iwords"])
 
-    return items.select("item", "words").mapInArrow(run, "hash long, item long, ipos long")
+    return items.select("item", "text").mapInArrow(run, "hash long, item long, ipos int, ibefore byte, iwords array<int>")
 
 
-def _slots(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    u = h.view(np.uint64)
-    return (u & np.uint64(bits - 1)).astype(np.int64), ((u >> np.uint64(32)) & np.uint64(bits - 1)).astype(np.int64) ^ np.int64(bits >> 1)
+def _halves(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return (h & np.uint64(0xFFFFFFFF)).astype(np.uint32), (h >> np.uint64(32)).astype(np.uint32) ^ np.uint32(0x5BD1E995)
 
 
-def bit_filter(hashes: DataFrame, bits: int) -> np.ndarray:
-    """Two bits per hash in `bits` places; united in the cluster, so at most bits / 64 rows reach the driver."""
+def _filter(windows: DataFrame, count: int) -> np.ndarray:
+    """Bit filter of both halves of the windows' hashes."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+    def halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            slots = np.concatenate(_slots(b.column("hash").to_numpy(), bits))
-            word, inverse = np.unique(slots >> 6, return_inverse=True)
-            value = np.zeros(len(word), np.uint64)
-            np.bitwise_or.at(value, inverse, np.uint64(1) << (slots & 63).astype(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(value.view(np.int64))], ["w", "v"])
-
-    rows = hashes.select("hash").mapInArrow(run, "w long, v long").groupBy("w").agg(F.bit_or("v").alias("v")).toPandas()
-    out = np.zeros(bits >> 6, np.uint64)
-    out[rows["w"].to_numpy(np.int64)] = rows["v"].to_numpy(np.int64).view(np.uint64)
-    return out
+            yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(_halves(b.column("hash").to_numpy().view(np.uint64))).tobytes()], pa.binary())], ["h"])
 
+    return hash_filter(windows.select("hash").mapInArrow(halves, "h binary"), filter_bits(2 * count, 32))[0]
 
-def document_windows(docs: DataFrame, filter_: np.ndarray, bits: int, repetitions: int = REPETITIONS, places: int = SAMPLED) -> DataFrame:
-    """(hash, doc_id, pos, before, around) of the windows of docs (doc_id, words) that pass the filter.
 
-    around: the words from `before` words ahead of the window to RUN - 1 words after it.
-    """
+def document_windows(docs: DataFrame, filter_: np.ndarray) -> DataFrame:
+    """(hash, doc_id, pos, before, words) of the windows of docs (doc_id, text) that pass the filter."""
     shared = docs.sparkSession.sparkContext.broadcast(filter_)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
         for b in batches:
-            words, offsets = _flat(b.column("words"))
+            words, offsets = flat_words(b.column("text").to_pylist())
             starts, row = _window_starts(offsets, 1)
-            ids = b.column("doc_id").to_numpy(zero_copy_only=False)
-            for r in range(repetitions):
-                if not len(starts):
-                    break
-                h = walks(words, starts, r, places)
-                x, y = _slots(h, bits)
-                hit = np.flatnonzero((table[x >> 6] >> (x & 63).astype(np.uint64)) & (table[y >> 6] >> (y & 63).astype(np.uint64)) & np.uint64(1))
-                if not len(hit):
-                    continue
-                s, d = starts[hit], row[hit]
-                lo, hi = np.maximum(s - _AROUND, offsets[d]), np.minimum(s + WINDOW + _AROUND, offsets[d + 1])
-                n = hi - lo
-                ends = np.concatenate([[0], np.cumsum(n)])
-                at = np.arange(ends[-1]) - np.repeat(ends[:-1] - lo, n)
-                around = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(words[at].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(h[hit]), pa.array(ids[d]), pa.array(s - offsets[d]), pa.array(s - lo), around], ["hash", "doc_id", "pos", "before", "around"])
-
-    return docs.select("doc_id", "words").mapInArrow(run, "hash long, doc_id long, pos long, before long, around array<long>")
-
-
-def run_length(around: np.ndarray, before: int, words: np.ndarray, ipos: int) -> int:
-    """Longest run of equal words on the diagonal of the two windows."""
-    left = min(before, ipos)
-    a, b = around[before - left :], words[ipos - left :]
-    n = min(len(a), len(b))
-    same = np.concatenate([[False], a[:n] == b[:n], [False]])
-    breaks = np.flatnonzero(~same)
-    return int(np.diff(breaks).max()) - 1
-
-
-def segment_edits(around: np.ndarray, words: np.ndarray, ipos: int) -> int:
-    """Least number of word edits that turn the item's RUN words about ipos into some stretch of the document."""
-    start = max(0, min(ipos - (RUN - WINDOW) // 2, len(words) - RUN))
-    seg = words[start : start + RUN]
-    row = np.zeros(len(around) + 1, np.int64)
-    steps = np.arange(len(around) + 1)
-    for i, w in enumerate(seg):
+            for r in range(REPETITIONS if len(starts) else 0):
+                h = walks(words, starts, r)
+                low, high = _halves(h)
+                hit = np.flatnonzero(passes(shared.value, low))
+                hit = hit[passes(shared.value, high[hit])]
+                if len(hit):
+                    s, d = starts[hit], row[hit]
+                    around, before = _stretches(words, offsets, s, d)
+                    yield pa.RecordBatch.from_arrays([pa.array(h[hit].view(np.int64)), b.column("doc_id").take(pa.array(d)), pa.array((s - offsets[d]).astype(np.int32)), before, around], ["hash", "doc_id", "pos", "before", "words"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, "hash long, doc_id long, pos int, before byte, words array<int>")
+
+
+def _laid(lists: pa.Array, before: np.ndarray, none: int) -> np.ndarray:
+    """Words (rows, AROUND + WINDOW + AROUND) with the window in the middle; `none` where there are no words."""
+    offsets = lists.offsets.to_numpy().astype(np.int64)
+    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    size = np.diff(offsets)
+    out = np.full((len(size), 2 * AROUND + WINDOW), none, np.int64)
+    row = np.repeat(np.arange(len(size)), size)
+    at = np.arange(len(flat)) - np.repeat(offsets[:-1] - offsets[0], size)
+    out[row, AROUND - before[row] + at] = flat
+    return out
+
+
+def runs_through(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First column and length of the longest run of equal words of two laid-out texts."""
+    best, start, now = np.zeros(len(a), np.int64), np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
+    for c, same in enumerate((a == b).T):
+        now = (now + 1) * same
+        more = now > best
+        best[more], start[more] = now[more], c - now[more] + 1
+    return start, best
+
+
+def _grown(a: np.ndarray, b: np.ndarray, n: int, none: int) -> np.ndarray:
+    """(rows, n + 1): least edits of the first i words of the item (a) against any first words of the document (b); large where the item ends before."""
+    steps = np.arange(b.shape[1] + 1)
+    row = np.broadcast_to(steps, (len(a), len(steps))).astype(np.int16)
+    out = np.full((len(a), n + 1), 99, np.int16)
+    out[:, 0] = 0
+    steps = steps.astype(np.int16)
+    for i in range(n):
         new = np.empty_like(row)
-        new[0] = i + 1
-        new[1:] = np.minimum(row[1:] + 1, row[:-1] + (around != w))
-        row = np.minimum.accumulate(new - steps) + steps
-    return int(row.min())
+        new[:, 0] = i + 1
+        new[:, 1:] = np.minimum(row[:, 1:] + 1, row[:, :-1] + (a[:, i, None] != b))
+        row = np.minimum.accumulate(new - steps, axis=1) + steps
+        out[:, i + 1] = np.where(a[:, i] == none, 99, row.min(1))
+    return out
+
+
+def passage_edits(item: np.ndarray, doc: np.ndarray, none: int) -> np.ndarray:
+    """Least edits of a passage of PASSAGE words of the item that holds the window, against the document; 99 where the item has no such passage."""
+    inside = (item[:, AROUND : AROUND + WINDOW] != doc[:, AROUND : AROUND + WINDOW]).sum(1)
+    n = PASSAGE - WINDOW
+    left = _grown(item[:, AROUND - 1 :: -1], doc[:, AROUND - 1 :: -1], n, none)
+    right = _grown(item[:, AROUND + WINDOW :], doc[:, AROUND + WINDOW :], n, none)
+    return inside + (left + right[:, ::-1]).min(1)
 
 
 def leaks(documents: DataFrame, questions: DataFrame, parts: tuple[str, ...] = ("question", "gold_answer"), edits: int = 1) -> DataFrame:
     """doc_id, question_id, part, run, edits: items of which a passage stands in a document.
 
-    run: longest run of equal words seen (up to the RUN - 1 words around a window); edits: least word edits of a RUN-word stretch.
-    Rows have run >= RUN or edits <= `edits`. With edits above 0, texts from one template are near each other window by window, and the
-    candidates grow with documents times items; edits = 0 has no such growth. Parts of fewer than WINDOW words are not searched. Null or blank text leaks nothing;
-    repeated question rows count once; documents that repeat a text are each reported. Empty input, no rows.
+    run: the longest run of equal words; edits: least word edits of a passage of PASSAGE words, 0 where a run has as many, null where no such passage
+    is within `edits`. Rows have run >= RUN or edits <= `edits`. Parts of fewer than WINDOW words hold no such passage. Null or blank text leaks nothing;
+    repeated question rows count once; equal texts of several questions are searched once and reported for each; documents that
+    repeat a text are each reported. Words are compared by 32 bits of their hashes in the check, after 64 bits of the walk. Empty input, no rows.
     """
-    items = (
-        questions.where(F.col("id").isNotNull())
-        .select(F.col("id").alias("question_id"), F.explode(F.array(*[F.struct(F.lit(p).alias("part"), F.col(p).alias("t")) for p in parts])).alias("p"))
-        .select("question_id", "p.part", "p.t")
-        .where(F.col("t").isNotNull())
-        .distinct()
-        .select("question_id", "part", word_hashes(F.col("t")).alias("words"))
-        .where(F.size("words") >= WINDOW)
-        .withColumn("item", F.xxhash64("question_id", "part", "words"))
-    )
-    how = (REPETITIONS, SAMPLED) if edits else (1, _STEPS)
-    windows = item_windows(items, *how)
-    count = windows.count()
-    bits = 1 << 20
-    while bits < 32 * count and bits < FILTER_BITS:
-        bits *= 2
-    docs = documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", word_hashes(F.col("text")).alias("words")).where(F.size("words") >= WINDOW)
-    passed = document_windows(docs, bit_filter(windows, bits), bits, *how)
-    pairs = passed.join(windows, "hash").join(items, "item").select("doc_id", "question_id", "part", "before", "around", "ipos", "words")
+    spread = F.explode(F.array(*[F.struct(F.lit(p).alias("part"), F.col(p).alias("text")) for p in parts])).alias("p")
+    asked = questions.where(F.col("id").isNotNull()).select(F.col("id").alias("question_id"), spread).select("question_id", "p.part", "p.text").where(F.col("text").isNotNull())
+    asked = asked.withColumn("item", F.xxhash64("text"))
+    items = asked.groupBy("item").agg(F.first("text").alias("text"))
+    windows = written(item_windows(items))
+    docs = documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")
+    passed = document_windows(docs, _filter(windows, windows.count()))
+    pairs = passed.join(windows, "hash").select("doc_id", "item", "pos", "ipos", "before", "words", "ibefore", "iwords")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            around, ao = _flat(b.column("around"))
-            words, wo = _flat(b.column("words"))
-            before, ipos = b.column("before").to_numpy(), b.column("ipos").to_numpy()
-            runs, dist = np.zeros(len(b), np.int32), np.zeros(len(b), np.int32)
-            for i in range(len(b)):
-                a, w = around[ao[i] : ao[i + 1]], words[wo[i] : wo[i + 1]]
-                runs[i] = run_length(a, int(before[i]), w, int(ipos[i]))
-                dist[i] = 0 if runs[i] >= RUN else segment_edits(a, w, int(ipos[i]))
-            ok = pa.array((runs >= RUN) | (dist <= edits))
-            out = pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("question_id"), b.column("part"), pa.array(runs), pa.array(dist)], ["doc_id", "question_id", "part", "run", "edits"])
-            yield out.filter(ok)
-
-    checked = pairs.mapInArrow(verify, "doc_id long, question_id string, part string, run int, edits int")
-    return checked.groupBy("doc_id", "question_id", "part").agg(F.max("run").alias("run"), F.min("edits").alias("edits"))
+            if not len(b):
+                continue
+            doc = _laid(b.column("words"), b.column("before").to_numpy().astype(np.int64), -(1 << 40))
+            item = _laid(b.column("iwords"), b.column("ibefore").to_numpy().astype(np.int64), -(1 << 41))
+            start, run = runs_through(item, doc)
+            first = b.column("ipos").to_numpy().astype(np.int64) - AROUND + start
+            dist = np.full(len(run), 99)
+            near = np.flatnonzero(run >= WINDOW + STRIDE - 1) if edits < 2 else np.arange(len(run))
+            dist[near] = passage_edits(item[near], doc[near], -(1 << 41))
+            ok = np.flatnonzero((run >= RUN) | (dist <= edits))
+            take = pa.array(ok)
+            shift = b.column("pos").to_numpy().astype(np.int64) - b.column("ipos").to_numpy()
+            found = [pa.array(x[ok].astype(np.int32)) for x in (shift, first, first + run)]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").take(take), b.column("item").take(take), *found, pa.array(dist[ok].astype(np.int32))], ["doc_id", "item", "shift", "s", "e", "edits"])
+
+    checked = pairs.mapInArrow(verify, "doc_id long, item long, shift int, s int, e int, edits int")
+    # Pieces of one run, as far as each window saw, are put together: at most one piece for each of the item's windows.
+    lines = checked.groupBy("doc_id", "item", "shift").agg(F.array_sort(F.collect_set(F.struct("s", "e"))).alias("pieces"), F.min("edits").alias("edits"))
+    step = lambda a, p: F.when(p["s"] <= a["e"], F.struct(a["s"].alias("s"), F.greatest(a["e"], p["e"]).alias("e"), F.greatest(a["n"], F.greatest(a["e"], p["e"]) - a["s"]).alias("n"))).otherwise(F.struct(p["s"].alias("s"), p["e"].alias("e"), F.greatest(a["n"], p["e"] - p["s"]).alias("n")))
+    nothing = F.struct(F.lit(-(1 << 30)).alias("s"), F.lit(-(1 << 30)).alias("e"), F.lit(0).alias("n"))
+    longest = lines.select("doc_id", "item", F.aggregate("pieces", nothing, step)["n"].alias("run"), "edits")
+    found = longest.groupBy("doc_id", "item").agg(F.max("run").alias("run"), F.min("edits").alias("edits"))
+    told = F.when(F.col("run") >= PASSAGE, 0).when(F.col("edits") <= edits, F.col("edits"))
+    return found.join(asked.select("question_id", "part", "item").distinct(), "item").groupBy("doc_id", "question_id", "part").agg(F.max("run").alias("run"), F.min(told).alias("edits"))

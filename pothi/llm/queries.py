@@ -114,12 +114,12 @@ def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "questions"), edits=0)
+    found = leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "questions"))
     return found.where(F.col("run") >= RUN).select("doc_id", "question_id").distinct()
 
 
 def p9_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "questions"), edits=0)
+    return leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "questions"))
 
 
 def p10_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
