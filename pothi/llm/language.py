@@ -12,28 +12,26 @@ for the cosine but not for the ranking, is estimated by the root of its trigram
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import regex
-import xxhash
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import current_manifest, cut, language_name, small
-from .repeated_lines import LEAST, SHARE, frequent_keys, with_scheme
+from .common import current_manifest, language_name, process_state
 
 LANGUAGES = ("en", "hi", "hinglish", "mr")
 DIM = 2048
 #: Labelled rows from which prototypes are bundled, at most; the classifier's bounded sample.
 SAMPLE_ROWS = 5_000
-#: Words a passage needs to be told.
-LEAST_WORDS = 4
-SKIP_LINES = 100_000
-#: Longer lines are paragraphs, not repeated lines.
-LINE_LENGTH = 400
+#: Words and trigrams a sentence needs to be told: fewer do not tell a language from another.
+LEAST_WORDS, LEAST_TRIGRAMS = 4, 12
+#: Characters whose sentences are told together.
+CHARACTERS = 1 << 20
 _OTHER = 32
 _LETTERS = 1 + 26 + 128 + _OTHER  # boundary, Latin, the Devanagari block, 32 classes for all other letters
 
@@ -41,7 +39,8 @@ _LETTERS = 1 + 26 + 128 + _OTHER  # boundary, Latin, the Devanagari block, 32 cl
 _ABBREVIATIONS = frozenset(("Rs", "RS", "rs", "No", "Sec", "Dr", "रु", "सं", "क्र"))
 _CLOSING = "\"'”’)]"
 _ENDS = re.compile("[.?!।॥]+[" + re.escape(_CLOSING) + r"]*(?=\s|\Z)|\n[^\S\n]*\n")
-_NOT_KEY = regex.compile(r"[^\p{L}\p{M}]+")
+_SPACE = np.array([chr(cp).isspace() for cp in range(65536)])
+_ALPHA = np.array([chr(cp).isalpha() for cp in range(65536)])
 
 
 def _letter_ids() -> np.ndarray:
@@ -134,24 +133,11 @@ def is_whole(piece: str) -> bool:
     return len(word) < len(bare) and bool(word) and (word[-1].isalpha() or "ऀ" <= word[-1] <= "ॣ")
 
 
-def line_hash(line: str) -> int:
-    """The hash of the line's letters and marks in lower case, as repeated_lines has it."""
-    return _signed(xxhash.xxh64_intdigest(_NOT_KEY.sub("", line).lower().encode(), 42))
-
-
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
-
-
-def without_lines(text: str, skip: frozenset[int]) -> str:
-    """The text with its table rows and repeated lines blanked (same length)."""
-    if not skip and "|" not in text:
+def without_tables(text: str) -> str:
+    """The text with its table rows blanked (same length)."""
+    if "|" not in text:
         return text
-    lines = text.split("\n")
-    for i, line in enumerate(lines):
-        if line and (line.count("|") >= 2 and line.lstrip().startswith("|") or skip and len(line.strip()) <= LINE_LENGTH and line_hash(line) in skip):
-            lines[i] = " " * len(line)
-    return "\n".join(lines)
+    return "\n".join(" " * len(x) if x.count("|") >= 2 and x.lstrip().startswith("|") else x for x in text.split("\n"))
 
 
 def _gather(rows: list[tuple[int, str]], profiles: Profiles, agree: bool) -> list[dict[int, float]]:
@@ -174,7 +160,7 @@ def _gather(rows: list[tuple[int, str]], profiles: Profiles, agree: bool) -> lis
     return counts
 
 
-def train(labelled: DataFrame, skip: frozenset[int] = frozenset(), rows: int = SAMPLE_ROWS) -> np.ndarray:
+def train(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> np.ndarray:
     """Prototypes (languages x DIM) from columns `label` and `text`, of which at most `rows` rows are used, each with its whole text.
 
     Labels may be wrong for some rows: after a first bundling, twice only those sentences are bundled
@@ -184,7 +170,7 @@ def train(labelled: DataFrame, skip: frozenset[int] = frozenset(), rows: int = S
     total = labelled.count()
     share = min(1.0, 1.2 * rows / max(total, 1))
     pdf = (labelled if share >= 1 else labelled.sample(share, 7)).limit(rows).toPandas()
-    texts = [(LANGUAGES.index(k), without_lines(x, skip)) for k, x in zip(pdf["label"], pdf["text"])]
+    texts = [(LANGUAGES.index(k), without_tables(x)) for k, x in zip(pdf["label"], pdf["text"])]
     profiles = Profiles()
     for step in range(3):
         counts = _gather(texts, profiles, agree=step > 0)
@@ -201,112 +187,102 @@ def train(labelled: DataFrame, skip: frozenset[int] = frozenset(), rows: int = S
     return profiles.prototypes
 
 
-_CACHE: dict = {}
-
-
 def _profiles(prototypes: np.ndarray) -> Profiles:
     """One per worker process and set of prototypes."""
-    key = prototypes.tobytes()[:64]
-    if key not in _CACHE:
-        _CACHE.clear()
-        _CACHE[key] = Profiles(prototypes)
-    return _CACHE[key]
-
-
-def _told(text: str, profiles: Profiles, skip: frozenset[int]) -> Iterator[tuple[int, int, int, float, bool, int]]:
-    """(start, end, language, confidence, whole sentence, trigrams) of each stretch with enough words.
-
-    The confidence is a softmax over the cosines, sharpened with the passage's length.
-    """
-    clean = without_lines(text, skip)
-    at, sums = profiles.running(clean)
-    spans = sentence_spans(clean)
-    if not spans or not len(at):
-        return
-    edges = np.searchsorted(at, np.array(spans))
-    n = edges[:, 1] - edges[:, 0]
-    d = sums[edges[:, 1]] - sums[edges[:, 0]]
-    best = d.argmax(1)
-    cos = d / np.sqrt(DIM * np.maximum(n, 1))[:, None]
-    x = np.exp(np.maximum((cos - cos.max(1, keepdims=True)) * (10 + 0.2 * np.minimum(n, 200))[:, None], -50))
-    conf = (1 / x.sum(1)).tolist()
-    for (s, e), k, c, m in zip(spans, best.tolist(), conf, n.tolist()):
-        if m < 12:
-            continue
-        piece = clean[s:e].strip()
-        words = 0
-        for w in piece.split():
-            words += len(w) > 1 and w[0].isalpha()
-        if words >= LEAST_WORDS:
-            yield s, e, k, c, is_whole(piece), m
-
-
-def passages(df: DataFrame, prototypes: np.ndarray, skip: frozenset[int] = frozenset(), key: str = "chunk_id", text: str = "text") -> DataFrame:
+    state, key = process_state("languages"), hashlib.sha256(prototypes.tobytes()).digest()
+    if key not in state:
+        state.clear()
+        state[key] = Profiles(prototypes)
+    return state[key]
+
+
+class Told:
+    """The sentences of some texts that could be told, as arrays: row, start and end in the text, language, confidence, whole (ends as a sentence), trigrams."""
+
+    def __init__(self, texts: list[str], profiles: Profiles):
+        clean = list(map(without_tables, texts))
+        joined = "\n\n".join(clean)
+        at, sums = profiles.running(joined)
+        spans = np.array(sentence_spans(joined), np.int64).reshape(-1, 2)
+        bounds = np.cumsum(np.fromiter(map(len, clean), np.int64, len(clean)) + 2)
+        row = np.searchsorted(bounds, spans[:, 1] - 1, "right")
+        cps = np.minimum(np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32), 65535)
+        space = np.concatenate([[True], _SPACE[cps], [True]])
+        words = np.concatenate([[0], np.cumsum(_ALPHA[cps] & space[:-2] & ~space[2:])])
+        edges = np.searchsorted(at, spans)
+        n = edges[:, 1] - edges[:, 0]
+        told = np.flatnonzero((n >= LEAST_TRIGRAMS) & (words[spans[:, 1]] - words[spans[:, 0]] >= LEAST_WORDS))
+        spans, n, d = spans[told], n[told], sums[edges[told, 1]] - sums[edges[told, 0]]
+        self.row, self.n, self.lang = row[told], n, d.argmax(1) if len(d) else np.zeros(0, np.int64)
+        # The confidence is a softmax over the cosines, sharpened with the passage's length.
+        cos = d / np.sqrt(DIM * np.maximum(n, 1))[:, None]
+        x = np.exp(np.maximum((cos - cos.max(1, keepdims=True, initial=-1)) * (10 + 0.2 * np.minimum(n, 200))[:, None], -50))
+        self.confidence = x.max(1, initial=0) / np.maximum(x.sum(1), 1e-30)
+        self.whole = np.fromiter((is_whole(joined[max(s, e - 64) : e].rstrip()) for s, e in spans.tolist()), np.int64, len(spans))
+        first = (bounds - np.fromiter(map(len, clean), np.int64, len(clean)) - 2)[self.row] if len(self.row) else np.zeros(0, np.int64)
+        self.start, self.end = np.maximum(spans[:, 0] - first, 0), spans[:, 1] - first
+
+
+def told_of(texts: list[str], profiles: Profiles) -> Iterator[tuple[int, Told]]:
+    """(first row, sentences) of stretches of the texts of some CHARACTERS; a text is never cut."""
+    part, size, first = [], 0, 0
+    for i, text in enumerate(texts):
+        if part and size + len(text) > CHARACTERS:
+            yield first, Told(part, profiles)
+            part, size, first = [], 0, i
+        part.append(text)
+        size += len(text)
+    if part:
+        yield first, Told(part, profiles)
+
+
+def passages(df: DataFrame, prototypes: np.ndarray, key: str = "chunk_id", text: str = "text") -> DataFrame:
     """One row per run of neighbouring sentences in one language: key, start, end, lang, confidence, sentences (whole ones).
 
-    Null, blank or wordless text gives no row; stretches of fewer than LEAST_WORDS words are not told.
+    Null, blank or wordless text gives no row; stretches of fewer than LEAST_WORDS words or LEAST_TRIGRAMS trigrams are not told.
     """
     kind = dict(df.dtypes)[key]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profiles = _profiles(prototypes)
-        for pdf in batches:
-            out = []
-            for k, t in zip(pdf[key], pdf[text]):
-                last = None
-                for s, e, lang, conf, whole, n in _told(t, profiles, skip):
-                    if last and last[2] == lang:
-                        last[1], last[3], last[4], last[5] = e, last[3] + conf * n, last[4] + whole, last[5] + n
-                    else:
-                        if last:
-                            out.append((k, *last))
-                        last = [s, e, lang, conf * n, int(whole), n]
-                if last:
-                    out.append((k, *last))
-            yield pd.DataFrame([(k, s, e, LANGUAGES[g], c / n, w) for k, s, e, g, c, w, n in out], columns=[key, "start", "end", "lang", "confidence", "sentences"])
-
-    return df.where(F.col(text).isNotNull()).select(key, text).mapInPandas(run, f"`{key}` {kind}, start int, end int, lang string, confidence double, sentences int")
-
-
-def scores(df: DataFrame, prototypes: np.ndarray, skip: frozenset[int] = frozenset(), keys: tuple[str, ...] = ("chunk_id", "document_id"), text: str = "text") -> DataFrame:
+        for b in batches:
+            for first, t in told_of(b.column("text").to_pylist(), profiles):
+                if not len(t.row):
+                    continue
+                new = np.flatnonzero(np.concatenate([[True], (t.row[1:] != t.row[:-1]) | (t.lang[1:] != t.lang[:-1])]))
+                last = np.concatenate([new[1:], [len(t.row)]]) - 1
+                n = np.add.reduceat(t.n, new)
+                conf = np.add.reduceat(t.confidence * t.n, new) / n
+                keys = b.column("k").take(pa.array(t.row[new] + first))
+                yield pa.RecordBatch.from_arrays([keys, pa.array(t.start[new].astype(np.int32)), pa.array(t.end[last].astype(np.int32)), pa.array([LANGUAGES[g] for g in t.lang[new]], pa.string()), pa.array(conf), pa.array(np.add.reduceat(t.whole, new).astype(np.int32))], [key, "start", "end", "lang", "confidence", "sentences"])
+
+    return df.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("text")).mapInArrow(run, f"`{key}` {kind}, start int, end int, lang string, confidence double, sentences int")
+
+
+def scores(df: DataFrame, prototypes: np.ndarray, keys: tuple[str, ...] = ("chunk_id", "document_id"), text: str = "text") -> DataFrame:
     """One row per row of df and language told in it: keys, lang, sentences (whole ones), weight (trigrams), confidence."""
     kinds = dict(df.dtypes)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profiles = _profiles(prototypes)
-        for pdf in batches:
-            out = []
-            for row in zip(*[pdf[k] for k in keys], pdf[text]):
-                found: dict[int, list] = {}
-                for _, _, lang, conf, whole, n in _told(row[-1], profiles, skip):
-                    x = found.setdefault(lang, [0, 0, 0.0])
-                    x[0] += whole
-                    x[1] += n
-                    x[2] += conf * n
-                out += [(*row[:-1], LANGUAGES[g], w, n, c / n) for g, (w, n, c) in found.items()]
-            yield pd.DataFrame(out, columns=[*keys, "lang", "sentences", "weight", "confidence"])
+        for b in batches:
+            for first, t in told_of(b.column(len(keys)).to_pylist(), profiles):
+                if not len(t.row):
+                    continue
+                cell, at = np.unique(t.row * len(LANGUAGES) + t.lang, return_inverse=True)
+                n = np.bincount(at, t.n)
+                take = pa.array(cell // len(LANGUAGES) + first)
+                langs = pa.array([LANGUAGES[g] for g in cell % len(LANGUAGES)], pa.string())
+                yield pa.RecordBatch.from_arrays([*[b.column(i).take(take) for i in range(len(keys))], langs, pa.array(np.bincount(at, t.whole).astype(np.int32)), pa.array(n.astype(np.int64)), pa.array(np.bincount(at, t.confidence * t.n) / n)], [*keys, "lang", "sentences", "weight", "confidence"])
 
     schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", lang string, sentences int, weight long, confidence double"
-    return df.where(F.col(text).isNotNull()).select(*keys, text).mapInPandas(run, schema)
-
-
-def furniture(chunks: DataFrame, manifest: DataFrame | None) -> frozenset[int]:
-    """Hashes of the lines that stand so often in a scheme that they are no sentences of the text.
-
-    At most SKIP_LINES of them are sent to the workers; a corpus with more is cleaned by remove_lines first.
-    """
-    base = with_scheme(chunks.select("document_id", "scheme", "text"), manifest).where(F.col("_scheme").isNotNull() & F.col("document_id").isNotNull() & F.col("text").isNotNull())
-    totals = small(cut(base.select("_scheme", "document_id").distinct().groupBy("_scheme").agg(F.count("*").alias("_docs"))))
-    rows = frequent_keys(base, totals, SHARE, LEAST, "text").select("_hash").distinct().limit(SKIP_LINES + 1).collect()
-    if len(rows) > SKIP_LINES:
-        raise ValueError("too many repeated lines to send to the workers: apply remove_lines first")
-    return frozenset(r["_hash"] for r in rows)
+    return df.where(F.col(text).isNotNull()).select(*[F.col(k) for k in keys], F.col(text)).mapInArrow(run, schema)
 
 
 def text_language(text: str, profiles: Profiles) -> str | None:
     """The language of a whole text; null where it has fewer than a dozen trigrams."""
     _, sums = profiles.running(text)
-    return LANGUAGES[int(sums[-1].argmax())] if len(sums) > 12 else None
+    return LANGUAGES[int(sums[-1].argmax())] if len(sums) > LEAST_TRIGRAMS else None
 
 
 def document_prototypes(documents: DataFrame, rows: int = 1500) -> np.ndarray:
@@ -314,12 +290,12 @@ def document_prototypes(documents: DataFrame, rows: int = 1500) -> np.ndarray:
     return train(documents.select(language_name(F.col("lang")).alias("label"), "text"), rows=rows)
 
 
-def chunk_prototypes(chunks: DataFrame, manifest: DataFrame, skip: frozenset[int] = frozenset()) -> np.ndarray:
+def chunk_prototypes(chunks: DataFrame, manifest: DataFrame) -> np.ndarray:
     """Prototypes from a bounded sample of chunks under their manifest rows' labels."""
     held = current_manifest(manifest.select("id", "line_no", "language")).select(F.col("id").alias("_id"), language_name(F.col("language")).alias("label")).where(F.col("label").isNotNull())
     total = chunks.count()
     some = chunks.select("document_id", "text").sample(min(1.0, 1.6 * SAMPLE_ROWS / max(total, 1)), 11).limit(2 * SAMPLE_ROWS)
-    return train(some.join(held, F.col("document_id") == F.col("_id")).select("label", "text"), skip)
+    return train(some.join(held, F.col("document_id") == F.col("_id")).select("label", "text"))
 
 
 def documents_of_chunks(chunk_scores: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import current_manifest, language_name, read
 from .consensus import consensus
-from .language import chunk_prototypes, document_prototypes, documents_of_chunks, furniture, passages, scores
+from .language import chunk_prototypes, document_prototypes, documents_of_chunks, passages, scores
 from .leakage import RUN, leaks
 from . import near_duplicates
 from .packing import containers, pack
@@ -65,27 +65,26 @@ def p4_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _language(spark: SparkSession, sf_dir: str):
     chunks, manifest = read(spark, sf_dir, "chunks"), read(spark, sf_dir, "manifest")
-    skip = furniture(chunks, manifest)
-    return chunks, manifest, chunk_prototypes(chunks, manifest, skip), skip
+    return chunks, manifest, chunk_prototypes(chunks, manifest)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks, manifest, prototypes, skip = _language(spark, sf_dir)
-    told = scores(chunks, prototypes, skip).where(F.col("sentences") > 0)
+    chunks, manifest, prototypes = _language(spark, sf_dir)
+    told = scores(chunks, prototypes).where(F.col("sentences") > 0)
     named = current_manifest(manifest.select("id", "line_no", "language")).select(F.col("id").alias("document_id"), language_name(F.col("language")).alias("_named"))
     other = told.join(named, "document_id", "left").where(F.col("_named").isNull() | (F.col("_named") != F.col("lang")))
     return other.select("chunk_id", "lang").distinct()
 
 
 def p5_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks, _, prototypes, skip = _language(spark, sf_dir)
+    chunks, _, prototypes = _language(spark, sf_dir)
     once = chunks.groupBy("chunk_id").agg(F.max(F.struct("written", "document_id", "text")).alias("r")).select("chunk_id", "r.document_id", "r.text")
-    return documents_of_chunks(scores(once, prototypes, skip))
+    return documents_of_chunks(scores(once, prototypes))
 
 
 def p5_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks, _, prototypes, skip = _language(spark, sf_dir)
-    return passages(chunks, prototypes, skip).dropDuplicates(["chunk_id", "start"])
+    chunks, _, prototypes = _language(spark, sf_dir)
+    return passages(chunks, prototypes).dropDuplicates(["chunk_id", "start"])
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
