@@ -25,7 +25,8 @@ from .language import _profiles, sentence_spans, text_language
 
 SLOTS = 1 << 17
 LEVELS = ("plain", "ordinary", "legal")
-ITERATIONS = 8
+#: Iterations end when the word nodes move less than this on average; LONGEST is an error, not a cut.
+SETTLED, LONGEST = 1e-3, 200
 #: Clamped examples: (difficulty, least words, most words, least mean word length, most mean word length).
 EXAMPLES = ((0.0, 4, 10, 0.0, 4.2), (0.5, 14, 24, 4.7, 5.8), (1.0, 35, 120, 6.6, 20.0))
 _WORD = re.compile(r"[^\W\d_]+")
@@ -82,12 +83,12 @@ def _difficulty(b: pa.RecordBatch, u: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return free, b.column("clamp").to_numpy(zero_copy_only=False).astype(np.float64), nodes, size
 
 
-def propagate(rows: DataFrame, iterations: int = ITERATIONS, tolerance: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+def propagate(rows: DataFrame, tolerance: float = SETTLED) -> tuple[np.ndarray, np.ndarray]:
     """Difficulty of every word slot, and the mean free difficulty of each kind of example."""
     spark = rows.sparkSession
     u = np.full(SLOTS, 0.5)
     centres = np.array([y for y, *_ in EXAMPLES])
-    for i in range(iterations):
+    for i in range(LONGEST):
         shared = spark.sparkContext.broadcast((u, i))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,12 +116,13 @@ def propagate(rows: DataFrame, iterations: int = ITERATIONS, tolerance: float =
         for k in range(len(EXAMPLES)):
             if i and (slot == SLOTS + k).any():
                 centres[k] = ratio[slot == SLOTS + k][0]
-        moved = float(np.abs(new - u).mean())
+        at = slot[slot < SLOTS]
+        moved = float(np.abs(new[at] - u[at]).mean()) if len(at) else 0.0
         u = new
         shared.unpersist()
         if i and moved < tolerance:
-            break
-    return u, centres
+            return u, centres
+    raise RuntimeError("difficulties did not settle")
 
 
 def reading_levels(documents: DataFrame, prototypes: np.ndarray) -> DataFrame:

@@ -42,16 +42,16 @@ def with_scheme(chunks: DataFrame, manifest: DataFrame | None) -> DataFrame:
     return own.unionByName(none.join(held, F.col("document_id") == F.col("_id"), "left").drop("_id"))
 
 
-def _salted_number(docs: DataFrame) -> DataFrame:
+def _numbered(docs: DataFrame, totals: DataFrame) -> DataFrame:
     """Document numbers that depend on the documents only: block of a hash, then the rank in the block.
 
-    Blocks are sorted apart, so no source, however large, is numbered in one task; a
-    recomputed task gives the same numbers.
+    A scheme has a block for each half bitmap of its documents, so a small one has one bitmap a line and no source, however large, is numbered in one
+    task; a recomputed task gives the same numbers.
     """
-    block = F.pmod(F.xxhash64("_doc"), F.lit(64))
+    block = F.pmod(F.xxhash64("_doc"), F.ceil(F.col("_docs") / (_BITS // 2)).cast("long"))
     rank = F.row_number().over(Window.partitionBy("_scheme", "_block").orderBy("_doc")) - 1
-    return docs.withColumn("_block", block).withColumn("_rank", rank.cast("long")).select(
-        "_scheme", "_doc", (F.col("_block") * F.lit(1 << 40) + F.floor(F.col("_rank") / _BITS)).alias("_bucket"), F.expr(f"CAST(_rank % {_BITS} AS BIGINT)").alias("_bit")
+    return docs.join(totals, "_scheme").withColumn("_block", block).withColumn("_rank", rank.cast("long")).select(
+        "_scheme", "_doc", (F.col("_block") * F.lit(1 << 20) + F.floor(F.col("_rank") / _BITS)).alias("_bucket"), F.expr(f"CAST(_rank % {_BITS} AS BIGINT)").alias("_bit")
     )
 
 
@@ -89,8 +89,9 @@ def repeated_lines(chunks: DataFrame, manifest: DataFrame | None = None, share:
     with chunks count. Rows that repeat a chunk_id give the same cases and count once. Empty input, empty results.
     """
     base = with_scheme(chunks.select("chunk_id", "document_id", "scheme", text), manifest).where(F.col("_scheme").isNotNull() & F.col("document_id").isNotNull())
-    docs = cut(_salted_number(base.select("_scheme", F.col("document_id").alias("_doc")).distinct()))
-    totals = small(cut(docs.groupBy("_scheme").agg(F.count("*").alias("_docs"))))
+    named = cut(base.select("_scheme", F.col("document_id").alias("_doc")).distinct())
+    totals = small(cut(named.groupBy("_scheme").agg(F.count("*").alias("_docs"))))
+    docs = cut(_numbered(named, totals))
     need = _need(share, least)
     frequent = frequent_keys(base, totals, share, least, text)
     hit = _lines(base, text, raw=True).join(small(frequent), ["_scheme", "_hash"])

@@ -435,6 +435,17 @@ def test_scanned_text_is_repaired(spark):
     assert text[301] == "" and 300 not in text
 
 
+def test_the_channel_is_learnt():
+    """Misreadings of m as rn in one of ten places, none of any other confusion."""
+    right = ["camera", "moment", "summer", "number", "mill", "farm"]
+    model = scanned_text.Model({w: 1000 for w in right} | {"burn": 1000, "barn": 10}, {}, {})
+    strange = {w.replace("m", "rn", 1): 100 for w in right}
+    channel = scanned_text.channel_of(model, strange, 1.0)
+    assert 0.05 < channel["m", "rn"] < 0.15 and all(p < scanned_text.PRIOR for c, p in channel.items() if c[0] in "lei" and c != ("m", "rn"))
+    told = scanned_text.Model(model.words, {}, {}, channel)
+    assert dict(told.candidates("carnera"))["camera"] > dict(model.candidates("carnera"))["camera"]
+
+
 @pytest.mark.parametrize("text", ["Kisan किसान 2015", "a𝒳b 𑀓x", "", None])
 def test_words_like_the_property_class(text):
     assert len(words.flat_words([text])[0]) == len(regex.findall(r"[\p{L}\p{M}\p{Nd}]+", (text or "").lower()))
