@@ -86,7 +86,7 @@ def _stretches(words: np.ndarray, offsets: np.ndarray, starts: np.ndarray, row:
 
 
 def item_windows(items: DataFrame) -> DataFrame:
-    """(hash, item, ipos, ibefore, iwords) of every repetition of every window of items (item, text)."""
+    """(hash, item, ipos) of every repetition of every window of items (item, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -94,12 +94,22 @@ def item_windows(items: DataFrame) -> DataFrame:
             starts, row = _window_starts(offsets, STRIDE)
             if not len(starts):
                 continue
-            around, before = _stretches(words, offsets, starts, row)
-            ids = b.column("item").take(pa.array(row))
+            ids, pos = b.column("item").take(pa.array(row)), pa.array((starts - offsets[row]).astype(np.int32))
             for r in range(REPETITIONS):
-                yield pa.RecordBatch.from_arrays([pa.array(walks(words, starts, r).view(np.int64)), ids, pa.array((starts - offsets[row]).astype(np.int32)), before, around], ["hash", "item", "ipos", "ibefore", "iwords"])
+                yield pa.RecordBatch.from_arrays([pa.array(walks(words, starts, r).view(np.int64)), ids, pos], ["hash", "item", "ipos"])
 
-    return items.select("item", "text").mapInArrow(run, "hash long, item long, ipos int, ibefore byte, iwords array<int>")
+    return items.select("item", "text").mapInArrow(run, "hash long, item long, ipos int")
+
+
+def item_words(items: DataFrame) -> DataFrame:
+    """(item, iwords): the words of items (item, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words, offsets = flat_words(b.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column("item"), pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(_fold(words)))], ["item", "iwords"])
+
+    return items.select("item", "text").mapInArrow(run, "item long, iwords array<int>")
 
 
 def _halves(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -138,14 +148,16 @@ def document_windows(docs: DataFrame, filter_: np.ndarray) -> DataFrame:
 
 
 def _laid(lists: pa.Array, before: np.ndarray, none: int) -> np.ndarray:
-    """Words (rows, AROUND + WINDOW + AROUND) with the window in the middle; `none` where there are no words."""
+    """Words (rows, AROUND + WINDOW + AROUND) with the window, which `before` words precede, in the middle; `none` where there are no words."""
     offsets = lists.offsets.to_numpy().astype(np.int64)
     flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
     size = np.diff(offsets)
     out = np.full((len(size), 2 * AROUND + WINDOW), none, np.int64)
     row = np.repeat(np.arange(len(size)), size)
     at = np.arange(len(flat)) - np.repeat(offsets[:-1] - offsets[0], size)
-    out[row, AROUND - before[row] + at] = flat
+    column = AROUND - before[row] + at
+    seen = (column >= 0) & (column < out.shape[1])
+    out[row[seen], column[seen]] = flat[seen]
     return out
 
 
@@ -195,18 +207,18 @@ def leaks(documents: DataFrame, questions: DataFrame, parts: tuple[str, ...] = (
     spread = F.explode(F.array(*[F.struct(F.lit(p).alias("part"), F.col(p).alias("text")) for p in parts])).alias("p")
     asked = questions.where(F.col("id").isNotNull()).select(F.col("id").alias("question_id"), spread).select("question_id", "p.part", "p.text").where(F.col("text").isNotNull())
     asked = asked.withColumn("item", F.xxhash64("text"))
-    items = asked.groupBy("item").agg(F.first("text").alias("text"))
+    items = written(asked.groupBy("item").agg(F.first("text").alias("text")))
     windows = written(item_windows(items))
     docs = documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")
     passed = document_windows(docs, _filter(windows, windows.count()))
-    pairs = passed.join(windows, "hash").select("doc_id", "item", "pos", "ipos", "before", "words", "ibefore", "iwords")
+    pairs = passed.join(windows, "hash").select("doc_id", "item", "pos", "ipos", "before", "words").join(item_words(items), "item")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not len(b):
                 continue
             doc = _laid(b.column("words"), b.column("before").to_numpy().astype(np.int64), -(1 << 40))
-            item = _laid(b.column("iwords"), b.column("ibefore").to_numpy().astype(np.int64), -(1 << 41))
+            item = _laid(b.column("iwords"), b.column("ipos").to_numpy().astype(np.int64), -(1 << 41))
             start, run = runs_through(item, doc)
             first = b.column("ipos").to_numpy().astype(np.int64) - AROUND + start
             dist = np.full(len(run), 99)
