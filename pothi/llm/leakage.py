@@ -3,12 +3,12 @@
 The CGK walk embeds a sequence of words so that edit distance becomes Hamming distance: a pointer walks over the
 window; at step t it writes the word under it and moves on by a random bit of (t, word). Two windows a
 few edits apart fall into step again and agree in most places. A repetition samples SAMPLED places of the walk and hashes the words
-there; windows that share a hash in any of the REPETITIONS are candidates.
+there; windows that share a hash in any repetition are candidates.
 
 Windows have WINDOW words. Items are cut at every STRIDE-th word, documents at every word. Equal windows have equal walks whatever is sampled, so
 a passage with WINDOW + STRIDE - 1 = 10 unchanged words in a row is a candidate for certain: every run of RUN = 12 equal words is, and every
-passage of PASSAGE = 20 words with one word changed, put in or left out, as one of its sides has 10 words or more. Passages with more changes
-are found with the recall of the sampling. The walks of all windows of a batch advance together, one vector operation a step.
+passage of PASSAGE = 20 words with one word changed, put in or left out, as one of its sides has 10 words or more. So one repetition reaches a recall of 1
+for up to one edit; for more edits there are REPETITIONS, and passages are found with the recall of the sampling. The walks of all windows of a batch advance together, one vector operation a step.
 
 Document windows first pass a bit filter of the items' hashes (common.hash_filter). Only windows that pass are shuffled, each with the words around it.
 Every candidate is verified there, a batch at a time: the run of equal words through the window, and the least edits of a passage of the item
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filter_bits, hash_filter, passes, written
+from .common import filter_bits, hash_filter, passes, small, written
 from .words import flat_words
 
 RUN, PASSAGE, WINDOW, STRIDE, REPETITIONS, SAMPLED = 12, 20, 9, 2, 2, 20
@@ -85,7 +85,7 @@ def _stretches(words: np.ndarray, offsets: np.ndarray, starts: np.ndarray, row:
     return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(_fold(words)[at])), pa.array((starts - lo).astype(np.int8))
 
 
-def item_windows(items: DataFrame) -> DataFrame:
+def item_windows(items: DataFrame, repetitions: int) -> DataFrame:
     """(hash, item, ipos) of every repetition of every window of items (item, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,7 +95,7 @@ def item_windows(items: DataFrame) -> DataFrame:
             if not len(starts):
                 continue
             ids, pos = b.column("item").take(pa.array(row)), pa.array((starts - offsets[row]).astype(np.int32))
-            for r in range(REPETITIONS):
+            for r in range(repetitions):
                 yield pa.RecordBatch.from_arrays([pa.array(walks(words, starts, r).view(np.int64)), ids, pos], ["hash", "item", "ipos"])
 
     return items.select("item", "text").mapInArrow(run, "hash long, item long, ipos int")
@@ -126,7 +126,7 @@ def _filter(windows: DataFrame, count: int) -> np.ndarray:
     return hash_filter(windows.select("hash").mapInArrow(halves, "h binary"), filter_bits(2 * count, 32))[0]
 
 
-def document_windows(docs: DataFrame, filter_: np.ndarray) -> DataFrame:
+def document_windows(docs: DataFrame, filter_: np.ndarray, repetitions: int) -> DataFrame:
     """(hash, doc_id, pos, before, words) of the windows of docs (doc_id, text) that pass the filter."""
     shared = docs.sparkSession.sparkContext.broadcast(filter_)
 
@@ -134,7 +134,7 @@ def document_windows(docs: DataFrame, filter_: np.ndarray) -> DataFrame:
         for b in batches:
             words, offsets = flat_words(b.column("text").to_pylist())
             starts, row = _window_starts(offsets, 1)
-            for r in range(REPETITIONS if len(starts) else 0):
+            for r in range(repetitions if len(starts) else 0):
                 h = walks(words, starts, r)
                 low, high = _halves(h)
                 hit = np.flatnonzero(passes(shared.value, low))
@@ -208,10 +208,15 @@ def leaks(documents: DataFrame, questions: DataFrame, parts: tuple[str, ...] = (
     asked = questions.where(F.col("id").isNotNull()).select(F.col("id").alias("question_id"), spread).select("question_id", "p.part", "p.text").where(F.col("text").isNotNull())
     asked = asked.withColumn("item", F.xxhash64("text"))
     items = written(asked.groupBy("item").agg(F.first("text").alias("text")))
-    windows = written(item_windows(items))
+    repetitions = 1 if edits < 2 else REPETITIONS
+    windows = written(item_windows(items, repetitions))
     docs = documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")
-    passed = document_windows(docs, _filter(windows, windows.count()))
-    pairs = passed.join(windows, "hash").select("doc_id", "item", "pos", "ipos", "before", "words").join(item_words(items), "item")
+    passed = document_windows(docs, _filter(windows, windows.count()), repetitions)
+    pairs = passed.join(windows, "hash").select("doc_id", "item", "pos", "ipos", "before", "words").join(small(written(item_words(items))), "item")
+    if edits < 2:
+        # One word more on either side must be equal, else there is neither a run of 10 words nor such a passage.
+        same = lambda i: F.get("words", F.col("before") + i) == F.get("iwords", F.col("ipos") + i)
+        pairs = pairs.where(F.coalesce(F.when(F.col("before") > 0, F.when(F.col("ipos") > 0, same(-1))), F.lit(False)) | F.coalesce(same(WINDOW), F.lit(False)))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
