@@ -24,11 +24,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filter_bits, hash_filter, passes, small, written
+from .common import filter_bits, hash_filter, passes, written
 from .words import flat_words
 
 RUN, PASSAGE, WINDOW, STRIDE, REPETITIONS, SAMPLED = 12, 20, 9, 2, 2, 20
 _STEPS = 3 * WINDOW
+#: Words of items up to which they are broadcast (16 MB); beyond it the candidates are shuffled to them.
+BROADCAST_WORDS = 4_000_000
 #: Words on either side of a window that are sent along.
 AROUND = PASSAGE - WINDOW + 2
 
@@ -211,8 +213,12 @@ def leaks(documents: DataFrame, questions: DataFrame, parts: tuple[str, ...] = (
     repetitions = 1 if edits < 2 else REPETITIONS
     windows = written(item_windows(items, repetitions))
     docs = documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")
-    passed = document_windows(docs, _filter(windows, windows.count()), repetitions)
-    pairs = passed.join(windows, "hash").select("doc_id", "item", "pos", "ipos", "before", "words").join(small(written(item_words(items))), "item")
+    count = windows.count()
+    passed = document_windows(docs, _filter(windows, count), repetitions)
+    spoken = written(item_words(items))
+    # Windows begin at every STRIDE-th word, so their number bounds the words: 4 bytes each.
+    spoken = F.broadcast(spoken) if count // repetitions * STRIDE + count <= BROADCAST_WORDS else spoken
+    pairs = passed.join(windows, "hash").select("doc_id", "item", "pos", "ipos", "before", "words").join(spoken, "item")
     if edits < 2:
         # One word more on either side must be equal, else there is neither a run of 10 words nor such a passage.
         same = lambda i: F.get("words", F.col("before") + i) == F.get("iwords", F.col("ipos") + i)
