@@ -1,4 +1,4 @@
-"""Evaluation set and audit."""
+"""Evaluation set and audit."""
 
 from __future__ import annotations
 
@@ -55,6 +55,7 @@ def structural_errors(questions: DataFrame) -> DataFrame:
     none = F.col("question_type") == "unanswerable"
     order = Window.partitionBy("id").orderBy("question_type", "question")
     rows = questions.withColumn("_n", F.row_number().over(order))
+    # The errors' texts.
     rules = [
         (F.col("_n") > 1, F.lit("duplicate id")),
         (unknown("question_type", QUESTION_TYPES), F.lit("unknown question_type")),
