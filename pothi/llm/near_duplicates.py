@@ -450,7 +450,10 @@ def similar_texts(chunks: DataFrame, threshold: float = THRESHOLD, n: int = SHIN
 
 
 def similar_pairs(links: DataFrame, members: DataFrame) -> DataFrame:
-    """(chunk_a, chunk_b), chunk_a < chunk_b: the links between all members of their nodes, and the pairs of equal members."""
+    """(chunk_a, chunk_b), chunk_a < chunk_b: the links between all members of their nodes, and the pairs of equal members.
+
+    This expands copies into pairs, as the query p3_found is defined; `groups` has one row per text instead and is the form for large groups of copies.
+    """
     x, y = members.select(F.col("node").alias("a"), F.col("chunk_id").alias("_p")), members.select(F.col("node").alias("b"), F.col("chunk_id").alias("_q"))
     linked = links.join(x, "a").join(y, "b").select("_p", "_q")
     copied = members.groupBy("node").agg(F.count("*").alias("_n")).where(F.col("_n") > 1)

@@ -1,11 +1,11 @@
 """Reading level of documents by harmonic propagation over a sentence-word graph.
 
-Nodes are the English sentences and their words, with two more nodes for a sentence's length class and
-word-length class. Sentences at the ends and in the middle of both measures are clamped examples: short sentences of
-short words 0, middling ones 0.5, long ones of long words 1. Each iteration sets every word to the mean of its
-sentences and every free sentence to the mean of its words, until difficulties rest: the harmonic function with the
-examples as boundary. Words are hashed to SLOTS nodes, so the word side of the graph is a vector of proven size; an iteration is one pass
-over the sentences, summed up per slot in each task before the shuffle.
+Nodes are the English sentences and their words. Graded examples are sentences at the ends and in the middle of length and word length: short ones of
+short words are clamped to 0, middling ones to 0.5, long ones of long words to 1; all others are free. Each iteration sets every word to the
+mean of its sentences and every free sentence to the mean of its words, until difficulties rest: the harmonic function with the
+examples as boundary. A sentence's length is no node, so a free sentence, and in the end every sentence, is graded by its words alone. Words are
+hashed to SLOTS nodes, so the word side of the graph is a vector of proven size; an iteration is one pass over the sentences, summed up per slot in
+each task before the shuffle.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, process_state
 from .language import _profiles, sentence_spans, text_language
 
 SLOTS = 1 << 17
@@ -30,25 +30,16 @@ SETTLED, LONGEST = 1e-3, 200
 #: Clamped examples: (difficulty, least words, most words, least mean word length, most mean word length).
 EXAMPLES = ((0.0, 4, 10, 0.0, 4.2), (0.5, 14, 24, 4.7, 5.8), (1.0, 35, 120, 6.6, 20.0))
 _WORD = re.compile(r"[^\W\d_]+")
-_LENGTHS, _SIZES = (6, 9, 12, 16, 20, 25, 30, 40), (3.5, 4.0, 4.5, 5.0, 5.5, 6.0, 6.5, 7.0)
-_KNOWN: dict[str, int] = {}
-
-
-def _slot(word: str) -> int:
-    s = _KNOWN.get(word)
-    if s is None:
-        if len(_KNOWN) > 500_000:
-            _KNOWN.clear()
-        s = _KNOWN[word] = 32 + crc32(word.encode()) % (SLOTS - 32)
-    return s
 
 
 def sentences(documents: DataFrame, prototypes: np.ndarray) -> DataFrame:
     """doc_id, words, clamp (null if free), nodes: the sentences of at least three words of the documents whose text is English."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        profiles = _profiles(prototypes)
+        profiles, known = _profiles(prototypes), process_state("slots")
         for b in batches:
+            if len(known) > 500_000:
+                known.clear()
             ids, n, clamp, nodes, ends = [], [], [], [], [0]
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
                 if text_language(text, profiles) != "en":
@@ -62,9 +53,11 @@ def sentences(documents: DataFrame, prototypes: np.ndarray) -> DataFrame:
                     ids.append(doc)
                     n.append(k)
                     clamp.append(next((y for y, a, z, lo, hi in EXAMPLES if a <= k <= z and lo <= mean <= hi), None))
-                    nodes.extend(map(_slot, set(words)))
-                    nodes.append(sum(k >= x for x in _LENGTHS))
-                    nodes.append(16 + sum(mean >= x for x in _SIZES))
+                    for w in set(words):
+                        slot = known.get(w)
+                        if slot is None:
+                            slot = known[w] = crc32(w.encode()) % SLOTS
+                        nodes.append(slot)
                     ends.append(len(nodes))
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(nodes, pa.int32()))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int32()), pa.array(clamp, pa.float32()), lists], ["doc_id", "words", "clamp", "nodes"])
