@@ -1,11 +1,14 @@
 """Queries on small inline tables for operators that the driver's tables give no (or no telling) input for.
 
-Each case's SQL states the rows that must come out, worked out by hand from the operator's definition.
+Each case's SQL states the rows that must come out, worked out by hand from the operator's definition. Cases of the predicates P1-P8 are named pred1 to
+pred8, as the names p1 to p10 belong to the training-data problems.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,7 +76,7 @@ def _(s):
     return _shape(chunking.split(_sized(s), True))
 
 
-@case("p3_violations_case", "ordinal", "(1)", "(2)", "(3)", "(4)", "(5)")
+@case("pred3_violations_case", "ordinal", "(1)", "(2)", "(3)", "(4)", "(5)")
 def _(s):
     rows = [(0, "ok", 1, 2), (1, "x", 0, 1), (2, "x", 3, 2), (3, " \n ", 1, 1), (4, None, 1, 1), (5, "x", None, 1)]
     return chunking.violations(s.createDataFrame(rows, "ordinal int, text string, page int, end_page int")).select("ordinal")
@@ -233,7 +236,7 @@ def _(s):
     return rows.withColumn("has_text_layer", F.coalesce(F.col("has_text_layer").cast("string"), F.lit("-"))).select("id", "status", F.coalesce("bytes", F.lit(-1)).alias("bytes"), F.coalesce("pages", F.lit(-1)).alias("pages"), "has_text_layer", "text_page_ratio", "retrieved", "published", F.substring("sha256", 1, 8).alias("sha"))
 
 
-@case("p8_missing_case", "id", "('gone')", "('failed')")
+@case("pred8_missing_case", "id", "('gone')", "('failed')")
 def _(s):
     manifest = s.createDataFrame([(1, "ok", "h"), (2, "failed", None), (3, "ok", None)], "line_no long, id string, sha256 string")
     return corpus.missing_ids(s.createDataFrame([("ok",), ("gone",), ("failed",), ("gone",)], "id string"), manifest)
@@ -329,3 +332,123 @@ def _(s):
 @case("k10_status_case", "json", """('[{"label":"a","value":"1","source":"x"},{"label":"b","value":"2","source":"y"}]')""")
 def _(s):
     return corpus.status_document(s.createDataFrame([("b", "2", "y"), ("a", "1", "x")], "label string, value string, source string"))
+
+
+def _folder(s: SparkSession) -> str:
+    """A new folder in the shared folder of the session (its checkpoints, else its warehouse), deleted when the application ends."""
+    base = s.conf.get("spark.checkpoint.dir", None) or s.conf.get("spark.sql.warehouse.dir")
+    path = s._jvm.org.apache.hadoop.fs.Path(f"{base}/cases-{uuid.uuid4().hex}")
+    path.getFileSystem(s._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return path.toString()
+
+
+def _lines(s: SparkSession, *lines: str) -> str:
+    """The folder of one text file with these lines."""
+    folder = f"{_folder(s)}/text"
+    s.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.text(folder)
+    return folder
+
+
+@case("k1_run_case", "run_id, splitter", "('q', 'fixed')", "('r', 'section')")
+def _(s):
+    """A run that is started again replaces its row."""
+    run = lambda r, splitter: s.createDataFrame([(r, "h", "pypdf", splitter, "none", "none", datetime(2026, 1, 1))], schemas.RUN)
+    held = store.Store(s, _folder(s))
+    for row in (run("r", "fixed"), run("q", "fixed"), run("r", "section")):
+        held.start_run(row)
+    return held.runs().select("run_id", "splitter")
+
+
+@case("k3_replaced_case", "document_id, ordinal, text", "('a', 0, 'new')", "('c', 0, 'c0')", "('c', 1, 'c1')")
+def _(s):
+    """A document is replaced by fewer chunks, another by none; the rest stays."""
+    held = store.Store(s, _folder(s))
+    docs = lambda *ids: s.createDataFrame([("r", i) for i in ids], "run_id string, document_id string")
+    chunks = lambda *rows: s.createDataFrame([("r", d, i, t, 1, 1, [], None, None, None) for d, i, t in rows], schemas.CHUNK)
+    held.replace_documents(docs("a", "b", "c"), chunks(("a", 0, "a0"), ("a", 1, "a1"), ("b", 0, "b0"), ("c", 0, "c0"), ("c", 1, "c1")))
+    held.replace_documents(docs("a", "b"), chunks(("a", 0, "new")))
+    return held.chunks().select("document_id", "ordinal", "text")
+
+
+@case("k4_embeddings_case", "ordinal, model, first", "(0, 'm', 3.0)", "(0, 'n', 2.0)", "(1, 'm', 4.0)")
+def _(s):
+    held = store.Store(s, _folder(s))
+    rows = lambda *vs: s.createDataFrame([("r", "a", i, m, "h", [x]) for i, m, x in vs], "run_id string, document_id string, ordinal int, model string, text_hash string, vector array<float>")
+    held.upsert_embeddings(rows((0, "m", 1.0), (0, "n", 2.0)))
+    held.upsert_embeddings(rows((0, "m", 3.0), (1, "m", 4.0)))
+    return held.embeddings().select("ordinal", "model", F.get("vector", F.lit(0)).cast("double").alias("first"))
+
+
+@case("k5_block_cache_case", "document_id, seq, text, page", "('d', 0, 'one', 1)", "('d', 1, 'two', 2)", "('e', 0, 'x', 1)")
+def _(s):
+    """Blocks written as one JSON document each (K5) and read again."""
+    folder = f"{_folder(s)}/cache"
+    store.write_blocks(s.createDataFrame([("d", 1, "two", 2, None, None), ("d", 0, "one", 1, "TextItem", None), ("e", 0, "x", 1, None, 3)], schemas.BLOCK), folder)
+    return readers.cached_blocks(s, folder).select("document_id", "seq", "text", "page")
+
+
+@case("k6_json_lines_case", "value", """('{"k":"a","n":1,"x":"t"}')""", """('{"k":"b","n":2,"x":null}')""")
+def _(s):
+    folder = f"{_folder(s)}/lines"
+    store.write_json_lines(s.createDataFrame([("t", "a", 1), (None, "b", 2)], "x string, k string, n int"), folder, ["k"])
+    return s.read.text(folder)
+
+
+@case("k8_tsv_case", "value", "('k' || chr(9) || 'n')", "('a' || chr(9) || '1')")
+def _(s):
+    folder = f"{_folder(s)}/tsv"
+    store.write_tsv(s.createDataFrame([("a", 1)], "k string, n int").coalesce(1), folder)
+    return s.read.text(folder)
+
+
+@case("k9_appended_case", "k, n", "('a', 1)", "('a', 1)", "('b', 2)")
+def _(s):
+    folder = f"{_folder(s)}/log"
+    for rows in ([("a", 1)], [("a", 1), ("b", 2)]):
+        store.append_json(s.createDataFrame(rows, "k string, n int"), folder)
+    return readers.json_lines(s, folder, "k string, n int")
+
+
+@case("s9_prior_manifest_case", "id, retrieved", "('a', '2026-01-01')", "('b', '2026-01-02')")
+def _(s):
+    """Malformed and blank lines are passed over."""
+    folder = _lines(s, '{"id": "a", "retrieved": "2026-01-01"}', '{"id": "x", ', "", '{"id": "b", "retrieved": "2026-01-02"}')
+    return readers.json_lines(s, folder, "id string, retrieved string", strict=False).where("id IS NOT NULL")
+
+
+@case("s11_eval_set_case", "id, question_type", "('a', 'factual')", "('b', 'exclusion')")
+def _(s):
+    folder = _lines(s, '{"id": "a", "question": "q", "gold_answer": "g", "question_type": "factual"}', "  ", '{"id": "b", "question": "q", "gold_answer": "g", "question_type": "exclusion"}')
+    return readers.eval_set(s, f"{folder}/*.txt", schemas.QUESTION).select("id", "question_type")
+
+
+@case("s13_gold_text_case", "text", "('one' || chr(10) || 'two' || chr(10))")
+def _(s):
+    return readers.gold_texts(s, f"{_lines(s, 'one', 'two')}/*.txt").select("text")
+
+
+@case("s18_last_line_case", "question_id, theirs", "('q', 'no')", "('r', 'yes')")
+def _(s):
+    rows = [("q", "yes", 1), ("r", "yes", 2), ("q", "no", 3)]
+    return readers.last_by_line(s.createDataFrame(rows, "question_id string, theirs string, line int"), "question_id", "line").select("question_id", "theirs")
+
+
+@case("s20_lines_case", "line_no, line", "(1, 'a')", "(2, '')", "(3, 'b')")
+def _(s):
+    """Files of another suffix are left out."""
+    folder = _lines(s, "a", "", "b")
+    return readers.numbered_lines(s, f"{folder}/*", readers.TEXT_SUFFIXES, ("_SUCCESS",)).select("line_no", "line")
+
+
+@case("s17_probe_case", "id, status", "(1, 'pdf')", "(2, 'http 404')", "(3, 'not a pdf: text/html')", "(4, 'not a pdf: unknown')")
+def _(s):
+    rows = [(1, 200, "%PDF-1.7", "x"), (2, 404, "%PDF", ""), (3, 200, "<html", "text/html"), (4, 200, "PK", "")]
+    answers = s.createDataFrame(rows, "id int, status int, head string, content_type string")
+    return answers.select("id", corpus.probe_status(F.col("status"), F.col("head"), F.col("content_type")).alias("status"))
+
+
+@case("pred6_fetch_status_case", "id, status", "(1, 'not a pdf: text/html')", "(2, 'fetched')", "(3, 'fetched')", "(4, 'http 500')", "(5, 'unreachable')", "(6, 'cached')", "(7, 'not a pdf: unknown content-type')")
+def _(s):
+    rows = [(1, False, 200, "text/html", "<htm"), (2, False, 200, "application/PDF", "x"), (3, False, 200, "", "%PDF"), (4, False, 500, "application/pdf", "%PDF"), (5, False, None, None, None), (6, True, None, None, None), (7, False, 200, None, "PK")]
+    answers = s.createDataFrame(rows, "id int, cached boolean, status int, content_type string, head string")
+    return answers.select("id", corpus.fetch_status(F.col("cached"), F.col("status"), F.col("content_type"), F.col("head")).alias("status"))

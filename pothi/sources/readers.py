@@ -86,11 +86,11 @@ def item_blocks(items: DataFrame) -> DataFrame:
     return rows.where(F.col("page").isNotNull() & F.col("text").isNotNull())
 
 
-def cached_blocks(spark: SparkSession, path: str) -> DataFrame:
-    """Blocks of JSON documents {document_id, blocks: [{text, page, kind, level}]}."""
-    schema = "document_id string, blocks array<struct<text:string,page:int,kind:string,level:int>>"
-    rows = spark.read.schema(schema).option("multiLine", True).json(path)
-    return rows.select("document_id", F.posexplode("blocks").alias("seq", "b")).select("document_id", "seq", "b.*")
+def cached_blocks(spark: SparkSession, path: str, one_per_file: bool = False) -> DataFrame:
+    """Blocks of JSON documents {document_id (or document), blocks: [{text, page, kind, level}]}, a document a line or, with `one_per_file`, one in each file over any lines."""
+    schema = "document_id string, document string, blocks array<struct<text:string,page:int,kind:string,level:int>>"
+    rows = spark.read.schema(schema).option("multiLine", one_per_file).json(path)
+    return rows.select(F.coalesce("document_id", "document").alias("document_id"), F.posexplode("blocks").alias("seq", "b")).select("document_id", "seq", "b.*")
 
 
 def json_lines(spark: SparkSession, path: str, schema: str, strict: bool = True) -> DataFrame:
