@@ -41,6 +41,7 @@ _CLOSING = "\"'”’)]"
 _ENDS = re.compile("[.?!।॥]+[" + re.escape(_CLOSING) + r"]*(?=\s|\Z)|\n[^\S\n]*\n")
 _SPACE = np.array([chr(cp).isspace() for cp in range(65536)])
 _ALPHA = np.array([chr(cp).isalpha() for cp in range(65536)])
+_DIGIT = np.array([chr(cp).isdigit() for cp in range(65536)])
 
 
 def _letter_ids() -> np.ndarray:
@@ -72,10 +73,12 @@ class Profiles:
         self.prototypes = prototypes
         self.scores = np.zeros((0, len(LANGUAGES)), np.float32)
 
-    def codes(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """Trigram codes of a text, and the position in the text at which each ends."""
-        cps = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    def codes(self, text: str, blank: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Trigram codes of a text, and the position in the text at which each ends. blank: characters that count as no letters."""
+        cps = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
         ids = self.ids[np.minimum(cps, 65535)]
+        if blank is not None:
+            ids = np.where(blank, 0, ids)
         keep = np.ones(len(ids), bool)
         keep[1:] = (ids[1:] != 0) | (ids[:-1] != 0)
         at = np.flatnonzero(keep)
@@ -97,9 +100,9 @@ class Profiles:
             out += n[i : i + 4096] @ self.vectors(codes[i : i + 4096])
         return out / max(np.linalg.norm(out), 1e-9)
 
-    def running(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+    def running(self, text: str, blank: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Positions of trigram ends, and running sums of their products with the prototypes (one row more)."""
-        codes, at = self.codes(text)
+        codes, at = self.codes(text, blank)
         rows = self.row[codes]
         if len(rows) and rows.min() < 0:
             new = np.unique(codes[rows < 0])
@@ -202,13 +205,21 @@ class Told:
     def __init__(self, texts: list[str], profiles: Profiles):
         clean = list(map(without_tables, texts))
         joined = "\n\n".join(clean)
-        at, sums = profiles.running(joined)
         spans = np.array(sentence_spans(joined), np.int64).reshape(-1, 2)
         bounds = np.cumsum(np.fromiter(map(len, clean), np.int64, len(clean)) + 2)
         row = np.searchsorted(bounds, spans[:, 1] - 1, "right")
         cps = np.minimum(np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32), 65535)
-        space = np.concatenate([[True], _SPACE[cps], [True]])
-        words = np.concatenate([[0], np.cumsum(_ALPHA[cps] & space[:-2] & ~space[2:])])
+        # Words: tokens of two characters or more that begin with a letter and have no digit. Tokens with a digit (codes, amounts) tell no language.
+        change = np.flatnonzero(np.diff(np.concatenate([[True], _SPACE[cps], [True]])))
+        begins, ends = change[::2], change[1::2]
+        digits = np.concatenate([[0], np.cumsum(_DIGIT[cps])])
+        coded = digits[ends] > digits[begins]
+        spoken = _ALPHA[cps[begins]] & (ends - begins > 1) & ~coded
+        edge = np.zeros(len(cps) + 1, np.int8)
+        np.add.at(edge, begins[coded], 1)
+        np.add.at(edge, ends[coded], -1)
+        at, sums = profiles.running(joined, np.cumsum(edge[:-1]) > 0)
+        words = np.concatenate([[0], np.cumsum(np.bincount(begins[spoken], minlength=len(cps)))])
         edges = np.searchsorted(at, spans)
         n = edges[:, 1] - edges[:, 0]
         told = np.flatnonzero((n >= LEAST_TRIGRAMS) & (words[spans[:, 1]] - words[spans[:, 0]] >= LEAST_WORDS))

@@ -251,14 +251,14 @@ def test_language_of_passages(spark):
         rows.append((i, f"d{i}", "s", " ".join(r.choice(LANG[lang]) for _ in range(4)), 1, 1, None))
         manifest.append((i, f"d{i}", "s", lang if r.random() < 0.85 else r.choice(list(LANG)), True))
     mixed = (500, "mix", "s", f"{LANG['en'][0]} {LANG['en'][1]}\n\n{LANG['mr'][0]}\n| a | b |\n|---|---|\n| x | 1 |", 1, 1, None)
-    rows += [mixed, (501, "n", "s", None, 1, 1, None), (502, "e", "s", "", 1, 1, None), (503, "t", "s", "Rs. 6,500 of 12.", 1, 1, None)]
+    rows += [mixed, (501, "n", "s", None, 1, 1, None), (502, "e", "s", "", 1, 1, None), (503, "t", "s", "Rs. 6,500 of 12.", 1, 1, None), (504, "c", "s", "/".join(f"GS{i}1/RJ9{i}" for i in range(200)) + "\n" + LANG["hi"][0], 1, 1, None)]
     chunks, m = spark.createDataFrame(rows, CHUNK), spark.createDataFrame(manifest, MANIFEST)
     prototypes = language.chunk_prototypes(chunks, m)
     found = language.scores(clash(chunks).drop("lang"), prototypes).collect()
     by = {}
     for x in found:
         by.setdefault(x["chunk_id"], {})[x["lang"]] = x["sentences"]
-    assert all(set(by[i]) == {list(LANG)[i % 4]} for i in range(240)) and by[500] == {"en": 2, "mr": 1} and 501 not in by and 503 not in by
+    assert all(set(by[i]) == {list(LANG)[i % 4]} for i in range(240)) and by[500] == {"en": 2, "mr": 1} and by[504] == {"hi": 1} and 501 not in by and 503 not in by
     spans = [(x["lang"], x["confidence"]) for x in language.passages(chunks.where("chunk_id = 500"), prototypes).orderBy("start").collect()]
     assert [s[0] for s in spans] == ["en", "mr"] and all(0.25 <= c <= 1 for _, c in spans)
     assert language.scores(chunks.limit(0), prototypes).count() == 0
