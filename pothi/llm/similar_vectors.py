@@ -11,7 +11,9 @@ every leaf left, a neighbour closer than the k-th found so far would have been p
 chance under 1 - CONFIDENCE: box distance^2 > chi-square quantile * d_k^2. The query then goes on, with the best so far, to the cell of the next tree,
 which has a projection of its own. A tree may have parted it from such a neighbour with the chance that a chi-square variable of one degree exceeds
 gap^2 / d_k^2, summed over the planes of its cell; over the trees these chances multiply. The query is finished when their product is under
-1 - CONFIDENCE. Queries that no tree has finished are verified exactly against their whole collection, in blocks.
+1 - CONFIDENCE. In the last tree a query that is not finished is also a guest in further cells, the likeliest to hold such a neighbour first, until the chance
+of all cells left, times that of the trees before, is under OPEN of 1 - CONFIDENCE. So the test holds for every query; those that would visit more than WIDE of the cells
+are verified exactly against their whole collection, in blocks.
 Each tree is one shuffle of the vectors, so the moved bytes are linear in them.
 """
 
@@ -40,6 +42,12 @@ TREE_SAMPLE, LEAF_SAMPLE = 50_000, 16
 TREES = 3
 
 
+#: Share of 1 - CONFIDENCE that guests leave open: they are the queries that trees part most.
+OPEN = 0.25
+#: Share of the cells beyond which a query is verified exactly instead.
+WIDE = 0.5
+
+
 def chi_square_quantile(df: int, p: float) -> float:
     """Wilson-Hilferty approximation; exact enough for a stopping test."""
     lo, hi = -8.0, 8.0
@@ -58,7 +66,7 @@ def projection(dim: int, tree: int) -> np.ndarray:
 
 
 def trees_for(depth: int, missed: float = 0.02, crossing: float = 0.1) -> int:
-    """Trees after which at most `missed` of the neighbours were never in the query's cell, if each split parts a pair with chance `crossing`.
+    """Trees after which at most `missed` of the neighbours were never in the query's cell, if each split parts a pair with chance `crossing`; guests find the rest.
 
     0.1 is the chance that a median split parts two vectors with cosine 0.95.
     """
@@ -93,6 +101,14 @@ class Tree:
                 return tree.box(leaf - first)
         return self.lo[leaf], self.hi[leaf]
 
+    def boxes(self) -> tuple[np.ndarray, np.ndarray]:
+        """Boxes of all leaves, by number. That of a leaf which is cut is empty, as no point is placed there."""
+        lo, hi = self.lo.copy(), self.hi.copy()
+        for leaf in self.below:
+            lo[leaf] = hi[leaf] = 0
+        parts = [(lo, hi), *(tree.boxes() for _, tree in self.below.values())]
+        return np.concatenate([a for a, _ in parts]), np.concatenate([b for _, b in parts])
+
     def _grow(self, points: np.ndarray, node: int, level: int, lo: np.ndarray, hi: np.ndarray) -> None:
         if level == self.depth:
             self.lo[node - (1 << level)], self.hi[node - (1 << level)] = lo, hi
@@ -136,6 +152,36 @@ def _tail(x: np.ndarray) -> np.ndarray:
     return t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * np.exp(-x * x)
 
 
+def further(y: np.ndarray, bound: np.ndarray, home: np.ndarray, allowed: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(point, cell): the cells besides its home to which each point goes, the likeliest first.
+
+    A neighbour at squared distance `bound` is projected around the point with that variance in every coordinate; cells are taken until the chance that
+    it is in none of them is at most `allowed`.
+    """
+    sd = np.sqrt(np.maximum(bound, 1e-12))
+    edges = [np.unique(np.concatenate([lo[:, j], hi[:, j]])) for j in range(lo.shape[1])]
+    places = [(np.searchsorted(e, lo[:, j]), np.searchsorted(e, hi[:, j])) for j, e in enumerate(edges)]
+    points, cells = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    step = max(1, (1 << 20) // len(lo))
+    for s in range(0, len(y), step):
+        at = np.arange(s, min(s + step, len(y)))
+        chance = np.ones((len(at), len(lo)))
+        for j, (e, (low, high)) in enumerate(zip(edges, places)):
+            z = (e[None] - y[at, j, None]) / (sd[at, None] * math.sqrt(2))
+            below = 0.5 * _tail(np.abs(z))
+            below = np.where(z > 0, 1 - below, below)
+            chance *= below[:, high] - below[:, low]
+        rank = chance.copy()
+        rank[np.arange(len(at)), home[at]] = 2
+        order = np.argsort(-rank, axis=1, kind="stable")
+        left = 1 - np.cumsum(np.take_along_axis(chance, order, 1), axis=1)
+        # A cell is taken if without it too much would be left; empty ones never are.
+        i, c = np.nonzero((left[:, :-1] > allowed[at, None]) & (np.take_along_axis(chance, order, 1)[:, 1:] > 0))
+        points.append(at[i])
+        cells.append(order[i, c + 1])
+    return np.concatenate(points), np.concatenate(cells)
+
+
 def _outside(y: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Squared distance of each point to each box, and the number of coordinates in which it is outside."""
     dist = np.zeros((len(y), len(lo)), np.float32)
@@ -162,19 +208,26 @@ def _leaves(y: np.ndarray) -> list[np.ndarray]:
 
 
 class Cell:
-    """A cell's vectors under a kd-tree of their projections y."""
+    """A cell's vectors under a kd-tree of their projections y. Those that are guests are queries only; a guest's home is the nearest leaf."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray, y: np.ndarray):
+    def __init__(self, ids: np.ndarray, x: np.ndarray, y: np.ndarray, guest: np.ndarray | None = None):
         self.ids, self.x, self.y = ids, x, y
-        self.leaves = _leaves(self.y) if len(ids) else []
-        self.home = np.zeros(len(ids), np.int64)
+        members = np.arange(len(ids)) if guest is None else np.flatnonzero(~guest)
+        self.leaves = [members[rows] for rows in _leaves(y[members])] if len(members) else []
+        self.home = np.full(len(ids), -1, np.int64)
         for i, rows in enumerate(self.leaves):
             self.home[rows] = i
         self.lo = np.array([self.y[r].min(0) for r in self.leaves]).reshape(-1, M)
         self.hi = np.array([self.y[r].max(0) for r in self.leaves]).reshape(-1, M)
+        guests = np.flatnonzero(self.home < 0) if self.leaves else np.zeros(0, np.int64)
+        for start in range(0, len(guests), 1024):
+            at = guests[start : start + 1024]
+            self.home[at] = _outside(y[at], self.lo, self.hi)[0].argmin(1)
 
     def search(self, queries: np.ndarray, who: np.ndarray, best: np.ndarray, k: int, chi: np.ndarray) -> None:
         """Improve the k best (ids `who`, similarities `best`, descending; -1 and -inf where none) of the rows `queries` in place."""
+        if not self.leaves:
+            return
         order = queries[np.argsort(self.home[queries], kind="stable")]
         for start in range(0, len(order), 256):
             q = order[start : start + 256]
@@ -268,6 +321,22 @@ def _unpickled(shared) -> dict:
     return state["value"]
 
 
+def _boxes(shared, tree: int, g: int) -> tuple[np.ndarray, np.ndarray]:
+    """The boxes of a collection's tree in a broadcast of (forest, ...), united once per worker process."""
+    value, state = _unpickled(shared), process_state("vectors")
+    if state.get("boxes_of") is not value:
+        state["boxes_of"], state["boxes"] = value, {}
+    if (tree, g) not in state["boxes"]:
+        state["boxes"][tree, g] = value[0][tree][g].boxes()
+    return state["boxes"][tree, g]
+
+
+def _freed(table: DataFrame) -> DataFrame:
+    """A written table; the shuffles behind it are deleted when the JVM finds that nothing refers to them, so it is told to look."""
+    table.sparkSession._jvm.System.gc()
+    return table
+
+
 def dimensions_of(df: DataFrame) -> dict[str, int]:
     """Each model's size: that of most of its vectors, of several the largest."""
     sizes = df.where(F.col("model").isNotNull() & (F.size("vector") > 0)).groupBy("model", F.size("vector").alias("size")).agg(F.count("*").alias("n"))
@@ -275,6 +344,8 @@ def dimensions_of(df: DataFrame) -> dict[str, int]:
 
 
 _STATE = [("id", np.int64), ("s", np.float32)]
+#: Rows of a query in the last tree: one row; of several the one in its own cell, and those in further cells; one row that is verified exactly.
+ALONE, SPLIT, GUEST, EXACT = 0, 1, 2, 3
 
 
 def forests(vectors: DataFrame, sizes: dict[int, int], dims: dict[int, int], trees: int) -> list[dict[int, Tree]]:
@@ -346,15 +417,14 @@ def most_similar(df: DataFrame, k: int = K, dimensions: dict[str, int] | None =
     valid = unit_vectors(df, dimensions).withColumn("g", group).withColumn("_copy", F.xxhash64("v"))
     w = Window.partitionBy("g", "_copy").orderBy("vec_id")
     kept = valid.withColumn("_rank", F.dense_rank().over(w)).where(F.col("_rank") <= k + 1)
-    kept = kept.dropDuplicates(["g", "_copy", "vec_id"])
-    # Of the collections only those of more than CELL vectors reach the driver: at most one for CELL rows.
-    counted = df.where(F.col("model").isin(*dimensions)).groupBy(F.coalesce("run_id", F.lit("")).alias("run_id"), "model").agg(F.count("*").alias("n"))
-    total = df.count()
-    large = counted.where(F.col("n") > CELL).select(group.alias("g"), "model", "n").collect()
+    kept = _freed(written(kept.dropDuplicates(["g", "_copy", "vec_id"]).select("g", F.xxhash64(F.lit(23), "run_id", "model").alias("whole"), "model", "_copy", "vec_id", "v")))
+    # Of the collections only those of more than CELL indexed vectors reach the driver: at most one for CELL rows.
+    total = kept.count()
+    large = kept.groupBy("g", "model").agg(F.count("*").alias("n")).where(F.col("n") > CELL).collect()
     sizes, dims = {r["g"]: r["n"] for r in large}, {r["g"]: dimensions[r["model"]] for r in large}
     depth = max([math.ceil(math.log2(n / CELL)) for n in sizes.values()], default=0)
     trees = trees_for(depth) if sizes else 1
-    forest = forests(valid.select("g", "v"), sizes, dims, trees)
+    forest = forests(kept.select("g", "v"), sizes, dims, trees)
     first = []  # number of each tree's first cell, by collection
     for f in forest:
         ends = np.cumsum([0, *[t.size for t in f.values()]]).tolist()
@@ -383,11 +453,11 @@ def most_similar(df: DataFrame, k: int = K, dimensions: dict[str, int] | None =
                 state = np.zeros((n, k), _STATE)
                 state["id"], state["s"] = -1, -np.inf
                 whole = -1 - np.abs(part.column("whole").to_numpy() >> 1)
-                yield pa.RecordBatch.from_arrays([pa.array(cells(0, of, x, whole)), part.column("g"), part.column("vec_id"), part.column("v"), _binary(state), pa.array(np.zeros(n, np.float32))], ["cell", "g", "vec_id", "v", "best", "miss"])
+                yield pa.RecordBatch.from_arrays([pa.array(cells(0, of, x, whole)), part.column("g"), part.column("vec_id"), part.column("v"), _binary(state), pa.array(np.zeros(n, np.float32)), pa.array(np.full(n, ALONE, np.int8))], ["cell", "g", "vec_id", "v", "best", "miss", "role"])
 
     # miss: logarithm of the chance that a closer neighbour was parted from the query in every tree so far.
-    shape = "cell long, g long, vec_id long, v binary, best binary, miss float"
-    rows = kept.select("g", F.xxhash64(F.lit(23), "run_id", "model").alias("whole"), "model", "vec_id", "v").mapInArrow(start, shape)
+    shape = "cell long, g long, vec_id long, v binary, best binary, miss float, role byte"
+    rows = kept.select("g", "whole", "model", "vec_id", "v").mapInArrow(start, shape)
 
     def round_(i: int):
         last = i + 1 == trees
@@ -399,25 +469,41 @@ def most_similar(df: DataFrame, k: int = K, dimensions: dict[str, int] | None =
             y = x @ projection(x.shape[1], i)
             state = _rows(t.column("best"), np.uint8).copy().view(_STATE).reshape(len(ids), k)
             who, best = state["id"].copy(), state["s"].copy()
-            miss = t.column("miss").to_numpy().astype(np.float64)
-            Cell(ids, x, y).search(np.flatnonzero(miss > log_miss), who, best, k, chi)
+            miss, role = t.column("miss").to_numpy().astype(np.float64), t.column("role").to_numpy().copy()
+            Cell(ids, x, y, role == GUEST).search(np.flatnonzero(miss > log_miss), who, best, k, chi)
             state["id"], state["s"] = who, best
+            bound = np.where(np.isfinite(best[:, k - 1]), 2 - 2 * best[:, k - 1], 4.0)
             if cell < 0:
                 miss[:] = -np.inf
-            else:
-                bound = np.where(np.isfinite(best[:, k - 1]), 2 - 2 * best[:, k - 1], 4.0)
+            elif not last:
                 miss = np.where(miss > log_miss, miss + np.log(np.maximum(parted(y, *forest[i][g].box(cell - first[i][g]), bound), 1e-30)), miss)
             of = np.full(len(ids), g)
             at = ids if last else np.full(len(ids), cell) if cell < 0 else cells(i + 1, of, x, ids)
-            v = pa.nulls(len(ids), pa.binary()) if last else t.column("v")
-            return pa.table({"cell": pa.array(at), "g": t.column("g"), "vec_id": t.column("vec_id"), "v": v, "best": _binary(state), "miss": pa.array(miss.astype(np.float32))})
+            v, also = pa.nulls(len(ids), pa.binary()) if last else t.column("v").combine_chunks(), np.zeros(0, np.int64)
+            if i + 2 == trees and cell >= 0:
+                open_ = np.flatnonzero(miss > log_miss)
+                n, c = further(x[open_] @ projection(x.shape[1], i + 1), bound[open_], at[open_] - first[i + 1][g], OPEN * np.exp(log_miss - miss[open_]), *_boxes(index, i + 1, g))
+                wide = np.bincount(n, minlength=len(open_)) > WIDE * forest[i + 1][g].size
+                role[open_[n]] = SPLIT
+                role[open_[wide]], miss[open_[wide]] = EXACT, -np.inf
+                n, c = n[~wide[n]], c[~wide[n]]
+                also = open_[n]
+                at, role = np.concatenate([at, first[i + 1][g] + c]), np.concatenate([role, np.full(len(also), GUEST, np.int8)])
+            take = np.concatenate([np.arange(len(ids)), also])
+            state = state[take]
+            # A guest brings its k-th similarity, not its neighbours: what is closer is merged after the last tree.
+            guests = state[len(ids) :]
+            guests["id"], guests["s"] = -1, guests["s"][:, -1:]
+            return pa.table({"cell": pa.array(at), "g": pa.array(of[take]), "vec_id": pa.array(ids[take]), "v": v.take(pa.array(take)) if len(also) else v, "best": _binary(state), "miss": pa.array(miss[take].astype(np.float32)), "role": pa.array(role)})
 
         return visit
 
     for i in range(trees):
         rows = rows.repartition(tasks, "cell", "g").groupBy("cell", "g").applyInArrow(round_(i), shape)
+        if i % 3 == 2 and i + 1 < trees:  # the shuffles of three trees at a time are on disk, however many trees there are
+            rows = _freed(written(rows))
     if sizes:
-        rows = written(rows.select("vec_id", "best", "miss"))
+        rows = written(rows.select("vec_id", "best", "role"))
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -427,15 +513,19 @@ def most_similar(df: DataFrame, k: int = K, dimensions: dict[str, int] | None =
             r, c = np.nonzero(state["id"] >= 0)
             yield pa.RecordBatch.from_arrays([b.column("vec_id").take(pa.array(r)), pa.array(state["id"][r, c]), pa.array(state["s"][r, c].astype(np.float64)), pa.array((c + 1).astype(np.int32))], ["vec_id", "neighbour", "similarity", "rank"])
 
-    out = rows.where(F.col("miss") <= log_miss).select("vec_id", "best").mapInArrow(unpack, "vec_id long, neighbour long, similarity double, rank int")
-    left = rows.where(F.col("miss") > log_miss).select("vec_id") if sizes else None
-    if left is not None and left.limit(1).count():
-        # What no tree has finished, exactly.
-        whole = df.where(F.col("model").isin(*dimensions)).select("vec_id", F.coalesce("run_id", F.lit("")).alias("run_id"), "model", "vector")
-        asked = whole.join(small(left), "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), "run_id", "model", F.col("vector").alias("query"))
-        asked = asked.where(F.element_at(F.create_map(*[F.lit(x) for m, d in dimensions.items() for x in (m, d)]), F.col("model")) == F.size("query"))
-        exact = retrieval.dense(whole, asked, k)
-        out = out.unionByName(exact.select(F.col("query_id").alias("vec_id"), F.col("vec_id").alias("neighbour"), F.col("score").alias("similarity"), "rank"))
+    found = "vec_id long, neighbour long, similarity double, rank int"
+    out = (rows.where(F.col("role") == ALONE) if sizes else rows).select("vec_id", "best").mapInArrow(unpack, found)
+    if sizes:
+        several = rows.where(F.col("role").isin(SPLIT, GUEST)).select("vec_id", "best").mapInArrow(unpack, found).groupBy("vec_id", "neighbour").agg(F.max("similarity").alias("similarity"))
+        order = Window.partitionBy("vec_id").orderBy(F.desc("similarity"), "neighbour")
+        out = out.unionByName(several.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
+        left = rows.where(F.col("role") == EXACT).select("vec_id")
+        if left.limit(1).count():
+            whole = df.where(F.col("model").isin(*dimensions)).select("vec_id", F.coalesce("run_id", F.lit("")).alias("run_id"), "model", "vector")
+            asked = whole.join(small(left), "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), "run_id", "model", F.col("vector").alias("query"))
+            asked = asked.where(F.element_at(F.create_map(*[F.lit(x) for m, d in dimensions.items() for x in (m, d)]), F.col("model")) == F.size("query"))
+            exact = retrieval.dense(whole, asked, k)
+            out = out.unionByName(exact.select(F.col("query_id").alias("vec_id"), F.col("vec_id").alias("neighbour"), F.col("score").alias("similarity"), "rank"))
     copies = kept.groupBy("g", "_copy").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).where(F.size("ids") == k + 1)
     rest = valid.select("g", "_copy", "vec_id").join(small(copies), ["g", "_copy"]).where(F.col("vec_id") > F.col("ids")[k])
     more = rest.select("vec_id", F.posexplode(F.slice("ids", 1, k)).alias("i", "neighbour")).select("vec_id", "neighbour", F.lit(1.0).alias("similarity"), (F.col("i") + 1).alias("rank")).distinct()

@@ -332,6 +332,29 @@ def test_tiny_collections_beside_a_large_one_in_deep_cells(spark, monkeypatch):
     assert all(got[10_000 + 10 * c] == {10_001 + 10 * c, 10_002 + 10 * c} for c in range(60)) and not {99_000, 99_001} & set(got)
 
 
+def test_open_queries_visit_further_cells(spark, monkeypatch):
+    """Near neighbours in many cells: what the trees leave open goes to further cells, not to the exact pass, whose cost grows with the square of the rows."""
+    monkeypatch.setattr(similar_vectors, "CELL", 100)
+    g = np.random.default_rng(28)
+    centres = g.standard_normal((400, 48))
+    x = (np.repeat(centres, 8, axis=0) + 0.22 * g.standard_normal((3200, 48))).astype(np.float32)
+    exact = []
+    dense = similar_vectors.retrieval.dense
+    monkeypatch.setattr(similar_vectors.retrieval, "dense", lambda v, q, k: exact.append(q.count()) or dense(v, q, k))
+    got, recall = _recall(spark, x, [(i, "r", "m", v.tolist()) for i, v in enumerate(x)], 48)
+    assert recall > 0.95 and all(len(got[i]) == 5 for i in range(3200)) and sum(exact) < 64
+
+
+def test_further_cells_hold_the_chance():
+    lo, hi = np.full((4, 8), -np.inf), np.full((4, 8), np.inf)
+    hi[:2, 0], lo[2:, 0] = 0, 0
+    hi[[0, 2], 1], lo[[1, 3], 1] = 0, 0
+    y = np.zeros((3, 8))
+    y[1, 0], y[2] = -5, -5
+    points, cells = similar_vectors.further(y, np.full(3, 0.1), np.zeros(3, np.int64), np.full(3, 0.1), lo, hi)
+    assert [sorted(cells[points == i]) for i in range(3)] == [[1, 2, 3], [1], []]
+
+
 def test_packing_places_everything_once(spark):
     r = random.Random(6)
     texts = [" ".join(sentence(r) for _ in range(r.randint(1, 30))) for _ in range(150)] + [" ".join(sentence(r) for _ in range(400)), "", None, "  ", "same text"] + ["same text"] * 40
