@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-#: Annotators, those of most votes, whose covariances are a matrix on the driver (8 MB). All others are measured against them.
+#: Annotators, those of most votes, whose covariances are a matrix on the driver (8 MB). Triplets with any other annotator are summed in the cluster.
 CORE = 1000
+#: Pairs of votes that are laid out at once.
+PAIRS = 1 << 21
 #: Shares of true yes at which the mean posterior is worked out.
 SHARES = np.linspace(0.02, 0.98, 97)
 
@@ -67,49 +69,80 @@ def _flat(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return votes.field("i").to_numpy().astype(np.int64), votes.field("vote").to_numpy().astype(np.float64), offsets - offsets[0]
 
 
-def _moments(items: DataFrame, core: int) -> DataFrame:
-    """i, j, n, sx, sy, sxy: number of items that both labelled and sums of their votes and products, for every annotator i and each other j of the core.
+def _pairs(items: DataFrame, k: int) -> DataFrame:
+    """i > j, n, v, q: every two annotators with two common items or more, their number, n times the covariance c of their votes, and n c^2 less the variance it would have by chance.
 
-    Summed in each batch before the shuffle. An item holds at most one vote per annotator.
+    Summed in parts of a batch before the shuffle, so an item with many votes is no large matrix. An item holds at most one vote per annotator.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             who, v, offsets = _flat(b)
             size = np.diff(offsets)
-            per = np.repeat(size, size)
-            i = np.repeat(np.arange(len(who)), per)
-            j = np.arange(len(i)) - np.repeat(np.cumsum(per) - per, per) + np.repeat(np.repeat(offsets[:-1], size), per)
-            keep = (i != j) & (who[j] < core)
-            i, j = i[keep], j[keep]
-            pair, at = np.unique(who[i] * core + who[j], return_inverse=True)
-            sums = [np.bincount(at, x, len(pair)) for x in (np.ones(len(i)), v[i], v[j], v[i] * v[j])]
-            yield pa.RecordBatch.from_arrays([pa.array(pair // core), pa.array(pair % core), *map(pa.array, sums)], ["i", "j", "n", "sx", "sy", "sxy"])
+            per, first = np.repeat(size, size), np.repeat(offsets[:-1], size)
+            ends, start = np.cumsum(per), 0
+            while start < len(who):
+                end = max(start + 1, int(np.searchsorted(ends, ends[start] - per[start] + PAIRS, "right")))
+                part = per[start:end]
+                i = np.repeat(np.arange(start, end), part)
+                j = np.arange(len(i)) - np.repeat(np.cumsum(part) - part, part) + np.repeat(first[start:end], part)
+                keep = who[i] > who[j]
+                i, j, start = i[keep], j[keep], end
+                pair, at = np.unique(who[i] * k + who[j], return_inverse=True)
+                sums = [np.bincount(at, x, len(pair)) for x in (np.ones(len(i)), v[i], v[j], v[i] * v[j])]
+                yield pa.RecordBatch.from_arrays([pa.array(pair // k), pa.array(pair % k), *map(pa.array, sums)], ["i", "j", "n", "sx", "sy", "sxy"])
+
+    summed = items.mapInArrow(run, "i long, j long, n double, sx double, sy double, sxy double").groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxy")])
+    x, y = F.col("sx") / F.col("n"), F.col("sy") / F.col("n")
+    c = F.col("sxy") / F.col("n") - x * y
+    return summed.where(F.col("n") >= 2).select("i", "j", "n", (F.col("n") * c).alias("v"), (F.col("n") * c * c - (1 - x * x) * (1 - y * y)).alias("q"))
+
+
+def _outer_triplets(pairs: DataFrame, core: int) -> DataFrame:
+    """i, top, low: each annotator's sums over the triplets of which one annotator at least is outside the core.
+
+    A triplet is found once, from its annotator of fewest votes (the highest number), as that one has the fewest pairs.
+    """
+    low, mid, base = pairs.where(F.col("i") >= core).alias("low"), pairs.where(F.col("i") >= core).alias("mid"), pairs.alias("base")
+    found = low.join(mid, F.col("low.i") == F.col("mid.i")).where(F.col("mid.j") > F.col("low.j")).join(base, (F.col("base.i") == F.col("mid.j")) & (F.col("base.j") == F.col("low.j")))
 
-    return items.mapInArrow(run, "i long, j long, n double, sx double, sy double, sxy double").groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxy")])
+    def sums(who: str, one: str, two: str, across: str):
+        return F.struct(F.col(who).alias("i"), (2 * F.col("low.v") * F.col("mid.v") * F.col("base.v")).alias("top"), (2 * F.col(f"{one}.n") * F.col(f"{two}.n") * F.col(f"{across}.q")).alias("low"))
 
+    each = F.explode(F.array(sums("low.i", "low", "mid", "base"), sums("mid.j", "mid", "base", "low"), sums("low.j", "low", "base", "mid"))).alias("t")
+    return found.select(each).groupBy("t.i").agg(F.sum("t.top").alias("top"), F.sum("t.low").alias("low"))
 
-def _covariance(m: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Covariance of each pair with two items or more (else 0), and the variance it would have by chance, times the number of items."""
-    n = np.maximum(m["n"].to_numpy(), 1)
-    x, y = m["sx"].to_numpy() / n, m["sy"].to_numpy() / n
-    return np.where(n >= 2, m["sxy"].to_numpy() / n - x * y, 0), (1 - x * x) * (1 - y * y)
 
+def _product(pairs: DataFrame, x: np.ndarray) -> np.ndarray:
+    """The matrix of the pairs' v, times x: how far each annotator agrees with the others, who count x."""
+    shared = pairs.sparkSession.sparkContext.broadcast(x)
 
-def solve_triplets(n: np.ndarray, c: np.ndarray, noise: np.ndarray) -> np.ndarray:
-    """Signed w_i of the core from counts n, covariances c and their chance variances; 0 where an annotator tells nothing.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x, total = shared.value, np.zeros(len(shared.value))
+        for b in batches:
+            i, j, v = (b.column(c).to_numpy() for c in ("i", "j", "v"))
+            total += np.bincount(i, v * x[j], len(x)) + np.bincount(j, v * x[i], len(x))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["i", "y"])
 
-    Least squares over all triplets, each weighted by the items common to its pairs: w_i^2 = sum(c_ij c_ik c_jk) / sum(c_jk^2 - chance).
-    Signs follow the agreement with the others, the majority of whose weight is taken to be better than chance.
-    """
-    if not len(n):
-        return np.zeros(0)
-    n = np.where(n >= 2, n, 0)
-    v = n * c
-    top = ((v @ v) * v).sum(1)
-    low = ((n @ np.where(n > 0, n * c * c - noise, 0)) * n).sum(1)
-    w = np.sqrt(np.clip(np.divide(top, low, out=np.zeros(len(n)), where=low > 0), 0, 1))
-    sign = np.zeros(len(n))
+    found = pairs.mapInArrow(run, "i long, y double").groupBy("i").agg(F.sum("y").alias("y")).toPandas()
+    y = np.zeros(len(x))
+    y[found["i"].to_numpy(int)] = found["y"]
+    return y
+
+
+def _inner_triplets(n: np.ndarray, v: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each annotator's sums over the triplets within a matrix of pairs."""
+    return ((v @ v) * v).sum(1), ((n @ q) * n).sum(1)
+
+
+def _size(top: np.ndarray, low: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.clip(np.divide(top, low, out=np.zeros(len(top)), where=low > 0), 0, 1))
+
+
+def _signs(v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Signs of the sizes w that follow the agreement with the others."""
+    sign = np.zeros(len(w))
     if w.any():
         sign[int(np.argmax(w))] = 1
         for i in np.argsort(-w):
@@ -119,7 +152,59 @@ def solve_triplets(n: np.ndarray, c: np.ndarray, noise: np.ndarray) -> np.ndarra
             sign = np.where(v @ (w * sign) >= 0, 1.0, -1.0)
         if (sign * w).sum() < 0:
             sign = -sign
-    return sign * w
+    return sign
+
+
+def solve_triplets(n: np.ndarray, c: np.ndarray, noise: np.ndarray) -> np.ndarray:
+    """Signed w_i from counts n, covariances c and their chance variances; 0 where an annotator tells nothing.
+
+    Least squares over all triplets, each weighted by the items common to its pairs: w_i^2 = sum(c_ij c_ik c_jk) / sum(c_jk^2 - chance).
+    Signs follow the agreement with the others, the majority of whose weight is taken to be better than chance.
+    """
+    if not len(n):
+        return np.zeros(0)
+    n = np.where(n >= 2, n, 0)
+    w = _size(*_inner_triplets(n, n * c, np.where(n > 0, n * c * c - noise, 0)))
+    return _signs(n * c, w) * w
+
+
+def _weights(pairs: DataFrame, k: int, core: int) -> np.ndarray:
+    """Signed w_i of all k annotators, as solve_triplets has them for a matrix: triplets within the core by matrix products, all others in the cluster."""
+    pairs = written(pairs) if k > core else pairs
+    inner = pairs.where(F.col("i") < core).toPandas()
+    n, v, q = (np.zeros((core, core)) for _ in range(3))
+    i, j = inner["i"].to_numpy(int), inner["j"].to_numpy(int)
+    for matrix, column in ((n, "n"), (v, "v"), (q, "q")):
+        matrix[i, j] = matrix[j, i] = inner[column]
+    top, low = np.zeros(k), np.zeros(k)
+    top[:core], low[:core] = _inner_triplets(n, v, q)
+    if k == core:
+        w = _size(top, low)
+        return _signs(v, w) * w
+    outer = _outer_triplets(pairs, core).toPandas()
+    at = outer["i"].to_numpy(int)
+    top[at] += outer["top"]
+    low[at] += outer["low"]
+    w, sign = _size(top, low), np.zeros(k)
+    if not w.any():
+        return w
+    sign[:core] = _signs(v, w[:core])
+    if not sign.any():
+        sign[int(np.argmax(w))] = 1
+    # From the core to those who share items with it, and on to those who share items with these; whoever is not reached starts as better than chance.
+    while (sign == 0).any():
+        y = _product(pairs, w * sign)
+        fresh = (sign == 0) & (y != 0)
+        if not fresh.any():
+            break
+        sign[fresh] = np.where(y[fresh] >= 0, 1.0, -1.0)
+    sign[sign == 0] = 1
+    for _ in range(10):
+        new = np.where(_product(pairs, w * sign) >= 0, 1.0, -1.0)
+        if (new == sign).all():
+            break
+        sign = new
+    return sign * w if (sign * w).sum() >= 0 else -sign * w
 
 
 def reliability(w: np.ndarray, yes: np.ndarray, pi: float) -> tuple[np.ndarray, np.ndarray]:
@@ -143,7 +228,7 @@ def consensus(second_annotation: DataFrame) -> tuple[DataFrame, DataFrame]:
     The share pi of true yes is the one that equals the mean posterior of all items; the means at SHARES come from one job over all votes. An item's votes
     are at most one per annotator, so they are gathered in a row. Items without a valid vote have no row. Ties go to yes. Fewer than three annotators, or
     votes of which no triplet tells anything: every annotator counts alike (majority). The annotators' own table (a row each) is on the driver; of the pairs
-    only those of the CORE annotators with most votes are, the others are measured against these in the cluster. Empty input gives empty results.
+    only those of the CORE annotators with most votes are; the triplets of all others are summed in the cluster. Empty input gives empty results.
     """
     spark = second_annotation.sparkSession
     votes = written(votes_of(second_annotation))
@@ -156,27 +241,7 @@ def consensus(second_annotation: DataFrame) -> tuple[DataFrame, DataFrame]:
     yes = ((sums["s"] / sums["n"]).to_numpy(float) + 1) / 2 if k else np.zeros(0)
     w = np.zeros(k)
     if k >= 3:
-        moments = _moments(items, core)
-        inner = moments.where(F.col("i") < core).toPandas()
-        n, c, noise = np.zeros((core, core)), np.zeros((core, core)), np.zeros((core, core))
-        at = inner["i"].to_numpy(int), inner["j"].to_numpy(int)
-        n[at] = inner["n"]
-        c[at], noise[at] = _covariance(inner)
-        w[:core] = solve_triplets(n, c, noise)
-        if k > core:
-            shared = spark.sparkContext.broadcast((n, c, noise, w[:core].copy()))
-
-            def measure(m: pd.DataFrame) -> pd.DataFrame:
-                n, c, noise, w = shared.value
-                cov, _ = _covariance(m)
-                j, count = m["j"].to_numpy(int), np.where(m["n"] >= 2, m["n"], 0).astype(float)
-                v, inside = count * cov, np.ix_(j, j)
-                low = count @ np.where(n[inside] >= 2, n[inside] * c[inside] ** 2 - noise[inside], 0) @ count
-                size = np.sqrt(np.clip(v @ (n[inside] * c[inside]) @ v / low, 0, 1)) if low > 0 else 0.0
-                return pd.DataFrame({"i": m["i"].iloc[:1], "w": [size if v @ w[j] >= 0 else -size]})
-
-            outer = moments.where(F.col("i") >= core).groupBy("i").applyInPandas(measure, "i long, w double").toPandas()
-            w[outer["i"].to_numpy(int)] = outer["w"]
+        w = _weights(_pairs(items, k), k, core)
     if not w.any():
         w[:] = 0.5
     told = spark.sparkContext.broadcast((w, yes))

@@ -84,6 +84,24 @@ def test_consensus_beyond_the_core(spark, monkeypatch):
     assert np.mean([(x["label"] == "yes") == truth[x["question_id"]] for x in items.collect()]) > 0.93
 
 
+def test_consensus_of_annotators_who_never_meet_the_core(spark, monkeypatch):
+    """Annotators who share items with one another only are measured by their own triplets, and the core's size changes no weight."""
+    r = random.Random(25)
+    quality = {f"c{i}": 0.85 for i in range(4)} | {f"x{i}": 0.9 if i % 4 else 0.15 for i in range(8)}
+    rows, truth = [], {}
+    for q in range(1500):
+        truth[f"q{q}"] = t = r.random() < 0.5
+        for p in [f"c{i}" for i in range(4)] if q < 900 else r.sample([f"x{i}" for i in range(8)], 4):
+            rows.append((f"q{q}", "yes" if (r.random() < quality[p]) == t else "no", p, None, None, None, "2026-01-01"))
+    df = spark.createDataFrame(rows, "question_id string, mine string, mine_by string, theirs string, model string, why string, dated string")
+    found = []
+    for core in (4, 1000):
+        monkeypatch.setattr(consensus, "CORE", core)
+        found.append({x["annotator"]: (x["reliability"], x["weight"]) for x in consensus.consensus(df)[1].collect()})
+    assert all((found[0][a][0] > 0.8) if quality[a] > 0.5 else (found[0][a][0] < 0.3) for a in quality)
+    assert all(np.allclose(found[0][a], found[1][a], atol=1e-9) for a in quality)
+
+
 def test_consensus_counts_the_latest_row(spark):
     rows = [("q", "no", "p", "yes", "m", None, "2026-02-01"), ("q", "yes", "p", "yes", "m", None, "2026-01-01")]
     df = spark.createDataFrame(rows, "question_id string, mine string, mine_by string, theirs string, model string, why string, dated string")
