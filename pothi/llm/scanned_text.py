@@ -1,9 +1,9 @@
 """Repair of text from scanned pages by a noisy channel: heads and page numbers out, cut words joined, misread words corrected.
 
-Language model: word and word-pair counts over all chunks of documents with a text layer, kept to the MOST_WORDS / MOST_PAIRS
-most frequent (a bounded table that is broadcast). Channel: character confusions (a right string and what it is read as) with probabilities estimated
-from the corpus: tokens of all scanned chunks that are no words are aligned with the words they may be misread from, in ROUNDS passes of expectation
-and maximisation over their counts (channel_of). Every line is decoded by Viterbi: the candidates of a word are itself and the words of the model that
+Language model: word and word-pair counts over all chunks of documents with a text layer: all that are seen LEAST_COUNT times and make LEAST_SHARE of all
+words (a share bounds their number whatever the corpus; a pair takes 12 bytes of a broadcast). Channel: character confusions (a right string and what it is read as) with probabilities estimated
+from the corpus: all tokens of scanned chunks that are no words are aligned with the words they may be misread from, in ROUNDS passes of expectation
+and maximisation over their counts, in the cluster (channel_of). Every line is decoded by Viterbi: the candidates of a word are itself and the words of the model that
 become it by one or two confusions; the path with the best product of channel and word-pair probabilities is taken. Words that are not in the
 model (names) are corrected only where their letters are impossible: a letter-pair model of rare words decides.
 
@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -29,7 +29,6 @@ from pyspark.sql import functions as F
 
 from .common import current_manifest, cut, process_state, small
 
-MOST_WORDS, MOST_PAIRS = 60_000, 400_000
 #: Documents whose numbers and flags (9 bytes each) are broadcast at most.
 NARROW_ROWS = 1_000_000
 #: Occurrences of a word or pair of the model: at least so many, and this share of all words.
@@ -52,6 +51,7 @@ CONFUSIONS = (
     ("ti", "\x00"), ("tt", "\x00"), ("ft", "\x00"), ("fi", "\x00"), ("fl", "\x00"), ("ff", "\x00"),
     ("भ", "म"), ("म", "भ"), ("ध", "घ"), ("घ", "ध"), ("ब", "व"), ("व", "ब"), ("क", "फ"), ("ष", "प"), ("ड", "ङ"), ("थ", "य"), ("य", "थ"), ("प", "ष"), ("फ", "क"),
 )
+_PLACE = {c: i for i, c in enumerate(CONFUSIONS)}
 #: Letters read for digits.
 DIGITS = {"o": "0", "O": "0", "D": "0", "Q": "0", "l": "1", "I": "1", "i": "1", "|": "1", "Z": "2", "z": "2", "S": "5", "s": "5", "b": "6", "G": "6", "T": "7", "B": "8", "g": "9", "q": "9"}
 _LOST = ("ti", "fi", "fl", "ff", "tt", "ft", "ffi")
@@ -139,10 +139,23 @@ def correctable(word: str) -> bool:
     return len(word) <= LONGEST_WORD and 2 * sum(c.isalpha() or c == "\x00" or "ऀ" <= c <= "ॣ" for c in word) > len(word)
 
 
+class Pairs:
+    """Counts of word pairs by hash, 12 bytes each."""
+
+    def __init__(self, hashes: np.ndarray, counts: np.ndarray):
+        order = np.argsort(hashes)
+        self.hashes, self.counts = hashes[order], counts[order]
+
+    def get(self, pair: tuple[str, str], other: int = 0) -> int:
+        h = _hash(f"{pair[0]}\t{pair[1]}")
+        at = self.hashes.searchsorted(h)
+        return int(self.counts[at]) if at < len(self.hashes) and self.hashes[at] == h else other
+
+
 class Model:
     """Words, word pairs and letter pairs, and the decoding with them."""
 
-    def __init__(self, words: dict[str, int], pairs: dict[tuple[str, str], int], letters: dict[str, int], channel: dict[tuple[str, str], float] | None = None):
+    def __init__(self, words: dict[str, int], pairs: Pairs | dict[tuple[str, str], int], letters: dict[str, int], channel: dict[tuple[str, str], float] | None = None):
         self.words, self.pairs = words, pairs
         #: Log probability of each confusion.
         self.channel = {c: math.log((channel or {}).get(c, PRIOR)) for c in CONFUSIONS}
@@ -421,32 +434,50 @@ def pattern(words: list[tuple[str, bool]], head_words: frozenset[str] = frozense
     return " ".join(w if k else "*" for w, k in words) if 0 < known < len(words) else ""
 
 
-def channel_of(model: Model, strange: dict[str, int], scanned: float) -> dict[tuple[str, str], float]:
-    """Probability of each confusion. strange: tokens of scanned text that are no words of the model, with their counts; scanned: tokens of scanned text over those the model was counted in.
+def aligned(model: Model, strange: Iterable[tuple[str, int]]) -> Counter:
+    """How often strange tokens have the same sources: by (places of the confusions in CONFUSIONS, counts of their words). The count of a single word tells nothing."""
+    out: Counter = Counter()
+    for t, n in strange:
+        if correctable(t) and (of := sorted((_PLACE[c], model.words[w]) for w, c in model.sources(t))):
+            out[tuple(c for c, _ in of), tuple(k for _, k in of) if len(of) > 1 else (1,)] += n
+    return out
+
+
+def shares(rows: Iterable[tuple[tuple, tuple, int]], channel: dict[tuple[str, str], float]) -> dict[tuple[str, str], float]:
+    """How often each confusion was seen, if every strange token (confusions, counts, times) is shared out by word frequency and the confusions' probabilities."""
+    seen = dict.fromkeys(CONFUSIONS, 0.0)
+    for confusions, counts, n in rows:
+        options = [CONFUSIONS[c] for c in confusions]
+        weights = [channel[c] * k for c, k in zip(options, counts)]
+        total = sum(weights)
+        for c, w in zip(options, weights):
+            seen[c] += n * w / total
+    return seen
+
+
+def channel_of(model: Model, strange: dict[str, int] | Callable[[dict], dict], scanned: float) -> dict[tuple[str, str], float]:
+    """Probability of each confusion. strange: tokens of scanned text that are no words of the model, with their counts, or a function that shares them out as `shares` does; scanned: tokens of scanned text over those the model was counted in.
 
     Each strange token is shared out among the words it may be a misreading of, by word frequency and the confusions' present probabilities; a confusion's
     share over the places where its right string was printed is its new probability. PRIOR counts as much as 50 places.
     """
+    if isinstance(strange, dict):
+        rows = [(c, k, n) for (c, k), n in aligned(model, strange.items()).items()]
+        strange = lambda channel: shares(rows, channel)
     places = dict.fromkeys(CONFUSIONS, 0.0)
     for right in {r for r, _ in CONFUSIONS}:
         n = scanned * sum(c * w.count(right) for w, c in model.words.items() if right in w)
         for c in CONFUSIONS:
             if c[0] == right:
                 places[c] = n
-    aligned = [(n, [(c, model.words[w]) for w, c in model.sources(t)]) for t, n in strange.items() if correctable(t)]
     channel = dict.fromkeys(CONFUSIONS, PRIOR)
     for _ in range(ROUNDS):
-        seen = dict.fromkeys(CONFUSIONS, 0.0)
-        for n, options in aligned:
-            weights = [channel[c] * k for c, k in options]
-            total = sum(weights)
-            for (c, _), w in zip(options, weights):
-                seen[c] += n * w / total
-        channel = {c: min(max((seen[c] + 50 * PRIOR) / (places[c] + seen[c] + 50), 1e-5), 0.2) for c in CONFUSIONS}
+        seen = strange(channel)
+        channel = {c: min(max((seen.get(c, 0.0) + 50 * PRIOR) / (places[c] + seen.get(c, 0.0) + 50), 1e-5), 0.2) for c in CONFUSIONS}
     return channel
 
 
-def _count(clean: DataFrame) -> tuple[dict[str, int], dict[tuple[str, str], int], dict[str, int], int]:
+def _count(clean: DataFrame) -> tuple[dict[str, int], Pairs, dict[str, int], int]:
     """Words, pairs and the letter pairs of rare words, over all the texts, and the number of words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs: Counter = Counter()
@@ -482,8 +513,11 @@ def _count(clean: DataFrame) -> tuple[dict[str, int], dict[tuple[str, str], int]
     counted = cut(counted)
     total = counted.where(F.col("kind") == 0).agg(F.sum("n")).first()[0] or 0
     seldom = max(LEAST_COUNT, math.ceil(total * LEAST_SHARE))
-    words = {r["w"]: r["n"] for r in counted.where((F.col("kind") == 0) & (F.col("n") >= seldom) & F.col("w").rlike(r"^[^\d]+$")).orderBy(F.desc("n"), "w").limit(MOST_WORDS).collect()}
-    pairs = {tuple(r["w"].split("\t")): r["n"] for r in counted.where((F.col("kind") == 1) & (F.col("n") >= seldom)).orderBy(F.desc("n"), "w").limit(MOST_PAIRS).collect()}
+    often = counted.where(F.col("n") >= seldom)
+    found = often.where((F.col("kind") == 0) & F.col("w").rlike(r"^[^\d]+$")).select("w", "n").orderBy(F.desc("n"), "w").toArrow()
+    words = dict(zip(found.column("w").to_pylist(), found.column("n").to_pylist()))
+    found = often.where(F.col("kind") == 1).select(F.xxhash64("w").alias("h"), F.least("n", F.lit(2**31 - 1)).cast("int").alias("n")).toArrow()
+    pairs = Pairs(found.column("h").to_numpy(), found.column("n").to_numpy())
     # Names repeat little: words seen a few times only, wholly of letters, tell which letter pairs there are.
     rare = counted.where((F.col("kind") == 0) & F.col("w").rlike(r"^[a-z]{4,}$|^[ऀ-ॣ]{3,}$"))
     padded = F.concat(F.lit("^"), "w", F.lit("$"))
@@ -502,6 +536,29 @@ def _model(shared) -> Model:
     return state["model"]
 
 
+def _strange(tokens: DataFrame, model) -> Callable[[dict], dict]:
+    """The function by which channel_of shares out all strange tokens (token, times) in the cluster."""
+
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = _model(model)
+        for b in batches:
+            rows = aligned(m, zip(b.column("token").to_pylist(), b.column("times").to_pylist()))
+            yield pa.RecordBatch.from_arrays([pa.array([list(c) for c, _ in rows], pa.list_(pa.int32())), pa.array([list(k) for _, k in rows], pa.list_(pa.int64())), pa.array(list(rows.values()), pa.int64())], ["c", "k", "n"])
+
+    rows = cut(tokens.mapInArrow(align, "c array<int>, k array<bigint>, n long").groupBy("c", "k").agg(F.sum("n").alias("n")))
+
+    def share(channel: dict[tuple[str, str], float]) -> dict[tuple[str, str], float]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                seen = shares(zip(*(b.column(x).to_pylist() for x in ("c", "k", "n"))), channel)
+                yield pa.RecordBatch.from_arrays([pa.array([_PLACE[c] for c in seen], pa.int32()), pa.array(list(seen.values()), pa.float64())], ["c", "n"])
+
+        found = rows.mapInArrow(run, "c int, n double").groupBy("c").agg(F.sum("n").alias("n")).collect()
+        return {CONFUSIONS[r["c"]]: r["n"] for r in found}
+
+    return share
+
+
 class Repairer:
     """Model and heads of a corpus; `fixes` and `texts` repair its scanned chunks."""
 
@@ -549,11 +606,9 @@ class Repairer:
         found = self.scanned.mapInArrow(run, "_doc long, key long, pat long, words string")
         mine = F.when(F.col("_doc").isNotNull(), F.col("pat"))
         per = cut(found.groupBy("_doc", "key", F.when(F.col("_doc").isNull(), F.col("words")).alias("token")).agg(F.count("*").alias("n"), F.max(mine).alias("pat"), F.max("words").alias("words"), F.sum(F.when(F.col("_doc").isNull(), F.col("pat"))).alias("times")))
-        # Of the strange tokens the most frequent MOST_WORDS have nearly all occurrences and tell the channel; they are corrected whether they do or not.
         seen = per.where(F.col("_doc").isNull())
-        strange = {r["token"]: r["times"] for r in seen.where(F.col("token").isNotNull()).orderBy(F.desc("times"), "token").limit(MOST_WORDS).collect()}
         here = seen.where(F.col("token").isNull()).agg(F.sum("times")).first()[0] or 0
-        self.channel = channel_of(Model(*model.value), strange, here / max(total, 1))
+        self.channel = channel_of(Model(*model.value), _strange(seen.where(F.col("token").isNotNull()).select("token", "times"), model), here / max(total, 1))
         self.model = spark.sparkContext.broadcast((*model.value[:3], self.channel))
         per = per.where(F.col("_doc").isNotNull())
         least = max(SHARED_HEAD, math.ceil(SHARED * per.select("_doc").distinct().count()))

@@ -476,6 +476,21 @@ def test_scanned_text_is_repaired(spark):
     assert text[301] == "" and 300 not in text
 
 
+def test_all_words_pairs_and_strange_tokens_count(spark):
+    """More words than 60,000 and more pairs than 400,000 are in the model, and more strange tokens than 60,000 teach the channel."""
+    syllables = [a + b for a in "bdghklnprstvwyz" for b in "aeou"]
+    made = [f"{x}{y}{z}" for x in syllables for y in syllables for z in syllables[:30]][:70_000]
+    texts = [" ".join(made[i : i + 1000]) for i in range(0, 70_000, 1000)] * 5
+    texts += [" ".join(f"{a} {b}" for a in made[:700] for b in made[i : i + 100]) for i in range(0, 700, 100)] * 5
+    words, pairs, _, _ = scanned_text._count(spark.createDataFrame([(t,) for t in texts], "text string"))
+    assert words.keys() >= set(made) and len(pairs.hashes) > 400_000
+    assert pairs.get((made[69_998], made[69_999])) == 5 and pairs.get(("no", "pair"), 0) == 0
+    right = ["m" + w for w in made]
+    model = spark.sparkContext.broadcast(({w: 10 for w in right}, {}, {}, None))
+    tokens = spark.createDataFrame([("rn" + w, 1) for w in made], "token string, times long")
+    assert scanned_text._strange(tokens, model)(dict.fromkeys(scanned_text.CONFUSIONS, 0.004))["m", "rn"] == 70_000
+
+
 def test_the_channel_is_learnt():
     """Misreadings of m as rn in one of ten places, none of any other confusion."""
     right = ["camera", "moment", "summer", "number", "mill", "farm"]
